@@ -1,0 +1,292 @@
+"""Queries over the driver's tables, one for each operator, with SQL counterparts where SQL has them."""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.functions import geo, labels
+from waymark.operators import enrich, paths, polygons, progress, snapping, stitch, store
+from waymark.sources.fixtures import VIEWS, ctes, view
+
+D = 4  # decimals that are compared
+R = "cast(3958.8 as double)"
+
+
+def _hav(a: str, b: str, c: str, d: str) -> str:
+    h = f"pow(sin(radians({c}-{a})/2.0),2)+cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-{b})/2.0),2)"
+    return f"2*{R}*asin(sqrt(case when {h} > 1 then 1 else {h} end))"
+
+
+_MILES = f"coalesce(abs(end_mile-start_mile), {_hav('start_lat', 'start_lng', 'end_lat', 'end_lng')})"
+_CROSS = "case when (yi > lat) = (yj > lat) then 0 when lon < (xj-xi)*(lat-yi)/nullif(yj-yi,0)+xi then 1 else 0 end"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(ctes("fx_segments", "fx_trails") + f"""
+select t.id as trail_id, round(coalesce(sum({_MILES}),0),4) as miles, count(s.id) as sessions, count(distinct date_begun) as trail_days,
+  min(date_begun) as first_date, case when count(distinct date_begun) > 1 then max(date_begun) end as last_date,
+  round(least(100.0, coalesce(sum({_MILES}),0)/total_miles*100.0),4) as pct
+from fx_trails t left join fx_segments s on s.trail_id = t.id group by t.id, total_miles""")
+def dashboard(spark, d):
+    out = progress.dashboard(view(spark, d, "fx_segments"), view(spark, d, "fx_trails"))
+    return out.select("trail_id", F.round("miles", D).alias("miles"), "sessions", "trail_days", "first_date", "last_date", F.round("pct", D).alias("pct"))
+
+
+@query(ctes("fx_segments") + f"""
+select user_id, trail_id, round(sum({_MILES}),4) as miles, count(*) as sessions, count(distinct date_begun) as trail_days,
+  min(date_begun) as first_date, case when count(distinct date_begun) > 1 then max(date_begun) end as last_date
+from fx_segments group by user_id, trail_id""")
+def user_trail_totals(spark, d):
+    return progress.trail_totals(view(spark, d, "fx_segments"), ["user_id", "trail_id"]).withColumn("miles", F.round("miles", D))
+
+
+@query(ctes("fx_segments") + f"select id, round({_MILES},4) as miles, start_mile is null as by_distance from fx_segments")
+def segment_miles(spark, d):
+    return view(spark, d, "fx_segments").select("id", F.round(geo.segment_miles(), D).alias("miles"), F.col("start_mile").isNull().alias("by_distance"))
+
+
+@query(ctes("fx_segments") + """
+select id, trail_id, start_lat, start_lng, end_lat, end_lng, start_mile, end_mile, date_begun from fx_segments where user_id = 7""")
+def secured_segments(spark, d):
+    return store.Secured(view(spark, d, "fx_segments"), "segments", 7).select("id", "trail_id", "start_lat", "start_lng", "end_lat", "end_lng", "start_mile", "end_mile", "date_begun")
+
+
+@query(ctes("fx_points") + """
+select state, min(mile) as min_mile, max(mile) as max_mile,
+  row_number() over (order by min({'m': coalesce(mile,0), 'o': ord})) as place from fx_points where state <> '' group by state""")
+def state_mile_ranges(spark, d):
+    from pyspark.sql import Window
+
+    # one row per state is left here, so the global rank is over a handful of rows
+    return progress.state_mile_ranges(view(spark, d, "fx_points")).select("state", "min_mile", "max_mile", F.row_number().over(Window.orderBy("first")).cast("long").alias("place"))
+
+
+@query(ctes("fx_points") + "select state, count(*) as n, min(ord) as first_ord from fx_points group by state")
+def points_per_state(spark, d):
+    return progress.points_per_state(view(spark, d, "fx_points"))
+
+
+@query(ctes("fx_points") + "select min(elev_ft) as min_ft, max(elev_ft) as max_ft, count(*) as n from fx_points where elev_ft is not null and elev_ft <> 0")
+def elevation_range(spark, d):
+    return enrich.elevation_range(view(spark, d, "fx_points"))
+
+
+@query(ctes("fx_points", "fx_targets") + f"""
+select qid, p.ord, mile, state, round(dist,4) as dist from (
+  select qid, ord, mile, state, {_hav('qlat', 'qlng', 'lat', 'lon')} as dist,
+    row_number() over (partition by qid order by {_hav('qlat', 'qlng', 'lat', 'lon')}, ord) as rn from fx_targets, fx_points) p where rn = 1""")
+def snap_coordinates(spark, d):
+    out = snapping.snap_coordinates(view(spark, d, "fx_targets"), view(spark, d, "fx_points"))
+    return out.select("qid", "ord", "mile", "state", F.round("dist", D).alias("dist"))
+
+
+@query(ORACLES["snap_coordinates"])
+def snap_coordinates_grid(spark, d):
+    out = snapping.snap_coordinates(view(spark, d, "fx_targets"), view(spark, d, "fx_points"), small_rows=0)
+    return out.select("qid", "ord", "mile", "state", F.round("dist", D).alias("dist"))
+
+
+@query(ctes("fx_points", "fx_targets") + """
+select qid, p.ord, mile, state, round(dist,4) as dist from (
+  select qid, ord, mile, state, abs(coalesce(mile,0)-qmile) as dist,
+    row_number() over (partition by qid order by abs(coalesce(mile,0)-qmile), ord) as rn from fx_targets, fx_points) p where rn = 1""")
+def snap_miles(spark, d):
+    q = view(spark, d, "fx_targets").withColumn("qstate", F.lit(None).cast("string"))
+    return snapping.snap_miles(q, view(spark, d, "fx_points")).select("qid", "ord", "mile", "state", F.round("dist", D).alias("dist"))
+
+
+@query(ctes("fx_points", "fx_targets") + """
+, q as (select qid, qmile, (select p_type from part where p_partkey = qid % 150) as qstate from fx_targets),
+b as (select qid, ord, mile, row_number() over (partition by qid order by abs(coalesce(mile,0)-qmile), ord) as rn from q join fx_points on state = qstate)
+select q.qid, qstate, ord, mile from q left join b on q.qid = b.qid and rn = 1""")
+def snap_miles_in_state(spark, d):
+    kinds = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_type").alias("qstate"))
+    q = view(spark, d, "fx_targets").withColumn("k", F.col("qid") % 150).join(kinds, F.col("k") == F.col("p_partkey"), "left").select("qid", "qmile", "qstate")
+    asked = q.withColumn("qstate", F.coalesce("qstate", F.lit("")))
+    return q.select("qid", "qstate").join(snapping.snap_miles(asked, view(spark, d, "fx_points")).select("qid", "ord", "mile"), "qid")
+
+
+@query(ctes("fx_points", "fx_segments") + """
+, r as (select s.id, state, min(ord) as fo from fx_segments s join fx_points p
+  on mile between least(start_mile,end_mile)-cast(0.05 as double) and greatest(start_mile,end_mile)+cast(0.05 as double) where state <> '' group by s.id, state)
+select s.id, x.states from fx_segments s left join (select id, string_agg(state, ' · ' order by fo) as states from r group by id) x on x.id = s.id""")
+def states_for_range(spark, d):
+    return snapping.states_for_range(view(spark, d, "fx_segments"), view(spark, d, "fx_points"))
+
+
+@query(ctes("fx_points", "fx_edges") + f"""
+, f as (select feature_idx, min(xi) as a, max(xi) as b, min(yi) as c, max(yi) as e from fx_edges group by feature_idx),
+h as (select ord, x.feature_idx, state_e as state from (select p.ord, g.feature_idx, g.state as state_e, sum({_CROSS}) as n
+  from fx_points p join f on lon between a and b and lat between c and e join fx_edges g on g.feature_idx = f.feature_idx group by p.ord, g.feature_idx, g.state) x where n % 2 = 1),
+m as (select ord, min(feature_idx) as k from h group by ord)
+select p.ord, coalesce(case when h.state in ('NC','TN') then 'NC-TN' else h.state end, p.state) as state, h.state is not null as matched
+from fx_points p left join m on m.ord = p.ord left join h on h.ord = m.ord and h.feature_idx = m.k""")
+def reclassify(spark, d):
+    return polygons.reclassify(view(spark, d, "fx_points"), view(spark, d, "fx_edges")).select("ord", "state", "matched")
+
+
+@query(ctes("fx_edges") + """
+select feature_idx, state, min(xi) as min_lon, max(xi) as max_lon, min(yi) as min_lat, max(yi) as max_lat from fx_edges group by feature_idx, state""")
+def bounding_boxes(spark, d):
+    return polygons.bounding_boxes(view(spark, d, "fx_edges"))
+
+
+_PATH = ctes("fx_points") + """, path as (select ord as idx, ord % 7 = 6 as gap, cast(floor(cast(ord as double)/cast(700 as double)) as int) as run_idx, lat, lon from fx_points)"""
+
+
+def _path(spark, d) -> DataFrame:
+    return view(spark, d, "fx_points").select(F.lit("p").alias("path_id"), F.col("ord").alias("idx"), F.floor(F.col("ord") / F.lit(700.0)).cast("int").alias("run_idx"), "lat", "lon")
+
+
+_CUM = f""", st as (select *, case when lag(run_idx) over (order by idx) = run_idx then {_hav('lag(lat) over (order by idx)', 'lag(lon) over (order by idx)', 'lat', 'lon')} else 0 end as step from path),
+cum as (select idx, run_idx, lat, lon, sum(step) over (order by idx rows between unbounded preceding and current row) as cum from st)"""
+
+
+@query(_PATH + _CUM + " select idx, round(cum, 4) as cum from cum")
+def cumulative_miles(spark, d):
+    return paths.cumulative_miles(_path(spark, d)).select("idx", F.round("cum", D).alias("cum"))
+
+
+@query(ctes("fx_points", "fx_targets") + f"""
+, n as (select count(*) as n from fx_points), v as (select row_number() over (order by ord) - 1 as i, lat, lon from fx_points),
+q as (select qid, qlat, qlng, n, floor(greatest(0,least(1,qmile/cast(2190 as double)))*(n-1)+0.5) as c, floor(cast(0.10 as double)*n+0.5) as r from fx_targets, n)
+select qid, i as vertex from (select qid, i, row_number() over (partition by qid order by {_hav('qlat', 'qlng', 'lat', 'lon')}, i) as rn from q join v on i between c - r and c + r) where rn = 1""")
+def nearest_vertices(spark, d):
+    q = view(spark, d, "fx_targets").select("qid", F.lit("p").alias("path_id"), F.col("qlat").alias("lat"), F.col("qlng").alias("lng"), F.col("qmile").alias("mile"))
+    return paths.nearest_vertices(q, _path(spark, d))
+
+
+@query(_PATH + f", fx_targets as ({VIEWS['fx_targets']})" + _CUM + """
+, seg as (select idx, cum as c1, lat as lat1, lon as lon1, lag(cum) over w as c0, lag(lat) over w as lat0, lag(lon) over w as lon0, lag(run_idx) over w as r0, run_idx from cum window w as (order by idx)),
+t as (select qid, qmile as t from fx_targets), hit as (select qid, t, lat0 + (lat1-lat0)*f as lat, lon0+(lon1-lon0)*f as lon, row_number() over (partition by qid order by idx) as rn from
+  (select *, case when c1 > c0 then (t-c0)/(c1-c0) else 0 end as f from t join seg on r0 = run_idx and c1 >= t - 1e-9)),
+l as (select lat, lon from cum order by idx desc limit 1)
+select t.qid, round(coalesce(h.lat, l.lat), 6) as lat, round(coalesce(h.lon, l.lon), 6) as lon from t left join hit h on h.qid = t.qid and rn = 1, l""")
+def interpolate(spark, d):
+    t = view(spark, d, "fx_targets").select("qid", F.lit("p").alias("path_id"), F.col("qmile").alias("t"))
+    return paths.interpolate(t, _path(spark, d)).select("qid", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query()
+def sample_path(spark, d):
+    anchors = view(spark, d, "fx_points").where("ord % 25 = 0").select(F.lit("p").alias("path_id"), "ord", (F.col("ord") / F.lit(10.0)).alias("mile"), "lat", "lon", "state")
+    return paths.sample_path(anchors, _path(spark, d)).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+
+
+@query()
+def match_in_order(spark, d):
+    anchors = view(spark, d, "fx_points").where("ord % 25 = 0").select(F.lit("p").alias("path_id"), "ord", "lat", "lon")
+    return paths.match_in_order(anchors, _path(spark, d))
+
+
+@query()
+def slice_paths(spark, d):
+    e = view(spark, d, "fx_targets").select("qid", F.lit("p").alias("path_id"), (F.col("qid") * 3).alias("a"), (F.col("qid") * 2 + 20).alias("b"), *[F.col(x).alias(n) for x, n in (("qlat", "start_lat"), ("qlng", "start_lng"), ("qlat", "end_lat"), ("qlng", "end_lng"))])
+    return paths.slice_paths(e, _path(spark, d))
+
+
+@query()
+def stitch_lines(spark, d):
+    at = lambda k: F.array((F.lit(-84.0) + (F.col("s_suppkey") + k) * F.lit(0.01)), (F.lit(34.0) + (F.col("s_suppkey") + k) * F.lit(0.012)))
+    line = F.when(F.col("s_suppkey") % 3 == 0, F.array(at(1), at(0))).otherwise(F.array(at(0), at(1)))
+    lines = spark.read.parquet(f"{d}/supplier.parquet").select(F.lit("t").alias("trail_id"), F.pmod(F.col("s_suppkey") * 37, F.lit(101)).alias("ord"), line.alias("coords"))
+    return stitch.stitch(lines, (-84.0, 34.0))
+
+
+@query(ctes("fx_users") + "select id, nullif(trim(json_extract_string(raw_user_meta_data,'$.username')),'') as username from fx_users")
+def profiles_of_users(spark, d):
+    return store.profiles_of(view(spark, d, "fx_users"))
+
+
+@query(ctes("fx_users") + """
+, p as (select id, nullif(trim(json_extract_string(raw_user_meta_data,'$.username')),'') as username from fx_users)
+select c_custkey, not exists (select 1 from p where lower(p.username) = lower(trim(case when c_custkey % 2 = 0 then upper(c_name) else c_name || 'x' end))) as available from customer""")
+def username_available(spark, d):
+    names = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.concat("c_name", F.lit("x")))
+    asked = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", names.alias("candidate"))
+    return store.username_available(asked, store.profiles_of(view(spark, d, "fx_users"))).select("c_custkey", "available")
+
+
+@query(ctes("fx_segments") + "select id, user_id from fx_segments where not (user_id = 7 and id in (1,2,3,4,5,6,7,8,9,10))")
+def delete_segments(spark, d):
+    return store.Secured(view(spark, d, "fx_segments"), "segments", 7).delete(list(range(1, 11))).select("id", "user_id")
+
+
+@query(ctes("fx_segments") + "select id, user_id, trail_id, start_mile from fx_segments union all select cast(-1 as bigint), cast(7 as bigint), 'new', cast(1.5 as double)")
+def insert_segment(spark, d):
+    row = spark.createDataFrame([(-1, 7, "new", 1.5)], "id long, user_id long, trail_id string, start_mile double")
+    return store.Secured(view(spark, d, "fx_segments"), "segments", 7).insert(row)[0].select("id", "user_id", "trail_id", "start_mile")
+
+
+@query("""
+select 'unique(o_custkey,o_orderdate)' as rule, count(*) as n from (select 1 from orders group by o_custkey, o_orderdate having count(*) > 1)
+union all select 'not_null(o_totalprice)', count(*) from orders where o_totalprice is null
+union all select 'references(o_custkey)', count(*) from orders o where o_custkey is not null and not exists (select 1 from customer c where c.c_custkey = o.o_custkey)""")
+def constraint_violations(spark, d):
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    return store.violations(t("orders"), [["o_custkey", "o_orderdate"]], ["o_totalprice"], {"o_custkey": (t("customer"), "c_custkey")})
+
+
+@query(ctes("fx_points") + """
+, k as (select l_linenumber * 10 + l_quantity as mile_tenths, l_suppkey as e from lineitem), m as (select cast(mile_tenths as bigint) as t, min(cast(e as int)) as e from k group by 1)
+select ord, coalesce(elev_ft, m.e) as elev_ft, m.t is not null as cache_hit from fx_points left join m on cast(floor(mile*10+0.5) as bigint) = m.t""")
+def with_elevation(spark, d):
+    known = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_linenumber") * 10 + F.col("l_quantity")).alias("mile_tenths"), F.col("l_suppkey").cast("int").alias("elev_ft"))
+    return enrich.with_elevation(view(spark, d, "fx_points"), known).select("ord", "elev_ft", "cache_hit")
+
+
+@query("select event_id, strftime(ts, '%b %-d, %Y') as label from events")
+def date_labels(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", labels.date_label(F.col("ts")).alias("label"))
+
+
+@query()
+def segment_summaries(spark, d):
+    s = view(spark, d, "fx_segments")
+    return s.select("id", labels.segment_summary(geo.segment_miles(), F.col("start_mile"), F.col("end_mile"), F.lit(None).cast("string")).alias("summary"))
+
+
+@query("""
+select event_id, cast(floor(event_id % 50 * case event_id % 3 when 0 then 1.0 when 1 then 60.0 else 1440.0 end + 0.5) as int) as minutes from events""")
+def durations(spark, d):
+    unit = F.when(F.col("event_id") % 3 == 0, F.lit("minutes")).when(F.col("event_id") % 3 == 1, F.lit("hours")).otherwise(F.lit("days"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", labels.duration_minutes((F.col("event_id") % 50).cast("string"), unit).alias("minutes"))
+
+
+@query()
+def saved_requests(spark, d):
+    from waymark.plans.flows import save_requests
+
+    p = view(spark, d, "fx_points")
+    r = view(spark, d, "fx_targets").select(F.col("qid").alias("req_id"), F.lit("SMALL").alias("start_state"), F.col("qmile").cast("string").alias("start_text"), F.lit("SMALL").alias("end_state"), (F.col("qmile") + 9).cast("string").alias("end_text"))
+    one = p.withColumn("state", F.when(F.col("ord") % 100 != 99, F.lit("SMALL")))
+    return save_requests(r, one)[0]
+
+
+@query("select event_type, count(*) as n, round(sum(value), 2) as total from events group by event_type")
+def streamed_events(spark, d):
+    """Totals of the event stream, read as a stream that ends with the files there are."""
+    import uuid
+
+    from waymark.session import scratch
+    from waymark.streaming import progress_stream
+
+    name = f"s{uuid.uuid4().hex}"
+    static = spark.read.parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    totals = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    progress_stream.run_once(totals, name, f"{scratch(spark)}/{name}", "complete").awaitTermination()
+    return spark.table(name).withColumn("total", F.round("total", 2))
