@@ -5,6 +5,28 @@ from __future__ import annotations
 from waymark.llm.common import documents, table
 
 
+def op1_toxicity(spark, d):
+    from pyspark.sql import functions as F
+
+    from waymark.llm.toxicity import HELD_FOLD, classify, expr_crc_fold
+
+    out = classify(documents(spark, d), table(spark, d, "labels"))
+    held = expr_crc_fold(F.col("doc_id")) == HELD_FOLD
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic")
+
+
+def op2_fingerprint(spark, d):
+    from waymark.llm.fingerprint import fingerprint
+
+    return fingerprint(documents(spark, d))
+
+
+def op3_pii(spark, d):
+    from waymark.llm.pii import summary
+
+    return summary(documents(spark, d))
+
+
 def op4_bpe(spark, d):
     import public_tokenizers
 
@@ -51,7 +73,7 @@ def op10_simhash(spark, d):
     return near_components(documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_quality, op6_sharding, op7_katz, op8_warc, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_pii, op4_bpe, op5_quality, op6_sharding, op7_katz, op8_warc, op9_mixing, op10_simhash)}
 
 
 def _oracles() -> dict[str, str]:

@@ -63,12 +63,14 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little") if n else 0
 
 
-def fingerprints(docs: DataFrame, words_each: int = 4, key: str = "doc_id") -> DataFrame:
-    """(key, fp): the fingerprint as a signed 64-bit number, made where the text is read."""
+def fingerprints(docs: DataFrame, words_each: int = 4, key: str = "doc_id", distinct: bool = False) -> DataFrame:
+    """(key, fp): the fingerprint as a signed 64-bit number, made where the text is read. With
+    distinct a shingle counts once however often it occurs."""
+    pick = np.unique if distinct else np.asarray
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            fps = [fingerprint(shingle_hashes(t or "", words_each)) for t in b.column(1).to_pylist()]
+            fps = [fingerprint(pick(shingle_hashes(t or "", words_each))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=[key, "fp"])
 
     return docs.select(key, "text").mapInArrow(run, T.StructType([docs.schema[key], T.StructField("fp", T.LongType())]))
@@ -238,6 +240,64 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, bits: int = 7, segments: int = 8, rounds: int = 6) -> DataFrame:
+    """(doc_id, md5) of the documents to drop, so that one of each group of near copies stays.
+
+    Near copies share a similarity of their word shingles. SimHash finds the candidates: the
+    fingerprint of a text's distinct words changes little with a few words, where that of its
+    shingles does not (copies at 0.8 differ in ten bits of 64). Components of fingerprints are
+    then checked exactly. In each round texts of a component that share a least hash of their
+    shingles are compared with the first of them, and dropped if they are similar; the hash
+    changes from round to round, so two similar texts escape all of them with a probability of
+    (1 - similarity) ** rounds. Equal texts are dropped beforehand, by digest.
+    """
+    rows = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("md5"), "text")
+    rid = F.struct("doc_id", "md5")
+    prints = written(fingerprints(rows.select(rid.alias("rid"), "text"), 1, "rid", True).select("rid.*", "fp").distinct())
+    first = prints.groupBy("md5").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))).alias("m"), F.first("fp").alias("fp")).select("md5", F.col("m.i").alias("doc_id"), "fp")
+    first = written(first)
+    equal = prints.join(first.select("md5", F.col("doc_id").alias("_kept")), "md5").where(~F.col("doc_id").eqNullSafe(F.col("_kept"))).select("doc_id", "md5")
+    nodes = first.select("fp").distinct()
+    roots = components(edges(nodes, bits, segments))
+    grouped = first.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "md5", F.coalesce("root", "fp").alias("root"))
+    many = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    asked = written(grouped.join(many, "root"))
+
+    def shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            sets = [np.unique(shingle_hashes(t or "", words_each)).view(np.int64) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "md5", "root", "s"])
+
+    texts = join_small(rows.select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), "text"), asked, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_md5") == F.col("md5")))
+    texts = texts.select("doc_id", "md5", "root", "text").dropDuplicates(["doc_id", "md5"])
+    left = written(texts.mapInArrow(shingled, T.StructType([*texts.select("doc_id", "md5", "root").schema.fields, T.StructField("s", T.ArrayType(T.LongType()))])))
+    dropped = [equal]
+    for k in range(rounds):
+        seen = left.withColumn("h", F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k)))))  # noqa: B023
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "md5")
+        heads = seen.groupBy(F.col("root").alias("_root"), F.col("h").alias("_h")).agg(F.min_by(F.struct("md5", "s"), order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        both = F.size(F.array_intersect("s", "head.s"))
+        alike = F.coalesce((F.col("md5") != F.col("head.md5")) & (both >= F.lit(similarity) * (F.size("s") + F.size("head.s") - both)), F.lit(False))
+        judged = written(seen.join(heads, F.col("root").eqNullSafe(F.col("_root")) & F.col("h").eqNullSafe(F.col("_h")), "left").select("doc_id", "md5", "root", "s", alike.alias("alike")))
+        dropped.append(judged.where("alike").select("doc_id", "md5"))
+        left = judged.where("not alike").drop("alike")
+    out = dropped[0]
+    for d in dropped[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """Docs without their near copies; of rows that are repeated as a whole one stays."""
+    drop = written(near_duplicates(docs, **options)).withColumnsRenamed({"doc_id": "_id", "md5": "_drop"})
+    marked = docs.withColumn("_md5", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    kept = join_small(marked, drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_drop")), "left_anti")
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    if narrow.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        return kept.drop("_md5")
+    return kept.dropDuplicates(["doc_id", "_md5"]).drop("_md5")
+
+
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -247,7 +307,7 @@ def near_components(docs: DataFrame, words_each: int = 4, bits: int = BITS, segm
     prints = written(fingerprints(docs, words_each, key))
     nodes = written(prints.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(edges(nodes, bits, segments))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select("fp", "component_id")
     return prints.join(of, "fp").select(key, hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
