@@ -47,13 +47,13 @@ def read_boundaries(spark: SparkSession, path: str, known: DataFrame | None = No
     """Edges of (multi) polygons. A feature's name is the first non-empty of three keys and is
     mapped to a code by known (name, code); features of other names are left out."""
     names = ("name", "NAME", "NAME_1")
-    props = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    props = T.MapType(T.StringType(), T.StringType())  # two of the names differ in case alone
     geom = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
     head = T.StructType([T.StructField("features", T.ArrayType(T.StructType([T.StructField("properties", props), T.StructField("geometry", geom)])))])
     poly = T.ArrayType(_LINE)
     f = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", head)["features"]).alias("feature_idx", "f"))
     shape = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json("f.geometry.coordinates", T.ArrayType(poly))).when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", poly)))
-    f = f.select("feature_idx", F.coalesce(*[F.nullif(F.col(f"f.properties.`{n}`"), F.lit("")) for n in names]).alias("state"), shape.alias("polys"))
+    f = f.select("feature_idx", F.coalesce(*[F.nullif(F.col("f.properties")[n], F.lit("")) for n in names]).alias("state"), shape.alias("polys"))
     if known is not None:
         f = f.join(known.select(F.col("name").alias("state"), "code"), "state").drop("state").withColumnRenamed("code", "state")
     r = f.select("feature_idx", "state", F.posexplode("polys").alias("poly_idx", "rings")).select("feature_idx", "state", "poly_idx", F.posexplode("rings").alias("ring_idx", "ring"))
