@@ -21,7 +21,7 @@ component.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,10 @@ BITS, SEGMENTS = 4, 5
 BLOCK = 2048
 #: Fingerprints under one key from which it is dealt to several parts.
 HOT_ROWS = 4 * BLOCK
+#: Pairs of fingerprints compared at a time where keys have few.
+PAIRS = 1 << 20
+#: Words whose hashes a worker keeps.
+CACHE_WORDS = 1 << 19
 
 
 def shingle_hashes(text: str, words_each: int) -> np.ndarray:
@@ -54,6 +58,21 @@ def shingle_hashes(text: str, words_each: int) -> np.ndarray:
     return np.array([h(data[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())], dtype=np.uint64)
 
 
+class WordHashes(dict):
+    """XXH64 of words, each worked out once."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+    def distinct(self, text: str) -> np.ndarray:
+        """Hashes of a text's distinct lower-cased words."""
+        words = set(text.encode().lower().split())
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bits that are set in over half of the hashes, as an unsigned number."""
     n, votes = len(hashes), np.zeros(64, dtype=np.int64)
@@ -65,12 +84,12 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, words_each: int = 4, key: str = "doc_id", distinct: bool = False) -> DataFrame:
     """(key, fp): the fingerprint as a signed 64-bit number, made where the text is read. With
-    distinct a shingle counts once however often it occurs."""
-    pick = np.unique if distinct else np.asarray
+    distinct it is that of the words, each counted once however often it occurs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes().distinct if distinct else partial(shingle_hashes, words_each=words_each)
         for b in batches(it):
-            fps = [fingerprint(pick(shingle_hashes(t or "", words_each))) for t in b.column(1).to_pylist()]
+            fps = [fingerprint(hashes(t or "")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=[key, "fp"])
 
     return docs.select(key, "text").mapInArrow(run, T.StructType([docs.schema[key], T.StructField("fp", T.LongType())]))
@@ -82,6 +101,7 @@ def ring(segments: int = SEGMENTS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+@cache
 def _masks(start: int, segments: int) -> list[np.uint64]:
     """Masks of the chains of 1, 2, ... segments from a start on the ring."""
     out, mask = [], 0
@@ -92,11 +112,11 @@ def _masks(start: int, segments: int) -> list[np.uint64]:
     return out
 
 
-def _keys(it: Iterator[pa.RecordBatch], bits: int, segments: int) -> Iterator[pa.RecordBatch]:
+def _keys(it: Iterator[pa.RecordBatch], bits: int, segments: int, probes: bool = True) -> Iterator[pa.RecordBatch]:
     """Rows (key, start, probe, fp): each fingerprint under the first two segments of each chain,
     and as a probe under each key that one flip in the second segment makes."""
     spans = ring(segments)
-    flips = [[np.uint64(0)] + ([np.uint64(1 << (a + i)) for i in range(w)] if 2 * bits // segments else []) for a, w in spans]
+    flips = [[np.uint64(0)] + ([np.uint64(1 << (a + i)) for i in range(w)] if probes and 2 * bits // segments else []) for a, w in spans]
     for b in it:
         fp = np.asarray(b.column(0)).view(np.uint64)
         for s in range(segments):
@@ -121,38 +141,73 @@ def linked(x: np.ndarray, y: np.ndarray, start: int, bits: int, segments: int) -
     return np.stack([i, j], axis=1)
 
 
-def block_edges(own: np.ndarray, probes: np.ndarray, start: int, bits: int, segments: int) -> list[tuple[int, int]]:
-    """Spanning edges of what is linked among own and between probes and own, under one key."""
-    root: dict[int, int] = {}
-    edges: list[tuple[int, int]] = []
+class Forest:
+    """Spanning edges of linked fingerprints, in the order in which they first join two trees."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
 
-    def find(a: int) -> int:
+    def find(self, a: int) -> int:
+        root = self.root
         while (p := root.setdefault(a, a)) != a:
             root[a] = root.setdefault(p, p)
             a = root[a]
         return a
 
-    def join(x: list[int], y: list[int], i: np.ndarray, j: np.ndarray) -> None:
-        # one pair for each y at a time; then all pairs that are joined by now drop out together
+    def join(self, x: list[int], y: list[int], i: np.ndarray, j: np.ndarray) -> None:
+        """Joins x[i] to y[j]: one pair for each y at a time; then all pairs that are joined by
+        now drop out together."""
+        find = self.find
         while len(i):
             one = np.full(len(y), -1)
             one[j[::-1]] = i[::-1]
             for b in np.flatnonzero(one >= 0).tolist():
                 p, q = find(x[one[b]]), find(y[b])
                 if p != q:
-                    root[max(p, q)] = min(p, q)
-                    edges.append((x[one[b]], y[b]))
+                    self.root[max(p, q)] = min(p, q)
+                    self.edges.append((x[one[b]], y[b]))
             apart = np.array([find(a) for a in x])[i] != np.array([find(a) for a in y])[j]
             i, j = i[apart], j[apart]
 
+
+def block_edges(own: np.ndarray, probes: np.ndarray, start: int, bits: int, segments: int) -> list[tuple[int, int]]:
+    """Spanning edges of what is linked among own and between probes and own, under one key."""
+    forest = Forest()
     for i in range(0, len(own), BLOCK):
         x = own[i : i + BLOCK]
         for other in (own[i:], probes):
             for j in range(0, len(other), BLOCK):
                 y = other[j : j + BLOCK]
                 hit = linked(x, y, start, bits, segments)
-                join(x.view(np.int64).tolist(), y.view(np.int64).tolist(), hit[:, 0], hit[:, 1])
-    return edges
+                forest.join(x.view(np.int64).tolist(), y.view(np.int64).tolist(), hit[:, 0], hit[:, 1])
+    return forest.edges
+
+
+def small_edges(fp: np.ndarray, at: np.ndarray, end: np.ndarray, start: int, bits: int, segments: int) -> list[tuple[int, int]]:
+    """Spanning edges under many keys at once: the fingerprint in each place of at is compared
+    with those behind it up to the place's end, which are at most BLOCK.
+
+    What lies under one key is within the budget of the first two segments already.
+    """
+    forest = Forest()
+    n = end - at - 1
+    total = np.cumsum(n)
+    i = 0
+    while i < len(at):
+        k = max(i + 1, int(np.searchsorted(total, total[i] - n[i] + PAIRS, side="right")))
+        x = np.repeat(at[i:k], n[i:k])
+        y = x + 1 + np.arange(len(x)) - np.repeat(total[i:k] - n[i:k] - (total[i] - n[i]), n[i:k])
+        d = fp[x] ^ fp[y]
+        for c, mask in enumerate(_masks(start, segments)[2:], 3):
+            keep = np.bitwise_count(d & mask) <= c * bits // segments
+            x, y, d = x[keep], y[keep], d[keep]
+        if len(x):
+            nodes, place = np.unique(np.concatenate([fp[x], fp[y]]), return_inverse=True)
+            names = nodes.view(np.int64).tolist()
+            forest.join(names, names, place[: len(x)], place[len(x) :])
+        i = k
+    return forest.edges
 
 
 def _meet(it: Iterator[pa.RecordBatch], bits: int, segments: int) -> Iterator[pa.RecordBatch]:
@@ -164,11 +219,18 @@ def _meet(it: Iterator[pa.RecordBatch], bits: int, segments: int) -> Iterator[pa
         part, start, key, probe, fp = c
         new = np.flatnonzero((part[1:] != part[:-1]) | (start[1:] != start[:-1]) | (key[1:] != key[:-1])) + 1
         a, b = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
-        firsts = ~probe[a]
+        mid = a + np.add.reduceat(~probe, a)  # probes come last
+        prints = fp.view(np.uint64)
         found: list[tuple[int, int]] = []
-        for i, j in zip(a[(b - a > 1) & firsts].tolist(), b[(b - a > 1) & firsts].tolist()):
-            n = int(j - i - probe[i:j].sum())
-            found += block_edges(fp[i : i + n].view(np.uint64), fp[i + n : j].view(np.uint64), int(start[i]), bits, segments)
+        meets = (b - a > 1) & (mid > a)
+        for s in np.unique(start[a[meets]]).tolist():
+            here = meets & (start[a] == s)
+            few = here & (b - a <= BLOCK)
+            own = (mid - a)[few]
+            at = np.repeat(a[few] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            found += small_edges(prints, at, np.repeat(b[few], own), s, bits, segments)
+            for i, m, j in zip(*[x[here & ~few].tolist() for x in (a, mid, b)]):
+                found += block_edges(prints[i:m], prints[m:j], s, bits, segments)
         e = np.array(sorted(set((min(p), max(p)) for p in found)), dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
@@ -196,8 +258,9 @@ def edges(fps: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> DataFra
     """
     if segments <= bits:
         raise ValueError("more segments than bits are needed for an equal first segment")
-    keyed = fps.select("fp").mapInArrow(partial(_keys, bits=bits, segments=segments), "key long, start byte, probe boolean, fp long")
-    hot = written(keyed.where(~F.col("probe")).groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS))
+    under = lambda **k: fps.select("fp").mapInArrow(partial(_keys, bits=bits, segments=segments, **k), "key long, start byte, probe boolean, fp long")
+    keyed = under()
+    hot = written(under(probes=False).groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS))
     ready = keyed.withColumn("part", F.lit(0))
     if not hot.isEmpty():
         parts = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
