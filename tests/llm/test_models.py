@@ -142,6 +142,27 @@ def test_near_dedup(spark):
     assert near_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_copies_of_one_source(spark):
+    """Copies that are like their source but not like each other are one group, whatever the order."""
+    import random
+
+    from waymark.llm.simhash import near_dedup
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(6):
+        source = [rng.choice("abcdefgh") + str(rng.randrange(5000)) for _ in range(300)]
+        group = []
+        for c in range(7):
+            w = list(source)
+            for at in range(10 + 6 * c, 285, 56):  # five places that no other copy shares a shingle of
+                w[at] = f"edit{g}x{c}x{at}"
+            group.append(" ".join(w))
+        group.insert(2 + g % 6, " ".join(source))
+        rows += [(100 * g + k, t, "en", "a", 1) for k, t in enumerate(group)]
+    assert sorted(r["doc_id"] for r in near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()) == [100 * g for g in range(6)]
+
+
 def test_pipeline(spark):
     """Stages hold their promises one by one on the small tables."""
     import corpus_pipeline as p

@@ -41,6 +41,8 @@ BLOCK = 2048
 HOT_ROWS = 4 * BLOCK
 #: Pairs of fingerprints compared at a time where keys have few.
 PAIRS = 1 << 20
+#: Least shingle hashes by which a text's place in its component is judged.
+SKETCH = 128
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 1 << 19
 
@@ -303,16 +305,58 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, bits: int = 7, segments: int = 8, rounds: int = 6) -> DataFrame:
+def _shingled(it: Iterator[pa.RecordBatch], words_each: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (md5, root, text) to (md5, root, n, s, h, q): the set of shingles, its size, its least
+    value under each of several hashes, and its SKETCH least values under the first."""
+    turn = np.random.default_rng(SEED).integers(1, 1 << 63, size=least, dtype=np.uint64) | np.uint64(1)
+    for b in batches(it):
+        sets = [np.unique(shingle_hashes(t or "", words_each)) for t in b.column(2).to_pylist()]
+        mins, sketch = [], []
+        for s in sets:
+            mixed = [s * m for m in turn] if len(s) else []
+            sketch.append(np.sort(mixed[0])[:SKETCH].view(np.int64) if mixed else [])
+            mins.append([int((x ^ (x >> np.uint64(29))).min().view(np.int64)) for x in mixed] or [0] * least)
+        made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], *made], names=["md5", "root", "n", "s", "h", "q"])
+
+
+def similar(texts: DataFrame, similarity: float = 0.8, words_each: int = 5, least: int = 8) -> DataFrame:
+    """Links (a, b) of the texts (md5, root, text) whose shingle sets are as similar as asked.
+
+    Texts of one component that share a least hash meet. Each is compared with two of those it
+    meets: the one whose shingles most of the component has, as the source of a group of edited
+    copies, told from a sketch; and one that differs from hash to hash. So n texts make at most
+    2 * least * n comparisons, each exact.
+    """
+    extra = T.StructType([T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in "shq"]])
+    run = partial(_shingled, words_each=words_each, least=least)
+    sets = written(texts.select("md5", "root", "text").mapInArrow(run, T.StructType([*texts.select("md5", "root").schema.fields, *extra.fields])))
+    narrow = written(sets.select("md5", "root", "n", F.posexplode("h").alias("k", "h")))
+    where = ["root", "k", "h"]
+    shared = narrow.groupBy(*where).agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    meets = narrow.join(shared, where).select("md5", "n", *where)
+    sketch = sets.select("md5", "root", F.explode("q").alias("q"))
+    fame = sketch.join(sketch.groupBy("root", "q").agg(F.count(F.lit(1)).alias("has")), ["root", "q"]).groupBy("md5").agg(F.sum("has").alias("fame"))
+    known = written(meets.join(fame, "md5", "left").withColumn("fame", F.coalesce("fame", F.lit(0))))
+    head = F.struct("md5", "n")
+    heads = known.groupBy(*where).agg(F.min_by(head, F.struct(-F.col("fame"), "md5")).alias("first"), F.min_by(head, F.struct(F.xxhash64("md5", "k"), "md5")).alias("other"))
+    met = known.join(heads, where).select(F.col("md5").alias("a"), F.col("n").alias("n_a"), F.explode(F.array("first", "other")).alias("head"))
+    fit = (F.col("a") != F.col("head.md5")) & (F.least("n_a", "head.n") >= F.lit(similarity) * F.greatest("n_a", "head.n"))
+    pairs = met.where(fit).select(F.greatest("a", "head.md5").alias("a"), F.least("a", "head.md5").alias("b")).distinct()
+    side = lambda x: sets.select(F.col("md5").alias(x), F.col("s").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    alike = both >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - both)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, bits: int = 8, segments: int = 9) -> DataFrame:
     """(doc_id, md5) of the documents to drop, so that one of each group of near copies stays.
 
     Near copies share a similarity of their word shingles. SimHash finds the candidates: the
     fingerprint of a text's distinct words changes little with a few words, where that of its
-    shingles does not (copies at 0.8 differ in ten bits of 64). Components of fingerprints are
-    then checked exactly. In each round texts of a component that share a least hash of their
-    shingles are compared with the first of them, and dropped if they are similar; the hash
-    changes from round to round, so two similar texts escape all of them with a probability of
-    (1 - similarity) ** rounds. Equal texts are dropped beforehand, by digest.
+    shingles does not (copies at 0.8 differ in ten bits of 64). Links within components of
+    fingerprints are then checked exactly, and a group is what such links connect; its
+    smallest doc_id stays. Equal texts are dropped beforehand, by digest.
     """
     rows = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("md5"), "text")
     rid = F.struct("doc_id", "md5")
@@ -324,30 +368,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_each: int =
     roots = components(edges(nodes, bits, segments))
     grouped = first.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "md5", F.coalesce("root", "fp").alias("root"))
     many = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    asked = written(grouped.join(many, "root"))
-
-    def shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
-            sets = [np.unique(shingle_hashes(t or "", words_each)).view(np.int64) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "md5", "root", "s"])
-
-    texts = join_small(rows.select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), "text"), asked, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_md5") == F.col("md5")))
-    texts = texts.select("doc_id", "md5", "root", "text").dropDuplicates(["doc_id", "md5"])
-    left = written(texts.mapInArrow(shingled, T.StructType([*texts.select("doc_id", "md5", "root").schema.fields, T.StructField("s", T.ArrayType(T.LongType()))])))
-    dropped = [equal]
-    for k in range(rounds):
-        seen = left.withColumn("h", F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k)))))  # noqa: B023
-        order = F.struct(F.col("doc_id").isNull(), "doc_id", "md5")
-        heads = seen.groupBy(F.col("root").alias("_root"), F.col("h").alias("_h")).agg(F.min_by(F.struct("md5", "s"), order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        both = F.size(F.array_intersect("s", "head.s"))
-        alike = F.coalesce((F.col("md5") != F.col("head.md5")) & (both >= F.lit(similarity) * (F.size("s") + F.size("head.s") - both)), F.lit(False))
-        judged = written(seen.join(heads, F.col("root").eqNullSafe(F.col("_root")) & F.col("h").eqNullSafe(F.col("_h")), "left").select("doc_id", "md5", "root", "s", alike.alias("alike")))
-        dropped.append(judged.where("alike").select("doc_id", "md5"))
-        left = judged.where("not alike").drop("alike")
-    out = dropped[0]
-    for d in dropped[1:]:
-        out = out.unionByName(d)
-    return out
+    asked = written(grouped.join(many, "root")).withColumnRenamed("doc_id", "_id")
+    texts = join_small(rows, asked.withColumnRenamed("md5", "_md5"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("md5") == F.col("_md5")))
+    groups = components(similar(texts.select("md5", "root", "text").dropDuplicates(["md5"]), similarity, words_each))
+    of = asked.select("md5", F.col("_id").alias("doc_id")).join(groups, F.col("md5") == F.col("node")).select("doc_id", "md5", F.col("root").alias("team"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "md5")
+    stays = of.groupBy("team").agg(F.min_by("md5", order).alias("stays"))
+    return equal.unionByName(of.join(stays, "team").where("md5 <> stays").select("doc_id", "md5"))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
