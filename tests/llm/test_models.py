@@ -163,6 +163,47 @@ def test_near_dedup_of_copies_of_one_source(spark):
     assert sorted(r["doc_id"] for r in near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()) == [100 * g for g in range(6)]
 
 
+def test_near_dedup_of_many_copies_without_their_source(spark):
+    """Of 1,200 copies of a text that is not there, what brute force links is one group."""
+    import random
+
+    import numpy as np
+
+    from waymark.llm import simhash
+
+    rng = random.Random(11)
+    source = [f"word{rng.randrange(4000)}" for _ in range(300)]
+    texts = []
+    for _ in range(1200):
+        w = list(source)
+        for at in rng.sample(range(7, 293, 5), 4):  # each changes five shingles; texts link if they share two places
+            w[at] = f"edit{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[k : k + 5]) for k in range(296)} for w in map(str.split, texts)]
+    number: dict = {}
+    rows = [[number.setdefault(s, len(number)) for s in x] for x in sets]
+    has = np.zeros((len(texts), len(number)), dtype=np.float32)
+    for i, r in enumerate(rows):
+        has[i, r] = 1
+    both = (has @ has.T).astype(float)
+    sizes = np.array([len(x) for x in sets])
+    forest = simhash.Forest()
+    for i, j in zip(*np.nonzero(np.triu(both >= 0.8 * (sizes[:, None] + sizes[None, :] - both), 1))):
+        forest.join([int(i)], [int(j)], np.array([0]), np.array([0]))
+    want = {frozenset(i for i in range(len(texts)) if forest.find(i) == r) for r in map(forest.find, range(len(texts)))}
+    assert max(map(len, want)) > 1000
+    df = spark.createDataFrame([(f"{i:04d}", 7, t) for i, t in enumerate(texts)], "md5 string, root long, text string")
+    kept = simhash.TEXTS
+    for blocks in (256, 1024):
+        simhash.TEXTS = blocks
+        links = simhash.components(simhash.similar(df)).collect()
+        got: dict = {}
+        for r in links:
+            got.setdefault(r["root"], set()).add(int(r["node"]))
+        assert {frozenset(g) for g in got.values()} == {g for g in want if len(g) > 1}
+    simhash.TEXTS = kept
+
+
 def test_pipeline(spark):
     """Stages hold their promises one by one on the small tables."""
     import corpus_pipeline as p

@@ -43,6 +43,8 @@ HOT_ROWS = 4 * BLOCK
 PAIRS = 1 << 20
 #: Least shingle hashes by which a text's place in its component is judged.
 SKETCH = 128
+#: Texts and shingles of a block of near texts, and the shingles looked up at a time.
+TEXTS, SHINGLES, COLUMNS = 1024, 1 << 19, 2048
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 1 << 19
 
@@ -321,12 +323,13 @@ def _shingled(it: Iterator[pa.RecordBatch], words_each: int, least: int) -> Iter
 
 
 def similar(texts: DataFrame, similarity: float = 0.8, words_each: int = 5, least: int = 8) -> DataFrame:
-    """Links (a, b) of the texts (md5, root, text) whose shingle sets are as similar as asked.
+    """Links (a, b) that connect the texts (md5, root, text) of each component whose shingle sets
+    are as similar as asked.
 
-    Texts of one component that share a least hash meet. Each is compared with two of those it
-    meets: the one whose shingles most of the component has, as the source of a group of edited
-    copies, told from a sketch; and one that differs from hash to hash. So n texts make at most
-    2 * least * n comparisons, each exact.
+    First, texts that share a least hash are compared with two of those they meet: the one whose
+    shingles most of the component has, as the source of a group of edited copies, told from a
+    sketch; and one that differs from hash to hash. So n texts make at most 2 * least * n
+    comparisons. What these links leave apart is then compared exactly by ``apart``.
     """
     extra = T.StructType([T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in "shq"]])
     run = partial(_shingled, words_each=words_each, least=least)
@@ -346,7 +349,81 @@ def similar(texts: DataFrame, similarity: float = 0.8, words_each: int = 5, leas
     side = lambda x: sets.select(F.col("md5").alias(x), F.col("s").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     alike = both >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - both)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
+    teams = written(components(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")))
+    named = sets.select("md5", "root", "n", "s").join(teams.select(F.col("node").alias("md5"), F.col("root").alias("team")), "md5", "left").withColumn("team", F.coalesce("team", "md5"))
+    return teams.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(apart(named, similarity))
+
+
+def apart(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between teams of the sets (md5, root, n, s, team) that hold a pair of texts of
+    one component (root) as similar as asked; no such pair is missed.
+
+    Of n shingles, in an order that all texts share, similar texts have one in common among
+    the first n - similarity * n + 1. Shingles that a single team has come first and meet nothing,
+    then rare ones, so a text keeps keys only if nearly all of its shingles occur in other
+    teams. What keys connect is compared in full, in pairs of blocks of bounded size.
+    """
+    several = sets.groupBy("root").agg(F.min("team").alias("lo"), F.max("team").alias("hi")).where("lo <> hi").select("root")
+    left = written(join_small(sets, written(several), "root", "left_semi").where("n > 0").withColumn("i", F.xxhash64("md5")))
+    each = left.select("i", "root", "n", F.xxhash64("team").alias("t"), F.explode("s").alias("x"))
+    shared = each.groupBy("root", "x").agg(F.count(F.lit(1)).alias("f"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("root", "x", "f")
+    least = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-6)).cast("int")
+    ranked = each.join(shared, ["root", "x"]).groupBy("i", "root", "n").agg(F.collect_list(F.struct("f", "x")).alias("k")).where(F.size("k") >= least)
+    keys = written(ranked.select("i", "root", F.explode(F.slice(F.array_sort("k"), F.lit(1), F.size("k") - least + 1)).alias("k")).select("i", "root", "k.x"))
+    met = keys.groupBy("root", "x").agg(F.min("i").alias("m"))
+    near = written(components(keys.join(met, ["root", "x"]).select(F.col("i").alias("a"), F.col("m").alias("b"))).withColumnsRenamed({"node": "i", "root": "near"}))
+    rows = left.select("i", "md5", "team", "n", "s").join(near, "i")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts")
+    rows = rows.join(rows.groupBy("near").agg(parts), "near").withColumn("home", F.pmod(F.xxhash64("md5", F.lit(SEED)), F.col("parts")).cast("int"))
+    dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("near", F.least("home", "with").alias("u"), F.greatest("home", "with").alias("v"), "home", "team", "s")
+    dealt = dealt.repartition(shuffle_partitions(sets.sparkSession), "near", "u", "v").sortWithinPartitions("near", "u", "v")
+    return dealt.mapInArrow(partial(_compare, similarity=similarity), "a string, b string").distinct()
+
+
+def _compare(it: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of teams in rows (near, u, v, home, team, s) that come sorted by near and pair of
+    blocks (u, v); what lies under one pair may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in it:
+        if not b.num_rows:
+            continue
+        where = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+        cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            now = tuple(where[:, start].tolist())
+            if held and now != last:
+                yield team_links(held, similarity)
+                held = []
+            held.append(b.slice(start, end - start))
+            last = now
+    if held:
+        yield team_links(held, similarity)
+
+
+def team_links(rows: list[pa.RecordBatch], similarity: float) -> pa.RecordBatch:
+    """Spanning links of the teams that a similar pair of texts of blocks u and v connects."""
+    table = pa.Table.from_batches(rows).combine_chunks()
+    u, v = table.column("u")[0].as_py(), table.column("v")[0].as_py()
+    home, team, sets = table.column("home").to_numpy(), table.column("team").to_pylist(), table.column("s").chunk(0)
+    n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    _, col, often = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(n)), n)[often[col] > 1]
+    col = (np.cumsum(often > 1) - 1)[col[often[col] > 1]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    x, y = np.flatnonzero(home == u), np.flatnonzero(home == v)
+    both = np.zeros((len(x), len(y)))
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        a, b = np.searchsorted(col, [c, c + COLUMNS])
+        has = np.zeros((len(n), COLUMNS), dtype=np.float32)
+        has[row[a:b], col[a:b] - c] = 1
+        both += has[x] @ has[y].T
+    number = np.unique(np.array(team), return_inverse=True)[1]
+    alike = (both >= similarity * (n[x][:, None] + n[y][None, :] - both)) & (number[x][:, None] != number[y][None, :])
+    forest = Forest()
+    forest.join([team[k] for k in x], [team[k] for k in y], *np.nonzero(alike))
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in forest.edges], pa.string()) for k in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, bits: int = 8, segments: int = 9) -> DataFrame:
