@@ -77,6 +77,31 @@ def test_quality_keeps_base(spark):
         assert r["base_failed"] == bad and not (bad and r["kept"])
 
 
+def test_quality_rejects_junk_of_every_language(spark):
+    """With enough labels for five rules and four languages, planted junk goes and good texts stay."""
+    import random
+
+    from waymark.llm import quality
+
+    rng = random.Random(3)
+    rows, labels = [], []
+    for lang in ("en", "fr", "de", "es"):
+        for k in range(1650):
+            junk = k >= 1600
+            words = [f"{rng.randrange(10**6):06d}" + "#" * (junk and i % 2) for i in range(60)]
+            labels.append((len(rows), int(not junk)))
+            rows.append((len(rows), lang, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.quality_rules(docs, labels).where("kept").collect()}
+    assert kept == {i for i in range(len(rows)) if i % 1650 < 1600}
+    told = quality.report(quality.rule_bins(quality.counts(docs)), labels).collect()
+    assert {(r["lang"], r["documents"], r["labels"], r["rejected_symbols"]) for r in told} == {(x, 1650, 1600, 50) for x in ("en", "fr", "de", "es")}
+    need = quality.labels_needed(4)
+    assert {r["needed"] for r in told} == {need}
+    assert quality.most_rejected(need, quality.RISK / 5, quality.DELTA / 20) == 0 and quality.most_rejected(need - 1, quality.RISK / 5, quality.DELTA / 20) == -1
+
+
 def jump(key, n):
     key, b, j = key & (1 << 64) - 1, -1, 0
     while j < n:

@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs bound the share of good documents that they reject.
 
-For each rule a fixed grid of cutoffs is tried on labelled documents. Per stratum (language)
-the good documents beyond a cutoff are counted, and the exact (Clopper-Pearson) upper bound of
-their share is taken at a confidence that is divided by the number of all cutoffs tried in all
-strata (Bonferroni). The strictest cutoff with a bound of at most ``risk`` divided among the
-rules is used, so the rules together reject at most ``risk`` of the good documents of any
-stratum, with the stated confidence. A stratum with too few labels gets no cutoff.
+For each rule a fixed grid of cutoffs is tried on labelled documents, from the loosest inward up
+to the first that fails (fixed-sequence testing, which needs no correction for their number). Per
+stratum (language) the good documents beyond a cutoff are counted, and the exact
+(Clopper-Pearson) upper bound of their share is taken at a confidence that is divided by the
+number of rules and strata (Bonferroni). The last cutoff with a bound of at most ``risk`` divided
+among the rules is used, so the rules together reject at most ``risk`` of the good documents of any
+stratum, with the stated confidence. A stratum with fewer labels than ``labels_needed`` gets no
+cutoff; ``report`` tells which.
 
 Base rules are fixed: under 50 words, or over half of the words in repeated three-word windows.
 
@@ -147,6 +149,11 @@ def most_rejected(n: int, risk: float, delta: float) -> int:
     return lo
 
 
+def labels_needed(strata: int, risk: float = RISK, delta: float = DELTA) -> int:
+    """Good labels of a stratum from which on a rule that rejects none of them gets a cutoff."""
+    return math.ceil(math.log(delta / max(1, strata) / len(RULES)) / math.log1p(-risk / len(RULES)))
+
+
 def cutoffs(binned: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> dict[str | None, dict[str, int]]:
     """Per stratum the highest bin that each rule lets pass, from all labelled documents.
 
@@ -160,13 +167,14 @@ def cutoffs(binned: DataFrame, labels: DataFrame, stratum: str = "lang", risk: f
     hist: dict = {}
     for r in table.collect():
         hist.setdefault(r["s"], {}).setdefault(r["rule"], np.zeros(BINS, dtype=np.int64))[r["bin"]] += r["n"]
-    tests = max(1, len(hist)) * len(RULES) * BINS
+    tests = max(1, len(hist)) * len(RULES)
     out: dict = {}
     for s, by in hist.items():
         n = int(next(iter(by.values())).sum())
         most = most_rejected(n, risk / len(RULES), delta / tests)
         if most >= 0:
             above = {r: np.concatenate([h[::-1].cumsum()[::-1][1:], [0]]) for r, h in by.items()}
+            # what lies above grows inward, so the first cutoff that passes is the last of the sequence
             out[s] = {r: int(np.argmax(a <= most)) for r, a in above.items()}
     return out
 
@@ -182,6 +190,23 @@ def apply_cutoffs(binned: DataFrame, cuts: dict, stratum: str = "lang") -> DataF
     return binned.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~verdict)
 
 
+def report(binned: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Per stratum its documents, good labels past the base rules, the labels needed for a cutoff,
+    and how many documents past the base rules each rule rejects (rejected_<rule>)."""
+    cuts = cutoffs(binned, labels, stratum, risk, delta)
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id"))
+    rest = binned.where(~base_failed())
+    n = rest.join(good, F.col("doc_id") == F.col("_id")).groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("labels"))
+    needed = labels_needed(n.count(), risk, delta)
+    over = {r: F.lit(False) for r in RULES}
+    for s, by in cuts.items():
+        for r, top in by.items():
+            over[r] = over[r] | (F.col(stratum).eqNullSafe(F.lit(s)) & (F.col(f"bin_{r}") > top))
+    seen = rest.groupBy(stratum).agg(F.count(F.lit(1)).alias("documents"), *[F.count_if(over[r]).alias(f"rejected_{r}") for r in RULES])
+    told = seen.join(n, F.col(stratum).eqNullSafe(F.col("_s")), "left").drop("_s")
+    return told.withColumns({"labels": F.coalesce("labels", F.lit(0)), "needed": F.lit(needed)})
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """doc_id, counts, base_failed and kept for every document."""
     binned = written(rule_bins(counts(docs.select("doc_id", "lang", "text"))))
