@@ -149,3 +149,15 @@ def test_queries_match_sql(spark):
         at = [want.columns.index(k) for k in cols]
         key = lambda r: [(v is None, str(v)) for v in r]
         assert sorted((tuple(r) for r in df.select(*cols).collect()), key=key) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=key), name
+
+
+def test_path_queries_take_whole_tables(spark):
+    from waymark import queries
+    from waymark.sources.fixtures import view
+
+    sf = "/root/testdata/sf0.001"
+    points, targets = view(spark, sf, "fx_points").count(), view(spark, sf, "fx_targets").count()
+    assert queries.match_in_order(spark, sf).select("ord").distinct().count() == points
+    rows = queries.sample_path(spark, sf).collect()
+    assert sum(r["is_anchor"] for r in rows) == targets and len(rows) > targets
+    assert all(r["state"] is not None for r in rows if r["is_anchor"])

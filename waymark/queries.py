@@ -182,13 +182,15 @@ def interpolate(spark, d):
 
 @query()
 def sample_path(spark, d):
-    anchors = view(spark, d, "fx_points").where("ord % 25 = 0").select(F.lit("p").alias("path_id"), "ord", (F.col("ord") / F.lit(10.0)).alias("mile"), "lat", "lon", "state")
+    targets = view(spark, d, "fx_targets")
+    near = snapping.snap_miles(targets.select("qid", "qmile", F.lit(None).cast("string").alias("qstate")), view(spark, d, "fx_points")).select("qid", "state")
+    anchors = targets.join(near, "qid").select(F.lit("p").alias("path_id"), F.col("qid").alias("ord"), F.col("qmile").alias("mile"), F.col("qlat").alias("lat"), F.col("qlng").alias("lon"), "state")
     return paths.sample_path(anchors, _path(spark, d)).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
 @query()
 def match_in_order(spark, d):
-    anchors = view(spark, d, "fx_points").where("ord % 25 = 0").select(F.lit("p").alias("path_id"), "ord", "lat", "lon")
+    anchors = view(spark, d, "fx_points").select(F.lit("p").alias("path_id"), "ord", "lat", "lon")
     return paths.match_in_order(anchors, _path(spark, d))
 
 
