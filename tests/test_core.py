@@ -1,13 +1,19 @@
 """Golden rows of the trail operators and properties that hold for any data."""
 
 import json
+import math
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, labels
 from waymark.operators import enrich, paths, polygons, progress, snapping, stitch, store
+from waymark.queries import ORACLES, QUERIES
 from waymark.sources import readers, writers
+from waymark.sources.fixtures import view
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,12 +51,12 @@ def test_snap_miles(spark):
     assert got == {1: (3, None), 2: (0, 1.0), 3: (1, 2.0), 4: (2, 3.0), 5: (2, 3.0), 6: (None, None), 7: (None, None)}
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_snap_coordinates(spark, small):
+@pytest.mark.parametrize("degrees", [None, 1 / 64, 360.0])
+def test_snap_coordinates(spark, degrees):
     q = spark.createDataFrame([(1, 41.29, -72.1), (2, -80.0, 179.9), (3, None, 1.0)], "qid long, qlat double, qlng double")
-    got = {r["qid"]: r["ord"] for r in snapping.snap_coordinates(q, points(spark), small).collect()}
+    got = {r["qid"]: r["ord"] for r in snapping.snap_coordinates(q, points(spark), degrees).collect()}
     assert got[1] == 3 and got[2] is not None and got[3] is None
-    assert snapping.snap_coordinates(q, points(spark).limit(0), 1000).where("mile is null").count() == 3
+    assert snapping.snap_coordinates(q, points(spark).limit(0)).where("mile is null").count() == 3
 
 
 def test_states_for_range(spark):
@@ -69,7 +75,7 @@ def test_containment(spark):
     p = spark.createDataFrame([(i, float(y), float(x), "old") for i, (x, y) in enumerate(inside + outside)], "ord long, lat double, lon double, state string")
     done = polygons.reclassify(p, edges)
     assert {r["ord"] for r in done.where("state = 'S'").collect()} == set(range(len(inside)))
-    assert tuple(polygons.reclassify_summary(done).first()) == (6, 7, 13)
+    assert tuple(polygons.reclassify_summary(done).first()) == (6, 7, 13, [6, 7, 8, 9, 10])
 
 
 def gap_path(spark):
@@ -133,31 +139,114 @@ def test_elevation(spark):
     assert tuple(enrich.cache_counts(out).first()) == (2, 1) and enrich.pending(out).count() == 1
 
 
-def test_queries_match_sql(spark):
-    """The core queries equal their SQL on the smallest tables."""
-    import duckdb
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, sql, name):
+    """Each core query equals its SQL on the smallest tables."""
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    want = sql.sql(ORACLES[name])
+    assert sorted(want.columns) == cols
+    at = [want.columns.index(k) for k in cols]
+    text = lambda r: tuple(repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v) for v in r)
+    assert sorted(text(r) for r in df.select(*cols).collect()) == sorted(text(r[i] for i in at) for r in want.fetchall())
+
 
-    from waymark.queries import ORACLES, QUERIES
+@pytest.fixture(scope="module")
+def sql():
+    import duckdb
 
     c = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name in ("dashboard", "user_trail_totals", "snap_coordinates", "snap_miles", "states_for_range", "reclassify", "cumulative_miles", "nearest_vertices", "interpolate", "username_available", "constraint_violations", "streamed_events"):
-        df = QUERIES[name](spark, SF)
-        cols = sorted(df.columns)
-        want = c.sql(ORACLES[name])
-        at = [want.columns.index(k) for k in cols]
-        key = lambda r: [(v is None, str(v)) for v in r]
-        assert sorted((tuple(r) for r in df.select(*cols).collect()), key=key) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=key), name
+    return c
 
 
 def test_path_queries_take_whole_tables(spark):
-    from waymark import queries
-    from waymark.sources.fixtures import view
-
-    sf = "/root/testdata/sf0.001"
-    points, targets = view(spark, sf, "fx_points").count(), view(spark, sf, "fx_targets").count()
-    assert queries.match_in_order(spark, sf).select("ord").distinct().count() == points
-    rows = queries.sample_path(spark, sf).collect()
+    points, targets = view(spark, SF, "fx_points").count(), view(spark, SF, "fx_targets").count()
+    assert QUERIES["match_in_order"](spark, SF).select("ord").distinct().count() == points
+    rows = QUERIES["sample_path"](spark, SF).collect()
     assert sum(r["is_anchor"] for r in rows) == targets and len(rows) > targets
     assert all(r["state"] is not None for r in rows if r["is_anchor"])
+
+
+def miles(a, b):
+    y0, x0, y1, x1 = (math.radians(v) for v in (*a, *b))
+    h = math.sin((y1 - y0) / 2) ** 2 + math.cos(y0) * math.cos(y1) * math.sin((x1 - x0) / 2) ** 2
+    return 2 * geo.EARTH_MILES * math.asin(math.sqrt(min(h, 1.0)))
+
+
+@pytest.mark.parametrize("window", [3, 64, 4096])
+def test_ordered_match_stops_early(window):
+    """Against the plain scan, on a path that comes back near its start."""
+    rng = random.Random(4096)
+    path = [(35 + 0.3 * math.sin(k / 40), -83 + 0.001 * (k % 150) + rng.random() / 2000) for k in range(500)]
+    anchors = [(a + rng.choice([0, 1e-4, 0.02]), b) for a, b in (path[min(499, k + rng.randrange(-5, 6))] for k in range(10, 480, 9))]
+    want, at, stopped = [], 0, 0
+    for a in anchors:
+        best, place = math.inf, at
+        for i in range(at, len(path)):
+            d = miles(a, path[i])
+            if d < best:
+                best, place = d, i
+            elif d > best * 3 and best < 0.1:
+                stopped += 1
+                break
+        want.append(at := place)
+    assert stopped and paths.scan(np.array(anchors), np.array(path), window) == want
+
+
+def test_matches_go_forward(spark):
+    rows = QUERIES["match_in_order"](spark, SF).orderBy("path_id", "ord").collect()
+    assert all(b["vertex"] >= a["vertex"] for a, b in zip(rows, rows[1:]) if a["path_id"] == b["path_id"])
+
+
+def test_samples_before_an_odd_mile(spark):
+    anchors = spark.createDataFrame([("p", 0, 0.0, 0.0, 0.0, "A"), ("p", 1, 0.53, 0.0, 0.05, "B"), ("p", 2, 0.6, 0.0, 0.05, "B"), ("p", 3, 1.0, 0.0, 0.05, "B")], "path_id string, ord long, mile double, lat double, lon double, state string")
+    got = [r["mile"] for r in paths.sample_path(anchors, gap_path(spark)).where("not is_anchor").orderBy("mile").collect()]
+    assert got == [0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 0.8, 0.9]
+
+
+def test_fixed_decimals_are_exact(spark):
+    rng = random.Random(1)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(400)] + [k / 8 for k in range(-40, 40)] + [0.0, -0.0, 1e-300, 5e-7, 4.9999999e-7, 0.9999995, 9.95, 2.0**52 + 0.5]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(1)
+    for places in (1, 3, 6):
+        for r in df.select("x", labels.to_fixed(F.col("x"), places).alias("t")).collect():
+            want = str(Decimal(abs(r["x"])).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+            assert r["t"] == ("-" if r["x"] < 0 else "") + want
+    assert spark.range(1).select(labels.to_fixed(F.lit(float("nan")), 1)).first()[0] is None
+
+
+def test_blocks_split_and_hot_keys(spark):
+    """Blocks of two and parts of three rows give what one window would."""
+    from waymark.operators import blocks
+
+    rng = random.Random(4)
+    known = [(k, rng.choice([None, "a", "b"]), float(rng.randrange(40)) / 4) for k in range(80)]
+    asked = [(k, rng.choice([None, "a", "b", "c"]), rng.choice([5.0, rng.uniform(-5, 15)])) for k in range(200)]
+    kd = spark.createDataFrame(known, "tie long, k string, at double").withColumn("value", F.struct("tie"))
+    ad = spark.createDataFrame(asked, "q long, k string, at double")
+    for r in blocks.asof(ad, kd, ["k"], "at", 2.0, part_rows=3).collect():
+        mine = [(t, a) for t, k, a in known if k == r["k"]]
+        before = min(((-a, t) for t, a in mine if a <= r["at"]), default=None)
+        after = min(((a, t) for t, a in mine if a >= r["at"]), default=None)
+        assert (r["before"] and (-r["before"]["at"], r["before"]["tie"])) == before and (r["after"] and (r["after"]["at"], r["after"]["tie"])) == after
+
+
+def test_update_keeps_the_owner(spark):
+    df = spark.createDataFrame([("1", "u", "t"), ("2", "v", "t")], "id string, user_id string, trail_id string")
+    own = store.Secured(df, "segments", "u")
+    assert {tuple(r) for r in own.update("1", trail_id="n").collect()} == {("1", "u", "n"), ("2", "v", "t")}
+    assert own.update("2", trail_id="n").where("trail_id = 'n'").count() == 0
+    with pytest.raises(store.Refused):
+        own.update("1", user_id="v")
+
+
+def test_intermediate_tables_can_be_discarded(spark):
+    from waymark import session
+
+    path = session.scratch(spark)
+    spark.range(3).write.parquet(path)
+    session.discard(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(path)

@@ -32,6 +32,8 @@ def cache_counts(enriched: DataFrame) -> DataFrame:
     return enriched.agg(F.count_if("cache_hit").alias("hits"), F.count_if(~F.col("cache_hit")).alias("misses"))
 
 
-def far_anchors(anchors: DataFrame, limit_miles: float) -> DataFrame:
-    """Anchors that lie farther from the path than a limit."""
-    return anchors.where(F.col("vertex_miles") > limit_miles)
+def far_anchors(anchors: DataFrame, limit_miles: float, examples: int = 5) -> DataFrame:
+    """One row: how many anchors lie farther from the path than a limit, and the first few of them."""
+    far = anchors.where(F.col("vertex_miles") > limit_miles)
+    few = far.orderBy("ord").limit(examples).agg(F.array_sort(F.collect_list("ord")).alias("examples"))
+    return far.agg(F.count(F.lit(1)).alias("far")).join(F.broadcast(few))

@@ -1,63 +1,54 @@
-"""Classification of points by polygons: edges, rings, bounding boxes, containment."""
+"""Classification of points by polygons: edges, bounding boxes, containment.
+
+Edges are rows (feature_idx, state, poly_idx, ring_idx, xi, yi, xj, yj); ring 0 of a polygon is
+the outer one, others are holes. No ring is ever gathered: a polygon of any size is dealt by
+bands of latitude.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.labels import merge_border_state
 
-#: Degrees of the grid by which points meet the boxes of polygons.
-CELL = 1.0
-
-
-def features(edges: DataFrame) -> DataFrame:
-    """One row per feature of (feature_idx, state, poly_idx, ring_idx, xi, yi, xj, yj) edges:
-    its box and its rings as arrays of edges. Ring 0 of a polygon is the outer one."""
-    rings = edges.groupBy("feature_idx", "state", "poly_idx", "ring_idx").agg(
-        F.collect_list(F.struct("xi", "yi", "xj", "yj")).alias("edges"),
-        *[f(c).alias(n) for f, c, n in ((F.min, "xi", "x0"), (F.max, "xi", "x1"), (F.min, "yi", "y0"), (F.max, "yi", "y1"))],
-    )
-    return rings.groupBy("feature_idx", "state").agg(
-        F.collect_list(F.struct("poly_idx", "ring_idx", "edges")).alias("rings"),
-        F.min("x0").alias("min_lon"), F.max("x1").alias("max_lon"), F.min("y0").alias("min_lat"), F.max("y1").alias("max_lat"),
-    )
+#: Degrees of the grid by which points meet the boxes of polygons, and of the bands of edges.
+CELL, BAND = 1.0, 0.25
 
 
 def bounding_boxes(edges: DataFrame) -> DataFrame:
-    return features(edges).drop("rings")
-
-
-def in_ring(edges: Column, lon: Column, lat: Column) -> Column:
-    """Parity of edges crossed, half open in y. CASE keeps the division from level edges."""
-    def crosses(e: Column) -> Column:
-        level = F.when((e["yi"] > lat) == (e["yj"] > lat), F.lit(False))
-        return level.otherwise(lon < (e["xj"] - e["xi"]) * (lat - e["yi"]) / F.nullif(e["yj"] - e["yi"], F.lit(0.0)) + e["xi"])
-
-    return F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    """(feature_idx, state, min_lon, max_lon, min_lat, max_lat) of each feature."""
+    return edges.groupBy("feature_idx", "state").agg(F.min("xi").alias("min_lon"), F.max("xi").alias("max_lon"), F.min("yi").alias("min_lat"), F.max("yi").alias("max_lat"))
 
 
-def in_feature(rings: Column, lon: Column, lat: Column) -> Column:
-    """Inside the outer ring of some polygon and in none of that polygon's holes."""
-    inside = F.transform(rings, lambda r: F.struct(r["poly_idx"].alias("p"), (r["ring_idx"] > 0).alias("hole"), in_ring(r["edges"], lon, lat).alias("hit")))
-    return F.exists(inside, lambda o: ~o["hole"] & o["hit"] & ~F.exists(inside, lambda h: h["hole"] & h["hit"] & (h["p"] == o["p"])))
+def crosses(lon: Column, lat: Column) -> Column:
+    """Whether the ray from a point crosses an edge, half open in y. CASE keeps the division from level edges."""
+    xi, yi, xj, yj = (F.col(c) for c in ("xi", "yi", "xj", "yj"))
+    level = F.when((yi > lat) == (yj > lat), F.lit(False))
+    return F.coalesce(level.otherwise(lon < (xj - xi) * (lat - yi) / F.nullif(yj - yi, F.lit(0.0)) + xi), F.lit(False))
 
 
-def containing_feature(points: DataFrame, shapes: DataFrame) -> DataFrame:
-    """First feature, in file order, that contains each (ord, lat, lon).
+def containing_feature(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ord, found): the first feature, in file order, that contains each (ord, lat, lon).
 
-    Points meet features by grid cells of the feature's box (an equi-join), then by the box,
-    then by the rings.
+    Points meet features by grid cells of the feature's box, which is a row without its edges,
+    then by the box. Each such pair meets the feature's edges in the point's band of latitude. A
+    point is inside a ring that it crosses an odd number of times, and inside a feature if it is
+    in the outer ring of some polygon and in none of that polygon's holes.
     """
-    cells = shapes.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("min_lon") / CELL), F.floor(F.col("max_lon") / CELL))))
-    cells = cells.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("min_lat") / CELL), F.floor(F.col("max_lat") / CELL))))
+    span = lambda lo, hi, d: F.explode(F.sequence(F.floor(lo / d), F.floor(hi / d)))
+    cells = bounding_boxes(edges).withColumn("_cx", span(F.col("min_lon"), F.col("max_lon"), CELL)).withColumn("_cy", span(F.col("min_lat"), F.col("max_lat"), CELL))
     spots = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("ord", "lat", "lon", F.floor(F.col("lon") / CELL).alias("_cx"), F.floor(F.col("lat") / CELL).alias("_cy"))
     boxed = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    hits = spots.join(cells.withColumnRenamed("state", "found"), ["_cx", "_cy"]).where(boxed & in_feature(F.col("rings"), F.col("lon"), F.col("lat")))
-    return hits.groupBy("ord").agg(F.min_by("found", "feature_idx").alias("found"))
+    pairs = spots.join(cells, ["_cx", "_cy"]).where(boxed).select("ord", "lat", "lon", "feature_idx", F.floor(F.col("lat") / BAND).alias("_band"))
+    bands = edges.where("yi <> yj").withColumn("_band", span(F.least("yi", "yj"), F.greatest("yi", "yj"), BAND))
+    met = pairs.join(bands, ["feature_idx", "_band"]).where(crosses(F.col("lon"), F.col("lat")))
+    rings = met.groupBy("ord", "feature_idx", "state", "poly_idx", "ring_idx").agg((F.count(F.lit(1)) % 2 == 1).alias("hit"))
+    polys = rings.groupBy("ord", "feature_idx", "state", "poly_idx").agg(F.bool_or(F.col("hit") & (F.col("ring_idx") == 0)).alias("outer"), F.bool_or(F.col("hit") & (F.col("ring_idx") > 0)).alias("hole"))
+    return polys.where("outer and not hole").groupBy("ord").agg(F.min_by("state", "feature_idx").alias("found"))
 
 
 def reclassify(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Points with the state of their first containing feature; others keep what they had."""
-    found = containing_feature(points, features(edges))
+    found = containing_feature(points, edges)
     new = merge_border_state(F.col("found"))
     return points.join(found, "ord", "left").withColumns({
         "matched": F.col("found").isNotNull(),
@@ -66,5 +57,7 @@ def reclassify(points: DataFrame, edges: DataFrame) -> DataFrame:
     }).drop("found")
 
 
-def reclassify_summary(done: DataFrame) -> DataFrame:
-    return done.agg(F.count_if("changed").alias("changed"), F.count_if(~F.col("matched")).alias("unmatched"), F.count(F.lit(1)).alias("points"))
+def reclassify_summary(done: DataFrame, examples: int = 5) -> DataFrame:
+    """One row: points changed, not matched and in all, and the first few that matched nothing."""
+    few = done.where(~F.col("matched")).orderBy("ord").limit(examples).agg(F.array_sort(F.collect_list("ord")).alias("examples"))
+    return done.agg(F.count_if("changed").alias("changed"), F.count_if(~F.col("matched")).alias("unmatched"), F.count(F.lit(1)).alias("points")).join(F.broadcast(few))

@@ -63,6 +63,11 @@ def points_per_state(points: DataFrame) -> DataFrame:
     return points.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
 
 
+def most_points_first(points: DataFrame) -> DataFrame:
+    """Points per state, the state with most points first and the earlier one on ties."""
+    return points_per_state(points).orderBy(F.col("n").desc(), "first_ord")
+
+
 def path_length(raw: DataFrame) -> DataFrame:
     """Total surveyed miles, a missing length counting as none."""
     return raw.agg(F.sum(F.coalesce("length_mi", F.lit(0.0))).alias("total_miles"))

@@ -3,67 +3,26 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import haversine
 from waymark.functions.labels import SEPARATOR
-from waymark.operators.joins import SMALL_ROWS, is_small
-from waymark.session import written
+from waymark.operators.blocks import asof
+from waymark.operators.nearest import nearest
 
 #: Miles by which a range reaches beyond its ends when states are looked up.
 TOLERANCE = 0.05
-#: Miles of one degree of latitude, rounded down so that a bound from it is safe.
-DEGREE_MILES = 69.0
+#: Miles of a block when miles are snapped.
+BLOCK_MILES = 1.0
 
 
-def _best(pairs: DataFrame, key: str) -> DataFrame:
-    """Nearest point of each query; the lowest ordinal wins ties."""
-    return pairs.groupBy(key).agg(F.min_by(F.struct("lat", "lon", "mile", "state", "ord", "dist"), F.struct("dist", "ord")).alias("p"))
-
-
-def snap_coordinates(queries: DataFrame, points: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Nearest point for each (qid, qlat, qlng).
+def snap_coordinates(queries: DataFrame, points: DataFrame, degrees: float | None = None) -> DataFrame:
+    """Nearest point for each (qid, qlat, qlng); the lowest ordinal wins ties.
 
     Queries pass through with null mile and state if there are no points or a coordinate is
-    null. A small point table is broadcast and scanned; a larger one is searched by grid
-    cells that quadruple until the nearest point found is provably the nearest of all.
+    null. degrees is the size of the first cells that are searched, else chosen by the points.
     """
-    points = points.select("ord", "lat", "lon", "mile", "state").where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    points = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("ord", "lat", "lon", F.struct("lat", "lon", "mile", "state").alias("value"))
     asked = queries.select("qid", "qlat", "qlng").where(F.col("qlat").isNotNull() & F.col("qlng").isNotNull())
-    dist = haversine(F.col("qlat"), F.col("qlng"), F.col("lat"), F.col("lon"))
-    if is_small(points, small_rows):
-        found = _best(asked.join(F.broadcast(points), how="cross").withColumn("dist", dist), "qid")
-    else:
-        found = _by_grid(asked, points, dist)
-    return queries.join(found, "qid", "left").select(
-        "qid",
-        F.coalesce("p.lat", "qlat").alias("lat"),
-        F.coalesce("p.lon", "qlng").alias("lng"),
-        F.col("p.mile").alias("mile"),
-        F.col("p.state").alias("state"),
-        F.col("p.ord").alias("ord"),
-        F.col("p.dist").alias("dist"),
-    )
-
-
-def _by_grid(asked: DataFrame, points: DataFrame, dist) -> DataFrame:
-    """Exact: a hit counts only if it is nearer than the edge of the searched 3 x 3 cells."""
-    found, degrees = None, 0.25
-    while degrees < 1440:
-        cell = lambda lat, lon: (F.floor(F.col(lat) / degrees), F.floor(F.col(lon) / degrees))  # noqa: B023, E731
-        cy, cx = cell("qlat", "qlng")
-        near = asked.withColumn("_dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("_dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-        near = near.withColumns({"_y": cy + F.col("_dy"), "_x": cx + F.col("_dx")})
-        py, px = cell("lat", "lon")
-        hit = _best(near.join(points.withColumns({"_y": py, "_x": px}), ["_y", "_x"]).withColumn("dist", dist), "qid")
-        # a degree of longitude shrinks towards the poles, and a longitude wraps: both are on the safe side here
-        reach = F.lit(0.6 * degrees * DEGREE_MILES) * F.greatest(F.cos(F.radians(F.least(F.abs("qlat") + 2 * degrees, F.lit(90.0)))), F.lit(0.0))
-        inside = (F.abs("qlng") + 2 * degrees) < 180.0
-        last = degrees * 4 >= 1440
-        sure = written(hit.join(asked, "qid").where(F.lit(True) if last else inside & (F.col("p.dist") <= reach)).select("qid", "p"))
-        found = sure if found is None else found.unionByName(sure)
-        asked, degrees = written(asked.join(sure, "qid", "left_anti")), degrees * 4
-        if asked.isEmpty():
-            break
-    return found
+    found = nearest(asked, points, degrees=degrees).select("qid", "value", "ord", "dist")
+    return queries.join(found, "qid", "left").select("qid", F.coalesce("value.lat", "qlat").alias("lat"), F.coalesce("value.lon", "qlng").alias("lng"), "value.mile", "value.state", "ord", "dist")
 
 
 def snap_miles(queries: DataFrame, points: DataFrame) -> DataFrame:
@@ -71,50 +30,71 @@ def snap_miles(queries: DataFrame, points: DataFrame) -> DataFrame:
 
     A point without a mile counts as mile 0 and the lowest ordinal wins ties. An unknown
     state or a null mile gives nulls.
-
-    The sorted neighbours of each query are taken with a running window per state, so no
-    pair of query and point is formed; a state that holds very many rows is one window.
     """
-    base = points.select(F.coalesce("mile", F.lit(0.0)).alias("_m"), "ord", "mile", "state", "lat", "lon")
-    named = base.withColumn("_k", F.col("state")).where(F.col("state").isNotNull())
-    pool = named.unionByName(base.withColumn("_k", F.lit(None).cast("string")))
+    base = points.select(F.coalesce("mile", F.lit(0.0)).alias("_m"), F.col("ord").alias("tie"), F.struct("ord", "mile", "state", "lat", "lon").alias("value"))
+    keyed = base.withColumn("_k", F.explode(F.array_compact(F.array(F.struct(F.lit(None).cast("string").alias("s")), F.when(F.col("value.state").isNotNull(), F.struct(F.col("value.state").alias("s"))))))).withColumn("_k", F.col("_k.s"))
     # one point for each key and mile: the first
-    first = pool.groupBy("_k", "_m").agg(F.min_by(F.struct("ord", "mile", "state", "lat", "lon"), F.col("ord")).alias("p"))
-    rows = first.select("_k", "_m", F.lit(None).cast("long").alias("qid"), F.col("p")).unionByName(
-        queries.where(F.col("qmile").isNotNull()).select(F.col("qstate").alias("_k"), F.col("qmile").alias("_m"), F.col("qid").cast("long").alias("qid"), F.lit(None).cast(first.schema["p"].dataType).alias("p"))
-    )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_k").orderBy("_m")
-    point = F.when(F.col("p").isNotNull(), F.struct("_m", "p"))
-    rows = rows.withColumns({"_lo": F.last(point, True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_hi": F.first(point, True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
-    pick = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}._m") - F.col("_m")).alias("d"), F.col(f"{side}.p.ord").alias("o"), F.col(f"{side}.p").alias("p")))
-    best = rows.where(F.col("qid").isNotNull()).select("qid", F.least(pick("_lo"), pick("_hi")).alias("b"))
-    return queries.join(best, "qid", "left").select("qid", F.col("b.p.mile").alias("mile"), F.col("b.p.state").alias("state"), F.col("b.p.ord").alias("ord"), F.col("b.d").alias("dist"))
+    first = keyed.groupBy("_k", "_m").agg(F.min_by(F.struct("tie", "value"), "tie").alias("p")).select("_k", "_m", "p.tie", "p.value")
+    asked = queries.where(F.col("qmile").isNotNull()).select("qid", F.col("qstate").alias("_k"), F.col("qmile").cast("double").alias("_m"))
+    sides = asof(asked, first, ["_k"], "_m", BLOCK_MILES)
+    pick = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}._m") - F.col("_m")).alias("d"), F.col(f"{side}.tie").alias("o"), F.col(f"{side}.value").alias("p")))
+    best = sides.select("qid", F.least(pick("before"), pick("after")).alias("b")).select("qid", "b.p.mile", "b.p.state", "b.p.ord", F.col("b.d").alias("dist"))
+    return best.unionByName(queries.where(F.col("qmile").isNull()).select("qid"), allowMissingColumns=True)
 
 
 def states_for_range(segments: DataFrame, points: DataFrame) -> DataFrame:
     """States that each (id, start_mile, end_mile) crosses, in file order, as one text.
 
-    Null if a mile is missing or no point lies in the range. Whole miles are the equi-key of
-    the range join, so neither side is scanned against the other.
+    Null if a mile is missing or no point lies in the range. A state's least ordinal is kept for
+    each whole mile and for runs of 2, 4, 8, ... miles. A range is cut into the few such runs that
+    fill it and its two outer miles, where the points themselves are looked at: what a range
+    meets grows with the logarithm of its length.
     """
     lo, hi = F.least("start_mile", "end_mile") - F.lit(TOLERANCE), F.greatest("start_mile", "end_mile") + F.lit(TOLERANCE)
     asked = segments.where(F.col("start_mile").isNotNull() & F.col("end_mile").isNotNull()).select("id", lo.alias("_lo"), hi.alias("_hi"))
-    asked = asked.withColumn("_b", F.explode(F.sequence(F.floor("_lo"), F.floor("_hi"))))
-    marked = points.where(F.col("mile").isNotNull() & F.col("state").isNotNull() & (F.col("state") != "")).select("mile", "state", "ord", F.floor("mile").alias("_b"))
-    firsts = asked.join(marked, "_b").where(F.col("mile").between(F.col("_lo"), F.col("_hi"))).groupBy("id", "state").agg(F.min("ord").alias("first_ord"))
+    asked = asked.withColumns({"_a": F.floor("_lo"), "_b": F.floor("_hi")})
+    marked = points.where(F.col("mile").isNotNull() & F.col("state").isNotNull() & (F.col("state") != "")).select("mile", "state", "ord", F.floor("mile").alias("_m"))
+    edges = asked.withColumn("_m", F.explode(F.array_distinct(F.array("_a", "_b"))))
+    outer = edges.join(marked, "_m").where(F.col("mile").between(F.col("_lo"), F.col("_hi"))).select("id", "state", "ord")
+    runs = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    least = marked.groupBy("state", "_m").agg(F.min("ord").alias("ord")).withColumn("_level", F.explode(runs)).groupBy("state", "_level", F.call_function("shiftright", F.col("_m"), F.col("_level")).alias("_run")).agg(F.min("ord").alias("ord"))
+    cover = asked.where(F.col("_b") - F.col("_a") > 1).select("id", F.explode(covering(F.col("_a") + 1, F.col("_b"))).alias("r"))
+    inner = cover.select("id", F.col("r.level").alias("_level"), F.col("r.run").alias("_run")).join(least, ["_level", "_run"]).select("id", "state", "ord")
+    firsts = outer.unionByName(inner).groupBy("id", "state").agg(F.min("ord").alias("first_ord"))
     listed = firsts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first_ord", "state"))).alias("s"))
     listed = listed.select("id", F.array_join(F.transform("s", lambda x: x["state"]), SEPARATOR).alias("states"))
     return segments.select("id").join(listed, "id", "left")
 
 
-def validate_requests(requests: DataFrame, require_distinct: bool = True) -> DataFrame:
+#: Runs of 1, 2, 4, ... miles; more than the longest are taken one by one.
+LEVELS = 16
+
+
+def covering(start, end):
+    """Runs (level, run) that together fill the whole miles from start up to, not with, end."""
+    zero = F.struct(start.alias("a"), end.alias("b"), F.array().cast("array<struct<level:int,run:bigint>>").alias("out"))
+    run = lambda level, n: F.array(F.struct(level.cast("int").alias("level"), n.cast("bigint").alias("run")))
+    none = F.array().cast("array<struct<level:int,run:bigint>>")
+
+    def up(s, level):
+        """Numbers on this level; an odd start and an odd end leave a run, the rest goes one level up."""
+        left = F.when((s["a"] < s["b"]) & (s["a"] % 2 != 0), run(level, s["a"])).otherwise(none)
+        a = s["a"] + F.size(left)
+        right = F.when((a < s["b"]) & (s["b"] % 2 != 0), run(level, s["b"] - 1)).otherwise(none)
+        b = s["b"] - F.size(right)
+        return F.struct(F.shiftright(a, 1).alias("a"), F.shiftright(b, 1).alias("b"), F.concat(s["out"], left, right).alias("out"))
+
+    top = F.lit(LEVELS - 1)
+    rest = lambda s: F.when(s["a"] < s["b"], F.transform(F.sequence(s["a"] * 2, s["b"] * 2 - 1), lambda n: F.struct(top.cast("int").alias("level"), n.cast("bigint").alias("run")))).otherwise(none)
+    return F.aggregate(F.sequence(F.lit(0), top), zero, up, lambda s: F.concat(s["out"], rest(s)))
+
+
+def validate_requests(requests: DataFrame, require_distinct: bool = True, require_date: bool = False) -> DataFrame:
     """First failed rule of each form request, or null.
 
     Columns: start_state, end_state, start_text, end_text, start_mile, end_mile (typed),
-    start_ord, end_ord, start_snap_mile, end_snap_mile. Two snaps whose miles are both null
-    count as the same point.
+    start_ord, end_ord, start_snap_mile, end_snap_mile, and date_begun if a date is required. Two
+    snaps whose miles are both null count as the same point.
     """
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
@@ -126,4 +106,6 @@ def validate_requests(requests: DataFrame, require_distinct: bool = True) -> Dat
     )
     if require_distinct:
         rule = rule.when(F.col("start_snap_mile").eqNullSafe(F.col("end_snap_mile")), F.lit("same_point"))
+    if require_date:
+        rule = rule.when(F.col("date_begun").isNull(), F.lit("date_missing"))
     return requests.withColumn("error", rule)

@@ -7,8 +7,10 @@ all before it: one group per trail, a few thousand lines, with vectorised distan
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from waymark.functions.geo import EARTH_MILES
+from waymark.operators.blocks import BLOCK_ROWS, block_of, ranked
 
 #: A jump of more miles than this starts a new run.
 BREAK_MILES = 2.0
@@ -56,3 +58,12 @@ def stitch(lines: DataFrame, terminus: tuple[float, float], break_miles: float =
         return pd.DataFrame(rows, columns=["trail_id", "run_idx", "vertex_idx", "lon", "lat"])
 
     return lines.select("trail_id", "ord", "coords").groupBy("trail_id").applyInPandas(run, "trail_id string, run_idx int, vertex_idx int, lon double, lat double")
+
+
+def concatenate(vertices: DataFrame, picks: list[int]) -> DataFrame:
+    """One run from chosen segments (seg_idx) of each trail, in the order of picks; the first
+    vertex of all but the first of them doubles the last of the one before and is left out."""
+    place = F.array_position(F.array(*[F.lit(p) for p in picks]), F.col("seg_idx")).cast("long")
+    kept = vertices.withColumn("place", place).where((F.col("place") > 0) & ((F.col("vertex_idx") > 0) | (F.col("place") == 1)))
+    block = F.struct("place", block_of(F.col("vertex_idx"), BLOCK_ROWS).alias("b"))
+    return ranked(kept, ["trail_id"], ["place", "vertex_idx"], block, "idx").select("trail_id", "idx", "lon", "lat")

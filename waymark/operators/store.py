@@ -56,7 +56,10 @@ class Secured:
         return self.df.where(~F.coalesce(F.col("id").isin(ids) & (F.col(owner) == F.lit(self.principal)), F.lit(False)))
 
     def update(self, row_id, **values) -> DataFrame:
+        """The table with new values in an own row; a row cannot be given to another owner."""
         owner = self._may("update")
+        if values.get(owner, self.principal) != self.principal:
+            raise Refused(f"change of {owner} on {self.table}")
         hit = F.coalesce((F.col("id") == F.lit(row_id)) & (F.col(owner) == F.lit(self.principal)), F.lit(False))
         return self.df.withColumns({k: F.when(hit, F.lit(v).cast(self.df.schema[k].dataType)).otherwise(F.col(k)) for k, v in values.items()})
 
@@ -80,6 +83,11 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("date_begun").desc_nulls_first(), "id")
 
 
+def page(df: DataFrame, order: list, number: int, rows: int) -> DataFrame:
+    """A page, from 0, of the rows in a total order."""
+    return df.orderBy(*order).offset(number * rows).limit(rows)
+
+
 def username_available(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
     """Adds available to (candidate): no profile has it, ignoring case and outer blanks. Null is available."""
     taken = profiles.where(F.col("username").isNotNull()).select(F.lower("username").alias("_u")).distinct()

@@ -5,15 +5,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that were made for intermediate tables, until they are discarded.
+_made: list[str] = []
+
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared one of spark.checkpoint.dir. Only where that is unset, as in
-    local tests, is a temporary folder of this machine made and set."""
+    """A fresh folder in the shared one of spark.checkpoint.dir. Only where that is unset and the
+    session is local, as in tests, is a temporary folder of this machine made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -22,3 +28,24 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     df.write.parquet(path := scratch(spark), partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes the intermediate tables made so far, once no result that reads them is wanted."""
+    while _made:
+        files, where, _ = _file_system(spark, _made.pop())
+        files.delete(where, True)
+
+
+def stage(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at path; build() is run and written there unless an earlier run has finished it."""
+    files, _, done = _file_system(spark, path)
+    if not files.exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -17,10 +17,22 @@ def windowed_events(events: DataFrame, window: str = "1 day", late: str = "2 day
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16, **options: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).options(**options).parquet(path)
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "update"):
-    """Processes what is there and ends; the checkpoint carries state to the next call."""
-    return df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, path: str) -> DataFrame:
+    """Processes what is there and ends; the checkpoint under path carries state to the next call.
+
+    Each batch writes the totals as they then are to a table of its own, so a batch that is run
+    again writes the same; the result is the last one's. Without any batch there are no rows.
+    """
+    spark, last = df.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last.append(number)
+
+    run = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/batch={last[-1]}") if last else spark.createDataFrame([], df.schema)
