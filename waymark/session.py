@@ -22,11 +22,21 @@ def scratch(spark: SparkSession) -> str:
     return _made[-1]
 
 
+#: Setting by which Spark drops the shuffle files of a query when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """df as a table written to the shared folder and read back: lineage ends here, and the
-    loss of an executor costs only the reading task."""
+    loss of an executor costs only the reading task. The shuffle files behind it are not wanted
+    any more and are dropped."""
     spark = df.sparkSession
-    df.write.parquet(path := scratch(spark), partitionBy=partition_by)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path := scratch(spark), partitionBy=partition_by)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
