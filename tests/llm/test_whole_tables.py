@@ -239,64 +239,81 @@ def test_warc_members(tmp_path):
         list(normalise(io.BytesIO(gzip.compress(a[:-50])), io.BytesIO()))
 
 
-def test_katz(data):
-    import numpy as np
-
+class PlainKatz:
+    """The model in plain Python: counts of word tuples and the recursion, order by order."""
+
+    def __init__(self, texts):
+        import numpy as np
+
+        from waymark.llm import katz
+
+        self.tables = []
+        for k in range(1, katz.ORDER + 1):
+            c = Counter()
+            for w in texts:
+                padded = ["<s>"] * (k - 1) + w
+                c.update(tuple(padded[i : i + k]) for i in range(len(w)))
+            d = katz.good_turing(np.array([sum(n == r for n in c.values()) for r in range(1, 7)]))
+            after = defaultdict(dict)
+            for g, n in c.items():
+                after[g[:-1]][g[-1]] = n
+            self.tables.append((after, [*d, 1.0]))
+        self.cache = {}
+
+    def kept(self, k, n):
+        return self.tables[k - 1][1][min(n, 6)] * n
+
+    def share(self, context, word):
+        k = len(context) + 1
+        seen = self.tables[k - 1][0].get(context)
+        if not seen:
+            return self.share(context[1:], word) if k > 1 else 1.0
+        if context not in self.cache:
+            whole = sum(seen.values())
+            left = whole - sum(self.kept(k, n) for n in seen.values())
+            left, whole = (left, whole) if left > 1e-12 else (1.0, whole + 1)
+            below = 1 - (sum(self.share(context[1:], w) for w in seen) if k > 1 else 0)
+            self.cache[context] = whole, left / whole / below
+        whole, weight = self.cache[context]
+        if word in seen:
+            return self.kept(k, seen[word]) / whole
+        return weight * (self.share(context[1:], word) if k > 1 else 1.0)
+
+
+@pytest.mark.parametrize("block, parts, hot", [(1 << 20, 4, 1 << 22), (300, 1, 20)])
+def test_katz(data, monkeypatch, block, parts, hot):
+    """Scores equal the plain model's, also with many blocks and with contexts dealt by follower."""
     from waymark.llm import katz
 
     docs, rows, _ = data
-    end = b""
-    texts = [(i, words(t) + [end], zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1) for i, t in rows]
+    for name, value in (("BLOCK_TOKENS", block), ("PART_BLOCKS", parts), ("HOT_TOKENS", hot), ("HOT_SHARE", 10**9)):
+        monkeypatch.setattr(katz, name, value)
+    texts = [(i, words(t) + [b""], zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1) for i, t in rows]
     train = [w for _, w, out in texts if not out]
     c = Counter(x for w in train for x in w)
     total, distinct = sum(c.values()), len(c)
-    cls = lambda w: xxhash.xxh64_intdigest(w) >> 46
-    cc, cv = Counter(), Counter()
-    for w, n in c.items():
-        cc[cls(w)] += n
-        cv[cls(w)] += 1
-    lower = katz.unigram(np.array([cc[k] for k in range(katz.CLASSES)]))
-    assert abs(lower.sum() - 1) < 1e-9 and (lower > 0).all()
-    pairs = Counter()
-    for w in train:
-        k = [katz.CLASSES] + [cls(x) for x in w]
-        pairs.update(zip(k, k[1:]))
-    d = katz.good_turing(np.array([sum(n == r for n in pairs.values()) for r in range(1, 7)]))
-    after = defaultdict(dict)
-    for (a, b), n in pairs.items():
-        after[a][b] = n
-
-    def prob(a, b):
-        f = after.get(a)
-        if not f:
-            return lower[b]
-        whole = sum(f.values())
-        taken = sum(n * (1 - d[n]) for n in f.values() if n <= 5)
-        left, whole = (taken, whole) if taken > 0 else (1.0, whole + 1)
-        if b in f:
-            return f[b] * (d[f[b]] if f[b] <= 5 else 1) / whole
-        return left / whole / (1 - sum(lower[x] for x in f)) * lower[b]
-
-    if after:
-        for a in list(after)[:3] + [katz.CLASSES]:
-            whole = sum(after[a].values())
-            seen = sum(prob(a, b) for b in after[a])
-            unseen = (1 - sum(lower[b] for b in after[a])) * prob(a, next(b for b in range(katz.CLASSES) if b not in after[a])) / lower[next(b for b in range(katz.CLASSES) if b not in after[a])]
-            assert whole and abs(seen + unseen - 1) < 1e-9
-    for block in (1 << 20, 200):
-        katz.BLOCK_TOKENS = block
-        got = sorted((tuple(r) for r in katz.katz_scores(docs).collect()), key=str)
-        want = []
-        for i, w, out in texts:
-            k = [katz.CLASSES] + [cls(x) for x in w]
-            score = sum(math.log10(prob(a, b)) for a, b in zip(k, k[1:])) + sum(math.log10((c[x] + 0.5) / (cc[cls(x)] + 0.5 * (cv[cls(x)] + 1))) for x in w)
-            base = sum(math.log10((c[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w)
-            want.append((i, out, len(w), sum(c[x] > 0 for x in w), total, base, score))
-        want.sort(key=str)
-        key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
-        for g, x in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-            assert g[:5] == x[:5] and g[5:] == pytest.approx(x[5:], rel=1e-9)
-    katz.BLOCK_TOKENS = 1 << 20
+    model = PlainKatz(train)
+    got = [tuple(r) for r in katz.katz_scores(docs).collect()]
+    want = []
+    for i, w, out in texts:
+        padded = ["<s>"] * (katz.ORDER - 1) + w
+        score = sum(math.log10(model.share(tuple(padded[j : j + katz.ORDER - 1]), x)) for j, x in enumerate(w))
+        base = sum(math.log10((c[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w)
+        want.append((i, out, len(w), sum(c[x] > 0 for x in w), total, base, score))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    for g, x in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == x[:5] and g[5:] == pytest.approx(x[5:], rel=1e-9, abs=1e-9)
+
+
+def test_katz_shares_sum_to_one(spark):
+    """Over all words that training has, and the unknown one, in contexts of every kind."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    train = [words(r["text"] or "")[:60] + [b""] for r in docs][:60]
+    model = PlainKatz(train)
+    every = {w for t in train for w in t} | {b"never seen"}
+    some = [(), ("<s>",), ("<s>", "<s>"), (b"never", b"seen"), (b"", train[0][0]), *[tuple(t[:2]) for t in train[:20]], *[(t[3],) for t in train[:20] if len(t) > 3]]
+    for context in some:
+        assert sum(model.share(context, w) for w in every) == pytest.approx(1, abs=1e-9)
 
 
 def test_mixing(data):

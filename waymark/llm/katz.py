@@ -1,26 +1,28 @@
-"""Language-model scores by Katz backoff with Good-Turing discounts.
-
-The model is over word classes: the top bits of a word's hash. Common words have a class nearly
-to themselves. A bigram of classes backs off to the class, and that to the uniform share;
-within its class a word has its share of the class's training tokens, with half a count for
-each and for one word never seen. Each level sums to one exactly:
-
-    log P(text) = sum over tokens of log P(class | class before) + log P(word | class)
-
-Counts of classes fit into arrays of a fixed size; counts of words and of bigrams grow with the
-corpus and stay in tables that are cut into parts. Texts are read once, in blocks of about a
-million tokens. A block asks for the counts of its distinct words and bigrams, so a word that
-holds a third of all tokens is one request of each block. Requests meet by part, are summed to
-the corpus counts, and the counts go back to the blocks, which score their documents. Parts
-are ranges of equal token mass; a context that is larger than a part is cut by its next class.
+"""Language-model scores by Katz backoff with Good-Turing discounts, over n-grams of words.
+
+The model is of order three. A trigram that training has seen has its discounted share of its
+context's count; one that it has not seen has the context's backoff weight times the share of
+the bigram, which is found the same way, and that of a word in turn. A word never seen is the
+unknown word, which has what the discounts of all words leave. Each context's shares sum to one:
+a weight is the discounted mass over what the followers leave of the order below.
+
+Counts are exact. Words are told apart by 64-bit hashes and then carry numbers; a longer gram is
+the number of its context and that of its word, so nothing is folded together. The tables of
+counts grow with the corpus and lie in parts, whose number follows it too. Texts are read once,
+in blocks of about a million tokens. For each order in turn a block asks for the distinct grams
+it holds, so a gram that makes up a third of all tokens is one request of each block. Requests
+meet by context, are summed to the corpus counts, and the answers (counts, the gram's number,
+what the context's weight is made from) go back to the blocks. A context with more tokens than a
+part should hold is dealt by its followers instead; such contexts are few, and their sums are
+added up in one small table. Last, the blocks score their documents.
 
 Defined cases: a null or empty text is its end alone; a null doc_id hashes as empty text; repeated
-rows are all counted and scored; without training texts all classes are equally likely.
+rows are all counted and scored; without training texts every token is the unknown word, with
+share one.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -35,38 +37,45 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import batches, expr_crc_fold, shuffle_partitions, written
 
-#: Bits of a class; classes are 0 to CLASSES - 1, and CLASSES stands before the first token.
-CLASS_BITS = 18
-CLASSES = 1 << CLASS_BITS
+#: Words of the longest gram.
+ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 BLOCK_TOKENS = 1 << 20
+#: Blocks for each part of a table of counts.
+PART_BLOCKS = 4
+#: A context with more tokens than this, and than this share of all, is dealt by its followers.
+HOT_TOKENS, HOT_SHARE = 1 << 22, 50_000
 #: The fold that is held out.
 HELD_FOLD = 1
-#: Hash of the end of a text, which no word is equal to.
-END = xxhash.xxh64_intdigest(b"")
+#: Number of the context of a text's first token.
+START = -1
+
+_BLOCK = "kind int, block long, data binary"
+_REQUEST = "part int, block long, data binary"
+_ANSWER = "what string, block long, part int, data binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers, compressed plane by plane of their bytes."""
-    out = []
+    """Arrays of numbers, compressed plane by plane of their bytes."""
+    codec, out = pa.Codec("zstd", compression_level=1), []
     for a in arrays:
         a = np.ascontiguousarray(a)
         planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else np.empty((a.itemsize, 0), dtype=np.uint8)
-        data = zlib.compress(planes.tobytes(), 1)
+        data = codec.compress(planes.tobytes(), asbytes=True)
         out.append(f"{a.dtype.str} {len(a)} {len(data)}\n".encode() + data)
     return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+    codec, out, at = pa.Codec("zstd"), [], 0
     while at < len(data):
         end = data.index(b"\n", at)
         kind, n, size = data[at:end].split()
-        dtype = np.dtype(kind.decode())
-        raw = np.frombuffer(zlib.decompress(data[end + 1 : end + 1 + int(size)]), dtype=np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(dtype.itemsize, int(n)).T).view(dtype).reshape(-1))
-        at = end + 1 + int(size)
+        dtype, n, stop = np.dtype(kind.decode()), int(n), end + 1 + int(size)
+        raw = np.frombuffer(codec.decompress(data[end + 1 : stop], n * dtype.itemsize), dtype=np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).reshape(-1))
+        at = stop
     return out
 
 
@@ -74,16 +83,17 @@ def gaps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=np.zeros(1, dtype=sorted_keys.dtype))
 
 
-def class_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of whole numbers."""
+    x = x.astype(np.int64).view(np.uint64)
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(33))
 
 
-def bigrams(seq: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Key of class before and class for each token; starts are the first tokens of texts."""
-    c = classes[seq]
-    before = np.concatenate([[CLASSES], c[:-1]])
-    before[starts] = CLASSES
-    return before << CLASS_BITS | c
+def runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.empty(0, dtype=np.int64)
 
 
 # ---- discounts -----------------------------------------------------------------------------
@@ -106,49 +116,36 @@ def good_turing(n: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], 1 - 0.5 / np.arange(1, k + 1)])
 
 
-def unigram(counts: np.ndarray) -> np.ndarray:
-    """Probability of each class, backing off to the uniform share."""
-    total = counts.sum()
-    if not total:
-        return np.full(len(counts), 1 / len(counts))
-    d = good_turing(np.bincount(counts[counts > 0].clip(max=DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2])
-    kept = counts * np.concatenate([d, [1.0]])[counts.clip(max=DISCOUNTED + 1)]
-    unseen = counts == 0
-    if not unseen.any():
-        return counts / total
-    left = total - kept.sum()
-    whole = float(total)
-    if left <= 0:
-        left, whole = 1.0, total + 1.0
-    return np.where(unseen, left / whole / unseen.sum(), kept / whole)
-
-
-def contexts(total: np.ndarray, few: np.ndarray, mass: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per context the factor of a discounted count and the backoff weight.
-
-    total: its tokens; few[:, r - 1]: followers seen r times; mass: lower-order probability of
-    its followers. The weights make seen and unseen followers sum to one.
-    """
+def kept(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts after their discount."""
+    return np.concatenate([d, [1.0]])[np.minimum(counts, DISCOUNTED + 1)] * counts
+
+
+def taken(d: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """What the discounts take, from the numbers of things seen 1, 2, ... times (last axis)."""
     r = np.arange(1, DISCOUNTED + 1)
-    taken = few @ (r * (1 - d[1:]))
-    whole = total.astype(float)
-    none = taken <= 0  # every follower is frequent: one more token is set aside
-    left, whole = np.where(none, 1.0, taken), np.where(none, whole + 1, whole)
-    rest = 1 - mass
-    full = rest < 1e-9  # every class follows, so nothing is left to back off to
-    whole = np.where(full, total - np.where(none, 0.0, taken), whole)
-    seen = total > 0
-    factor = np.where(seen, 1 / np.maximum(whole, 1e-300), 0.0)
-    weight = np.where(seen, np.where(full, 0.0, left / np.maximum(whole, 1e-300) / np.maximum(rest, 1e-300)), 1.0)
-    return factor, weight
+    return few @ (r * (1 - d[1:]))
 
 
-# ---- blocks --------------------------------------------------------------------------------
+def weights(total: np.ndarray, few: np.ndarray, mass: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per context what its counts are divided by, and its backoff weight.
+
+    total: its tokens; few: its followers seen r times; mass: lower-order share of its followers.
+    Where no follower is discounted one more token is set aside. A context without tokens hands
+    all to the order below.
+    """
+    left = taken(d, few)
+    none = left <= 0
+    whole = np.where(none, total + 1.0, total.astype(float))
+    return whole, np.where(total > 0, np.where(none, 1.0, left) / whole / np.maximum(1 - mass, 1e-300), 1.0)
 
 
-def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the rows (doc_id, text, held_out): their token numbers (kind 0), words with
-    training counts (1) and bigrams with training counts (2)."""
+# ---- words ---------------------------------------------------------------------------------
+
+
+def _blocks(it: Iterator[pa.RecordBatch], tokens_each: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the rows (doc_id, text, held_out): their documents and places of words (kind 0),
+    and their words' hashes with training counts (1)."""
     part, number = TaskContext.get().partitionId(), count()
     ids: list = []
     held: list = []
@@ -167,179 +164,282 @@ def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(hashes)
         place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        hashes = hashes[order]
         seq = place[np.concatenate(seqs)]
-        n = np.array(lengths, dtype=np.int64)
-        train = np.repeat(~np.array(held), n)
-        classes = class_of(hashes)
-        keys, inverse = np.unique(bigrams(seq, classes, n.cumsum() - n), return_inverse=True)
-        in_words = np.bincount(seq[train], minlength=len(hashes))
-        in_pairs = np.bincount(inverse[train], minlength=len(keys))
+        n = np.array(lengths, dtype=np.int32)
+        in_words = np.bincount(seq[np.repeat(~np.array(held), n)], minlength=len(hashes))
         null = np.array([i is None for i in ids])
         docs = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-        data = [
-            pack(docs, null.astype(np.uint8), np.array(held, dtype=np.uint8), n.astype(np.int32), seq, gaps(classes).astype(np.int32)),
-            pack(gaps(hashes), in_words.astype(np.int32)),
-            pack(gaps(keys), in_pairs.astype(np.int32)),
-        ]
+        end = np.array([place[words[b""]]], dtype=np.int32)
+        data = [pack(docs, null.astype(np.uint8), np.array(held, dtype=np.uint8), n, seq, end), pack(gaps(hashes[order]), in_words.astype(np.int32))]
         block = part << 32 | next(number)
         clear()
-        return pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array([block] * 3, pa.int64()), pa.array(data, pa.binary())], names=["kind", "block", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([block] * 2, pa.int64()), pa.array(data, pa.binary())], names=["kind", "block", "data"])
 
     clear()
     size = 0
-    for b in it:
+    for b in (x for y in it for x in batches([y])):
         for doc, text, out in zip(*[b.column(i).to_pylist() for i in range(3)]):
             tokens = (text or "").encode().lower().split()
             tokens.append(b"")
             ids.append(doc)
             held.append(bool(out))
             lengths.append(len(tokens))
-            seqs.append(np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
+            seqs.append(np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
             size += len(tokens)
-            if size >= BLOCK_TOKENS:
+            if size >= tokens_each:
                 yield flush()
                 size = 0
     if ids:
         yield flush()
 
 
-def _parts_of(keys: np.ndarray, words: bool, parts: int, share: np.ndarray | None) -> np.ndarray:
-    """Part of each sorted key; parts rise with keys and hold equal shares of the tokens."""
-    if words:
-        return (keys >> np.uint64(32)).astype(np.int64) * parts >> 32
-    before = np.concatenate([[0.0], share.cumsum()])
-    a, b = keys >> CLASS_BITS, keys & (CLASSES - 1)
-    at = before[a] + share[a] * np.minimum(before[b] / before[CLASSES], 1.0)
-    return np.minimum((at / before[-1] * parts).astype(np.int64), parts - 1)
+def _rows(names: str, *columns: list) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _cut(it: Iterator[pa.RecordBatch], words: bool, parts: int, share=None) -> Iterator[pa.RecordBatch]:
-    """A block's requests as rows (part, block, data), one for each part."""
-    share = None if share is None else share.value
+def _cut_words(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """A block's words as requests, one for each part; parts are ranges of the hash."""
     for b in it:
         for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             step, n = unpack(data)
-            keys = step.cumsum(dtype=step.dtype)
-            of = _parts_of(keys, words, parts, share)
-            ends = np.searchsorted(of, np.arange(parts + 1))
+            keys = step.cumsum(dtype=np.uint64)
+            ends = np.searchsorted((keys >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1))
             used = [p for p in range(parts) if ends[p] < ends[p + 1]]
-            blobs = [pack(gaps(keys[ends[p] : ends[p + 1]]), n[ends[p] : ends[p + 1]]) for p in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block", "data"])
+            yield _rows(_REQUEST, used, [block] * len(used), [pack(gaps(keys[ends[p] : ends[p + 1]]), n[ends[p] : ends[p + 1]]) for p in used])
 
 
-_ANSWER = "what string, block long, part int, data binary"
+def _numbers_of(part: int, n: int) -> np.ndarray:
+    return (part << 32) + np.arange(n, dtype=np.int64)
+
 
+def _often(total: np.ndarray) -> np.ndarray:
+    """How many things were seen 1, 2, ..., DISCOUNTED + 1 times."""
+    return np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
 
-def _sum(group: pa.Table) -> tuple[int, list, list, np.ndarray, np.ndarray]:
-    """Part, blocks, their keys, and the part's distinct keys with corpus counts."""
+
+def _count_words(group: pa.Table) -> pa.Table:
+    """Corpus counts and numbers of the words of one part, for each block that asks."""
     part, blocks = group.column("part")[0].as_py(), group.column("block").to_pylist()
     asked = [unpack(d) for d in group.column("data").to_pylist()]
-    own = [a.cumsum(dtype=a.dtype) for a, _ in asked]
+    own = [a.cumsum(dtype=np.uint64) for a, _ in asked]
     keys, inverse = np.unique(np.concatenate(own), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate([n for _, n in asked]), minlength=len(keys)).astype(np.int64)
-    return part, blocks, own, keys, total
+    numbers, ends = _numbers_of(part, len(keys)), np.cumsum([0] + [len(k) for k in own])
+    data = [pack(total[i].astype(np.int32), gaps(numbers[i])) for i in (inverse[a:b] for a, b in zip(ends, ends[1:]))]
+    data.append(pack(np.array([total.sum(), (total > 0).sum()]), _often(total)))
+    return pa.Table.from_batches([_rows(_ANSWER, ["reply"] * len(blocks) + ["stats"], [*blocks, -1], [part] * (len(blocks) + 1), data)])
 
 
-def _answers(part: int, blocks: list, own: list, keys: np.ndarray, total: np.ndarray, stats: bytes) -> pa.Table:
-    """Counts for each block, the part's count table, and its statistics."""
-    what = ["reply"] * len(blocks) + ["counts", "stats"]
-    data = [pack(total[np.searchsorted(keys, k)]) for k in own] + [pack(gaps(keys[total > 0]), total[total > 0]), stats]
-    return pa.table([pa.array(what), pa.array([*blocks, -1, -1], pa.int64()), pa.array([part] * len(what), pa.int32()), pa.array(data, pa.binary())], names=["what", "block", "part", "data"])
+# ---- longer grams --------------------------------------------------------------------------
 
 
-def _count_words(group: pa.Table) -> pa.Table:
-    part, blocks, own, keys, total = _sum(group)
-    c = class_of(keys)
-    low, high = int(c.min()), int(c.max())
-    tokens = np.bincount(c - low, weights=total, minlength=high - low + 1).astype(np.int64)
-    distinct = np.bincount(c[total > 0] - low, minlength=high - low + 1)
-    return _answers(part, blocks, own, keys, total, pack(np.array([low]), tokens, distinct))
-
-
-def _count_bigrams(group: pa.Table, lower) -> pa.Table:
-    part, blocks, own, keys, total = _sum(group)
-    a, b = keys >> CLASS_BITS, keys & (CLASSES - 1)
-    low, high = int(a.min()), int(a.max())
-    seen, width = total > 0, int(a.max() - a.min()) + 1
-    at, n = (a - low)[seen], total[seen]
-    cols = [np.bincount(at, weights=n, minlength=width).astype(np.int64), *[np.bincount(at[n == r], minlength=width) for r in range(1, DISCOUNTED + 1)]]
-    mass = np.bincount(at, weights=lower.value[b[seen]], minlength=width)
-    often = np.bincount(n.clip(max=DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-    return _answers(part, blocks, own, keys, total, pack(np.array([low]), often, mass, *cols))
+class Block:
+    """The tokens of a block with what the answers so far tell of their grams.
+
+    share[i] is the share of token i by the longest gram looked up, with backoff.
+    """
+
+    def __init__(self, group: pa.Table, model: dict) -> None:
+        rows = sorted(zip(group.column("what").to_pylist(), group.column("part").to_pylist(), group.column("data").to_pylist()), key=lambda r: r[:2])
+        self.answers = {k: [unpack(d) for w, _, d in rows if w == k] for k in {r[0] for r in rows}}
+        self.docs, self.null, self.held, n, self.seq, end = self.answers.pop("block")[0]
+        self.n = n.astype(np.int64)
+        self.starts = self.n.cumsum() - self.n
+        self.train = np.repeat(self.held == 0, self.n)
+        self.model = model
+        # parts of words are ranges of their hashes, so the answers come in the words' order
+        words = self.answers["1"]
+        self.word_counts = np.concatenate([c for c, _ in words]).astype(np.int64)
+        self.word_numbers = np.concatenate([g.cumsum() for _, g in words])
+        first = model[1]
+        p = np.where(self.word_counts > 0, kept(first["d"], self.word_counts) / first["whole"], first["unknown"])
+        # of each token's gram: its number, count, the count that followers are divided by, its share
+        self.number, self.count, self.share = self.word_numbers[self.seq], self.word_counts[self.seq], p[self.seq]
+        self.whole = np.full(len(self.seq), first["whole"])
+        self.texts = self.word_counts[end[0]]
+        for k in range(2, ORDER + 1):
+            if str(k) not in self.answers:
+                break
+            self.take(k)
+
+    def after(self, x: np.ndarray, start) -> np.ndarray:
+        """For each token the value of the one before it, and start for a text's first."""
+        out = np.concatenate([[start], x[:-1]])
+        out[self.starts] = start
+        return out
+
+    def grams(self) -> tuple[np.ndarray, ...]:
+        """Distinct grams one longer than those looked up, by context and word: the number of the
+        context, place of the word, gram of each token, and a token of each gram."""
+        contexts, at = np.unique(self.after(self.number, START), return_inverse=True)
+        keys, first, inverse = np.unique(at << 32 | self.seq, return_index=True, return_inverse=True)
+        return contexts[keys >> 32], keys & 0xFFFFFFFF, inverse, first
+
+    def dealt(self, context: np.ndarray, word: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Part of each gram, the order in which parts have them, and which contexts are hot."""
+        hot = total > self.model["hot"]
+        mix = mixed(context)
+        mix = np.where(hot, mixed(mix.view(np.int64) ^ self.word_numbers[word]), mix)
+        part = (mix % np.uint64(self.model["parts"])).astype(np.int64)
+        return part, np.argsort(part, kind="stable"), hot
+
+    def request(self, block: int) -> pa.RecordBatch:
+        context, word, inverse, first = self.grams()
+        n = np.bincount(inverse[self.train], minlength=len(word)).astype(np.int32)
+        part, order, hot = self.dealt(context, word, self.after(self.count, self.texts)[first])
+        ends = np.searchsorted(part[order], np.arange(self.model["parts"] + 1))
+        used = [p for p in range(self.model["parts"]) if ends[p] < ends[p + 1]]
+        data = []
+        for p in used:
+            i = order[ends[p] : ends[p + 1]]
+            # the share by the order below is made from two counts again where it is summed
+            data.append(pack(gaps(context[i]), self.word_numbers[word[i]], n[i], self.count[first[i]].astype(np.int32), self.whole[first[i]].astype(np.int64), hot[i].astype(np.uint8)))
+        return _rows(_REQUEST, used, [block] * len(used), data)
+
+    def take(self, k: int) -> None:
+        """Reads the answers on grams of k words."""
+        m = self.model[k]
+        context, word, inverse, first = self.grams()
+        total = self.after(self.count, self.texts)[first]
+        _, order, hot = self.dealt(context, word, total)
+        of = self.answers.pop(str(k))
+        join = lambda j, kind: np.concatenate([a[j] for a in of]) if of else np.empty(0, dtype=kind)
+        counts = np.empty(len(word), dtype=np.int64)
+        counts[order] = join(0, np.int32)
+        number = np.empty(len(word), dtype=np.int64)
+        number[order] = np.concatenate([a[1].cumsum() for a in of])
+        # what is told per context comes once for each part that has grams of it
+        few, mass = np.zeros((len(word), DISCOUNTED)), np.zeros(len(word))
+        at = np.concatenate([np.repeat(np.arange(len(a[2])), a[2]) + e for a, e in zip(of, np.cumsum([0] + [len(a[2]) for a in of]))])
+        few[order] = np.concatenate([a[3].reshape(DISCOUNTED, -1).T for a in of])[at]
+        sums = np.concatenate([_spread(a[4], a[5]) for a in of])
+        mass[order] = sums[at]
+        if hot.any():
+            place = np.minimum(np.searchsorted(m["hot"], context[hot]), len(m["hot"]) - 1)
+            few[hot], mass[hot] = m["hot_few"][place], m["hot_mass"][place]
+        whole, weight = weights(total, few, mass, m["d"])
+        lower = self.share[first]
+        share = np.where(counts > 0, kept(m["d"], counts) / whole, weight * lower)
+        self.number, self.count, self.share, self.whole = number[inverse], counts[inverse], share[inverse], whole[inverse]
+
+    def scores(self) -> pa.Table:
+        c, m = self.word_counts, self.model[1]
+        base = np.log10((c + 0.5) / (m["tokens"] + 0.5 * (m["distinct"] + 1)))
+        per = lambda x: np.add.reduceat(x, self.starts)
+        return pa.table({
+            "doc_id": pa.array(self.docs, mask=self.null.astype(bool)), "held_out": pa.array(self.held.astype(bool)), "n_tokens": pa.array(self.n), "n_known": pa.array(per((c > 0).astype(np.int64)[self.seq])),
+            "train_tokens": pa.array(np.full(len(self.n), m["tokens"], dtype=np.int64)), "base_score": pa.array(per(base[self.seq])), "score": pa.array(per(np.log10(self.share))),
+        })
+
+
+def _spread(asked: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values at the places that asked marks, zero elsewhere."""
+    out = np.zeros(len(asked))
+    out[asked > 0] = values
+    return out
+
+
+def _request(group: pa.Table, model) -> pa.Table:
+    return pa.Table.from_batches([Block(group, model.value).request(group.column("block")[0].as_py())])
 
 
 def _score(group: pa.Table, model) -> pa.Table:
-    """Documents of one block, from its tokens and the answers for it."""
-    m = model.value
-    rows = sorted(zip(group.column("what").to_pylist(), group.column("part").to_pylist(), group.column("data").to_pylist()), key=lambda r: r[:2])
-    got = {k: np.concatenate([unpack(d)[0] for w, _, d in rows if w == k]) for k in ("words", "bigrams")}
-    docs, null, held, n, seq, step = unpack(next(d for w, _, d in rows if w == "block"))
-    classes = step.astype(np.int64).cumsum()
-    n = n.astype(np.int64)
-    starts = n.cumsum() - n
-    c = got["words"]
-    base = np.log10((c + 0.5) / (m["tokens"] + 0.5 * (m["distinct"] + 1)))
-    inside = np.log10((c + 0.5) / (m["class_tokens"][classes] + 0.5 * (m["class_distinct"][classes] + 1)))
-    keys, inverse = np.unique(bigrams(seq, classes, starts), return_inverse=True)
-    a, b, k = keys >> CLASS_BITS, keys & (CLASSES - 1), got["bigrams"]
-    d = np.concatenate([m["discount"], [1.0]])[k.clip(max=DISCOUNTED + 1)]
-    p = np.where(k > 0, d * k * m["factor"][a], m["weight"][a] * m["lower"][b])
-    per = lambda x: np.add.reduceat(x, starts)
-    return pa.table({
-        "doc_id": pa.array(docs, mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(per((c > 0).astype(np.int64)[seq])),
-        "train_tokens": pa.array(np.full(len(n), m["tokens"], dtype=np.int64)), "base_score": pa.array(per(base[seq])), "score": pa.array(per(inside[seq] + np.log10(p)[inverse])),
-    })
+    return Block(group, model.value).scores()
 
 
-def held_out(key):
-    return expr_crc_fold(key) == HELD_FOLD
+def _count(group: pa.Table, below: np.ndarray) -> pa.Table:
+    """Corpus counts of the grams of one part, their numbers, and per context how many followers
+    were seen 1, 2, ... times and, where a block needs a weight, the share of its followers by the
+    order below, whose discounts are given."""
+    part, blocks = group.column("part")[0].as_py(), group.column("block").to_pylist()
+    asked = [unpack(d) for d in group.column("data").to_pylist()]
+    n, lower, whole, hot = (np.concatenate([a[j] for a in asked]) for j in (2, 3, 4, 5))
+    contexts, of = np.unique(np.concatenate([a[0].cumsum() for a in asked]), return_inverse=True)
+    _, word = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+    keys, first, inverse = np.unique(of << 32 | word, return_index=True, return_inverse=True)
+    total = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
+    context, seen = keys >> 32, total > 0
+    few = np.stack([np.bincount(context[total == r], minlength=len(contexts)) for r in range(1, DISCOUNTED + 1)])
+    f = first[seen]
+    mass = np.bincount(context[seen], weights=kept(below, lower[f]) / whole[f], minlength=len(contexts))
+    numbers, ends, data = _numbers_of(part, len(keys)), np.cumsum([0] + [len(a[0]) for a in asked]), []
+    for a, b in zip(ends, ends[1:]):
+        i = inverse[a:b]
+        start = runs(of[a:b])
+        c = of[a:b][start]
+        need = np.maximum.reduceat((total[i] == 0).astype(np.uint8), start)
+        data.append(pack(total[i].astype(np.int32), gaps(numbers[i]), np.diff(start, append=b - a).astype(np.int32), few[:, c].astype(np.int32).reshape(-1), need, mass[c[need > 0]]))
+    h = np.unique(of[hot > 0])
+    data += [pack(_often(total)), pack(contexts[h], few[:, h].reshape(-1), mass[h])]
+    return pa.Table.from_batches([_rows(_ANSWER, ["reply"] * len(blocks) + ["stats", "hot"], [*blocks, -1, -1], [part] * (len(blocks) + 2), data)])
+
+
+def _with(f, given):
+    """f of a group and what is given, as a function of the group alone."""
+    return lambda group: f(group, given)
+
+
+def _hot_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for d in b.column(0).to_pylist():
+            context, few, mass = unpack(d)
+            yield pa.RecordBatch.from_arrays([pa.array(context), *[pa.array(f) for f in few.reshape(DISCOUNTED, -1)], pa.array(mass)], names=["context", *[f"n{r}" for r in range(1, DISCOUNTED + 1)], "mass"])
 
 
-def _spread(parts: list[bytes], size: int) -> list[np.ndarray]:
-    """Sums of statistics that each start at a first class; the driver holds size numbers of each."""
+def _hot_sums(answers: DataFrame) -> dict:
+    """Sums over all parts of the contexts that are dealt by their followers. A context is such
+    only with a share of all tokens, so there are at most HOT_SHARE of them."""
+    names = [f"n{r}" for r in range(1, DISCOUNTED + 1)]
+    rows = answers.where("what = 'hot'").select("data").mapInArrow(_hot_rows, f"context long, {', '.join(f'{n} long' for n in names)}, mass double")
+    got = sorted(tuple(r) for r in rows.groupBy("context").agg(*[F.sum(n) for n in names], F.sum("mass")).collect())
+    a = np.array([r[1:] for r in got], dtype=float).reshape(-1, DISCOUNTED + 1)
+    return {"hot": np.array([r[0] for r in got], dtype=np.int64), "hot_few": a[:, :DISCOUNTED], "hot_mass": a[:, DISCOUNTED]}
+
+
+def _stats(answers: DataFrame) -> list[np.ndarray]:
+    """Sums of the parts' statistics, a few numbers each."""
     out = None
-    for data in parts:
-        low, *cols = unpack(data)
-        out = out or [np.zeros(size, dtype=c.dtype) for c in cols]
-        for o, c in zip(out, cols):
-            o[int(low[0]) : int(low[0]) + len(c)] += c
+    for r in answers.where("what = 'stats'").select("data").toLocalIterator():
+        now = unpack(r["data"])
+        out = now if out is None else [a + b for a, b in zip(out, now)]
     return out
 
 
+def held_out(key):
+    return expr_crc_fold(key) == HELD_FOLD
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def katz_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    blocks = written(rows.mapInArrow(lambda it: _blocks(b for x in it for b in batches([x])), "kind int, block long, data binary"), ["kind"])
-    asked = lambda kind: blocks.where(F.col("kind") == kind).select("block", "data")
-
-    of_words = asked(1).mapInArrow(partial(_cut, words=True, parts=parts), "part int, block long, data binary")
-    words = written(of_words.groupBy("part").applyInArrow(_count_words, _ANSWER), ["what"])
-    stats = [r["data"] for r in words.where("what = 'stats'").select("data").toLocalIterator()]
-    if not stats:  # no documents
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    tokens, distinct = _spread(stats, CLASSES)
-    lower = unigram(tokens)
-
-    share = np.concatenate([lower, [lower[int(END >> (64 - CLASS_BITS))]]])
-    shared, low = spark.sparkContext.broadcast(share), spark.sparkContext.broadcast(lower)
-    of_pairs = asked(2).mapInArrow(partial(_cut, words=False, parts=parts, share=shared), "part int, block long, data binary")
-    pairs = written(of_pairs.groupBy("part").applyInArrow(lambda g: _count_bigrams(g, low), _ANSWER), ["what"])
-    often, mass, total, few = np.zeros(DISCOUNTED + 1, dtype=np.int64), np.zeros(CLASSES + 1), np.zeros(CLASSES + 1, dtype=np.int64), np.zeros((CLASSES + 1, DISCOUNTED), dtype=np.int64)
-    for r in pairs.where("what = 'stats'").select("data").toLocalIterator():
-        first, n, mass_of, *cols = unpack(r["data"])
-        span = slice(int(first[0]), int(first[0]) + len(mass_of))
-        often += n
-        mass[span] += mass_of
-        total[span] += cols[0]
-        few[span] += np.stack(cols[1:], axis=1)
+    blocks = written(rows.mapInArrow(partial(_blocks, tokens_each=BLOCK_TOKENS), _BLOCK), ["kind"])
+    n = blocks.where("kind = 0").count()
+    if not n:
+        return spark.createDataFrame([], _SCORES)
+    parts = max(shuffle_partitions(spark), -(-n // PART_BLOCKS))
+    requests = blocks.where("kind = 1").select("block", "data").mapInArrow(partial(_cut_words, parts=parts), _REQUEST)
+    words = written(requests.groupBy("part").applyInArrow(_count_words, _ANSWER), ["what"])
+    (tokens, distinct), often = _stats(words)
     d = good_turing(often)
-    factor, weight = contexts(total, few, mass, d)
-    model = spark.sparkContext.broadcast({"tokens": int(tokens.sum()), "distinct": int(distinct.sum()), "class_tokens": tokens, "class_distinct": distinct, "lower": lower, "discount": d, "factor": factor, "weight": weight})
-
-    reply = lambda t, name: t.where("what = 'reply'").select(F.lit(name).alias("what"), "block", "part", "data")
-    own = asked(0).select(F.lit("block").alias("what"), "block", F.lit(-1).alias("part"), "data")
-    every = own.unionByName(reply(words, "words")).unionByName(reply(pairs, "bigrams"))
-    return every.groupBy("block").applyInArrow(lambda g: _score(g, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    left = float(taken(d, often[:DISCOUNTED]))
+    whole = int(tokens) if left > 0 else int(tokens) + 1
+    model = {"parts": parts, "hot": max(HOT_TOKENS, int(tokens) // HOT_SHARE), 1: {"d": d, "whole": whole, "unknown": (left if left > 0 else 1.0) / whole, "tokens": int(tokens), "distinct": int(distinct)}}
+
+    known = blocks.where("kind = 0").select(F.lit("block").alias("what"), "block", F.lit(-1).alias("part"), "data")
+    reply = lambda t, k: t.where("what = 'reply'").select(F.lit(str(k)).alias("what"), "block", "part", "data")
+    known = known.unionByName(reply(words, 1))
+    for k in range(2, ORDER + 1):
+        shared, below = spark.sparkContext.broadcast(dict(model)), d
+        asked = known.groupBy("block").applyInArrow(_with(_request, shared), _REQUEST)
+        answers = written(asked.groupBy("part").applyInArrow(_with(_count, below), _ANSWER), ["what"])
+        d = good_turing(_stats(answers)[0])
+        model[k] = {"d": d, **_hot_sums(answers)}
+        known = known.unionByName(reply(answers, k))
+    shared = spark.sparkContext.broadcast(model)
+    return known.groupBy("block").applyInArrow(_with(_score, shared), _SCORES)
