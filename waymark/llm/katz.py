@@ -23,13 +23,13 @@ share one.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -57,11 +57,13 @@ _ANSWER = "what string, block long, part int, data binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers, compressed plane by plane of their bytes."""
+    """Arrays of numbers, whole ones in as few bytes as they fit, compressed plane by plane."""
     codec, out = pa.Codec("zstd", compression_level=1), []
     for a in arrays:
-        a = np.ascontiguousarray(a)
-        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else np.empty((a.itemsize, 0), dtype=np.uint8)
+        if a.dtype == np.int64 and len(a):
+            low, high = int(a.min()), int(a.max())
+            a = a.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else np.empty((a.itemsize, 0), dtype=np.uint8)
         data = codec.compress(planes.tobytes(), asbytes=True)
         out.append(f"{a.dtype.str} {len(a)} {len(data)}\n".encode() + data)
     return b"".join(out)
@@ -74,7 +76,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
         kind, n, size = data[at:end].split()
         dtype, n, stop = np.dtype(kind.decode()), int(n), end + 1 + int(size)
         raw = np.frombuffer(codec.decompress(data[end + 1 : stop], n * dtype.itemsize), dtype=np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).reshape(-1))
+        a = np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).reshape(-1)
+        out.append(a.astype(np.int64) if dtype.kind == "i" else a)
         at = stop
     return out
 
@@ -91,9 +94,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def runs(sorted_keys: np.ndarray) -> np.ndarray:
+def runs(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins."""
-    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.empty(0, dtype=np.int64)
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+
+
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, none negative, in order, and the place of each; equal keys keep their order. Key and
+    place go into one number where they fit, as plain numbers sort many times faster."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if len(keys) and int(keys.max()) >> (63 - bits):
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    s = np.sort(keys << bits | np.arange(len(keys)))
+    return s >> bits, s & ((1 << bits) - 1)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, none negative, in order; the first place of each; for each place its key there."""
+    s, order = ordered(keys)
+    start = runs(s)
+    inverse = np.empty(len(keys), dtype=np.int64)
+    inverse[order] = np.repeat(np.arange(len(start)), np.diff(start, append=len(s)))
+    return s[start], order[start], inverse
+
+
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """Place of each of some distinct keys in their order."""
+    out = np.empty(len(keys), dtype=np.int64)
+    out[ordered(keys)[1]] = np.arange(len(keys))
+    return out
 
 
 # ---- discounts -----------------------------------------------------------------------------
@@ -147,50 +177,40 @@ def _blocks(it: Iterator[pa.RecordBatch], tokens_each: int) -> Iterator[pa.Recor
     """Blocks of the rows (doc_id, text, held_out): their documents and places of words (kind 0),
     and their words' hashes with training counts (1)."""
     part, number = TaskContext.get().partitionId(), count()
-    ids: list = []
-    held: list = []
-    lengths: list = []
-    seqs: list = []
-    words: dict = {}
-
-    def clear() -> None:
-        nonlocal words
-        words = defaultdict(count().__next__)
-        for x in (ids, held, lengths, seqs):
-            x.clear()
-
-    def flush() -> pa.RecordBatch:
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+
+    def flush(rows: list) -> pa.RecordBatch:
+        ids, held = pa.chunked_array([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        n = np.concatenate([r[2] for r in rows]) + 1
+        words = pa.chunked_array([r[3] for r in rows]).combine_chunks().dictionary_encode()
+        names = words.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in [*names, b""]], dtype=np.uint64)
         order = np.argsort(hashes)
         place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        seq = place[np.concatenate(seqs)]
-        n = np.array(lengths, dtype=np.int32)
-        in_words = np.bincount(seq[np.repeat(~np.array(held), n)], minlength=len(hashes))
-        null = np.array([i is None for i in ids])
-        docs = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-        end = np.array([place[words[b""]]], dtype=np.int32)
-        data = [pack(docs, null.astype(np.uint8), np.array(held, dtype=np.uint8), n, seq, end), pack(gaps(hashes[order]), in_words.astype(np.int32))]
-        block = part << 32 | next(number)
-        clear()
-        return pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([block] * 2, pa.int64()), pa.array(data, pa.binary())], names=["kind", "block", "data"])
-
-    clear()
+        ends = n.cumsum() - 1
+        inside = np.ones(int(n.sum()), dtype=bool)
+        inside[ends] = False
+        seq = np.full(len(inside), place[-1], dtype=np.int32)
+        seq[inside] = place[words.indices.to_numpy()]
+        in_words = np.bincount(seq[np.repeat(~held, n)], minlength=len(hashes))
+        data = [pack(pc.fill_null(ids, 0).to_numpy(), np.asarray(ids.is_null()).astype(np.uint8), held.astype(np.uint8), n, seq, place[-1:]), pack(gaps(hashes[order]), in_words)]
+        return _rows(_BLOCK, [0, 1], [part << 32 | next(number)] * 2, data)
+
+    rows: list = []
     size = 0
-    for b in (x for y in it for x in batches([y])):
-        for doc, text, out in zip(*[b.column(i).to_pylist() for i in range(3)]):
-            tokens = (text or "").encode().lower().split()
-            tokens.append(b"")
-            ids.append(doc)
-            held.append(bool(out))
-            lengths.append(len(tokens))
-            seqs.append(np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
-            size += len(tokens)
-            if size >= tokens_each:
-                yield flush()
-                size = 0
-    if ids:
-        yield flush()
+    for b in (x for y in it for x in batches([y], limit=1 << 20)):
+        # ASCII letters and white space alone, so bytes of other signs stay as they are
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(b.column(1), "")))
+        words, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        full = np.asarray(pc.not_equal(words, ""))
+        before = np.concatenate([[0], full.cumsum()])
+        rows.append((b.column(0), np.asarray(b.column(2)), before[offsets[1:]] - before[offsets[:-1]], words.filter(pa.array(full))))
+        size += int(before[-1]) + b.num_rows
+        if size >= tokens_each:
+            yield flush(rows)
+            rows, size = [], 0
+    if rows:
+        yield flush(rows)
 
 
 def _rows(names: str, *columns: list) -> pa.RecordBatch:
@@ -210,24 +230,23 @@ def _cut_words(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             yield _rows(_REQUEST, used, [block] * len(used), [pack(gaps(keys[ends[p] : ends[p + 1]]), n[ends[p] : ends[p + 1]]) for p in used])
 
 
-def _numbers_of(part: int, n: int) -> np.ndarray:
-    return (part << 32) + np.arange(n, dtype=np.int64)
-
-
 def _often(total: np.ndarray) -> np.ndarray:
     """How many things were seen 1, 2, ..., DISCOUNTED + 1 times."""
     return np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
 
 
-def _count_words(group: pa.Table) -> pa.Table:
-    """Corpus counts and numbers of the words of one part, for each block that asks."""
+def _count_words(group: pa.Table, parts: int) -> pa.Table:
+    """Corpus counts and numbers of the words of one part, for each block that asks. Numbers rise
+    as counts fall, so those of most tokens are small and pack well."""
     part, blocks = group.column("part")[0].as_py(), group.column("block").to_pylist()
     asked = [unpack(d) for d in group.column("data").to_pylist()]
     own = [a.cumsum(dtype=np.uint64) for a, _ in asked]
     keys, inverse = np.unique(np.concatenate(own), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate([n for _, n in asked]), minlength=len(keys)).astype(np.int64)
-    numbers, ends = _numbers_of(part, len(keys)), np.cumsum([0] + [len(k) for k in own])
-    data = [pack(total[i].astype(np.int32), gaps(numbers[i])) for i in (inverse[a:b] for a, b in zip(ends, ends[1:]))]
+    rank = np.empty(len(keys), dtype=np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(keys))
+    numbers, ends = rank * parts + part, np.cumsum([0] + [len(k) for k in own])
+    data = [pack(total[i], numbers[i]) for i in (inverse[a:b] for a, b in zip(ends, ends[1:]))]
     data.append(pack(np.array([total.sum(), (total > 0).sum()]), _often(total)))
     return pa.Table.from_batches([_rows(_ANSWER, ["reply"] * len(blocks) + ["stats"], [*blocks, -1], [part] * (len(blocks) + 1), data)])
 
@@ -238,91 +257,84 @@ def _count_words(group: pa.Table) -> pa.Table:
 class Block:
     """The tokens of a block with what the answers so far tell of their grams.
 
-    share[i] is the share of token i by the longest gram looked up, with backoff.
+    place is each token's gram among the block's. For each gram: number is what it is called in
+    the corpus, count its count, whole what that is divided by, and share the share of its last
+    word, with backoff.
     """
 
     def __init__(self, group: pa.Table, model: dict) -> None:
         rows = sorted(zip(group.column("what").to_pylist(), group.column("part").to_pylist(), group.column("data").to_pylist()), key=lambda r: r[:2])
         self.answers = {k: [unpack(d) for w, _, d in rows if w == k] for k in {r[0] for r in rows}}
         self.docs, self.null, self.held, n, self.seq, end = self.answers.pop("block")[0]
-        self.n = n.astype(np.int64)
+        self.n = n
         self.starts = self.n.cumsum() - self.n
         self.train = np.repeat(self.held == 0, self.n)
         self.model = model
         # parts of words are ranges of their hashes, so the answers come in the words' order
-        words = self.answers["1"]
-        self.word_counts = np.concatenate([c for c, _ in words]).astype(np.int64)
-        self.word_numbers = np.concatenate([g.cumsum() for _, g in words])
+        words = self.answers.pop("1")
+        self.word_counts = np.concatenate([c for c, _ in words])
+        self.word_numbers = np.concatenate([x for _, x in words])
         first = model[1]
-        p = np.where(self.word_counts > 0, kept(first["d"], self.word_counts) / first["whole"], first["unknown"])
-        # of each token's gram: its number, count, the count that followers are divided by, its share
-        self.number, self.count, self.share = self.word_numbers[self.seq], self.word_counts[self.seq], p[self.seq]
-        self.whole = np.full(len(self.seq), first["whole"])
+        self.place, self.number, self.count = self.seq, self.word_numbers, self.word_counts
+        self.share = np.where(self.count > 0, kept(first["d"], self.count) / first["whole"], first["unknown"])
+        self.whole = np.full(len(self.count), first["whole"])
         self.texts = self.word_counts[end[0]]
         for k in range(2, ORDER + 1):
             if str(k) not in self.answers:
                 break
             self.take(k)
 
-    def after(self, x: np.ndarray, start) -> np.ndarray:
-        """For each token the value of the one before it, and start for a text's first."""
-        out = np.concatenate([[start], x[:-1]])
-        out[self.starts] = start
-        return out
-
     def grams(self) -> tuple[np.ndarray, ...]:
-        """Distinct grams one longer than those looked up, by context and word: the number of the
-        context, place of the word, gram of each token, and a token of each gram."""
-        contexts, at = np.unique(self.after(self.number, START), return_inverse=True)
-        keys, first, inverse = np.unique(at << 32 | self.seq, return_index=True, return_inverse=True)
-        return contexts[keys >> 32], keys & 0xFFFFFFFF, inverse, first
-
-    def dealt(self, context: np.ndarray, word: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Part of each gram, the order in which parts have them, and which contexts are hot."""
-        hot = total > self.model["hot"]
-        mix = mixed(context)
-        mix = np.where(hot, mixed(mix.view(np.int64) ^ self.word_numbers[word]), mix)
+        """Grams one longer than those looked up, as they are sent to the parts: the part of each,
+        its context's place (0 is the start of a text, others are one up), its word's and its
+        shorter gram's, whether its context is hot, and the gram of each token."""
+        before = np.concatenate([[0], self.place[:-1] + 1])
+        before[self.starts] = 0
+        n = len(self.word_numbers)
+        keys, first, inverse = distinct(before * n + self.seq)
+        at = keys // n
+        word = keys - at * n
+        numbers, total = np.concatenate([[START], self.number]), np.concatenate([[self.texts], self.count])
+        mix, hot = mixed(numbers)[at], (total > self.model["hot"])[at]
+        if hot.any():
+            mix[hot] = mixed(mix[hot].view(np.int64) ^ self.word_numbers[word[hot]])
         part = (mix % np.uint64(self.model["parts"])).astype(np.int64)
-        return part, np.argsort(part, kind="stable"), hot
+        # by part, then by the context's number, so that these rise by small steps
+        _, order = ordered(part * len(numbers) + ranks(numbers - START)[at])
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return part[order], at[order], word[order], self.place[first[order]], hot[order], back[inverse]
 
     def request(self, block: int) -> pa.RecordBatch:
-        context, word, inverse, first = self.grams()
-        n = np.bincount(inverse[self.train], minlength=len(word)).astype(np.int32)
-        part, order, hot = self.dealt(context, word, self.after(self.count, self.texts)[first])
-        ends = np.searchsorted(part[order], np.arange(self.model["parts"] + 1))
-        used = [p for p in range(self.model["parts"]) if ends[p] < ends[p + 1]]
-        data = []
-        for p in used:
-            i = order[ends[p] : ends[p + 1]]
-            # the share by the order below is made from two counts again where it is summed
-            data.append(pack(gaps(context[i]), self.word_numbers[word[i]], n[i], self.count[first[i]].astype(np.int32), self.whole[first[i]].astype(np.int64), hot[i].astype(np.uint8)))
-        return _rows(_REQUEST, used, [block] * len(used), data)
+        part, at, word, short, hot, inverse = self.grams()
+        context = np.concatenate([[START], self.number])[at]
+        n = np.bincount(inverse[self.train], minlength=len(word))
+        # the share by the order below is made from two counts again where it is summed, for what training has
+        lower, whole = np.where(n > 0, self.count[short], 0), np.where(n > 0, self.whole[short], 1).astype(np.int64)
+        start = runs(part)
+        ends = [*start[1:].tolist(), len(part)]
+        data = [pack(gaps(context[a:b]), self.word_numbers[word[a:b]], n[a:b], lower[a:b], whole[a:b], hot[a:b].astype(np.uint8)) for a, b in zip(start.tolist(), ends)]
+        return _rows(_REQUEST, part[start].tolist(), [block] * len(start), data)
 
     def take(self, k: int) -> None:
         """Reads the answers on grams of k words."""
         m = self.model[k]
-        context, word, inverse, first = self.grams()
-        total = self.after(self.count, self.texts)[first]
-        _, order, hot = self.dealt(context, word, total)
+        _, at, word, short, hot, inverse = self.grams()
         of = self.answers.pop(str(k))
-        join = lambda j, kind: np.concatenate([a[j] for a in of]) if of else np.empty(0, dtype=kind)
-        counts = np.empty(len(word), dtype=np.int64)
-        counts[order] = join(0, np.int32)
-        number = np.empty(len(word), dtype=np.int64)
-        number[order] = np.concatenate([a[1].cumsum() for a in of])
-        # what is told per context comes once for each part that has grams of it
-        few, mass = np.zeros((len(word), DISCOUNTED)), np.zeros(len(word))
-        at = np.concatenate([np.repeat(np.arange(len(a[2])), a[2]) + e for a, e in zip(of, np.cumsum([0] + [len(a[2]) for a in of]))])
-        few[order] = np.concatenate([a[3].reshape(DISCOUNTED, -1).T for a in of])[at]
-        sums = np.concatenate([_spread(a[4], a[5]) for a in of])
-        mass[order] = sums[at]
+        counts, number = np.concatenate([a[0] for a in of]), np.concatenate([a[1].cumsum() for a in of])
+        # what is told per context comes once for each run of a context in a part
+        length = np.concatenate([a[2] for a in of])
+        few = np.concatenate([a[3].reshape(DISCOUNTED, -1) for a in of], axis=1).T.astype(float)
+        mass = np.concatenate([_spread(a[4], a[5]) for a in of])
+        total = np.concatenate([[self.texts], self.count])[at[length.cumsum() - length]]
         if hot.any():
-            place = np.minimum(np.searchsorted(m["hot"], context[hot]), len(m["hot"]) - 1)
-            few[hot], mass[hot] = m["hot_few"][place], m["hot_mass"][place]
-        whole, weight = weights(total, few, mass, m["d"])
-        lower = self.share[first]
-        share = np.where(counts > 0, kept(m["d"], counts) / whole, weight * lower)
-        self.number, self.count, self.share, self.whole = number[inverse], counts[inverse], share[inverse], whole[inverse]
+            context = np.concatenate([[START], self.number])[at[length.cumsum() - length]]
+            place = np.minimum(np.searchsorted(m["hot"], context), len(m["hot"]) - 1)
+            is_hot = m["hot"][place] == context
+            few[is_hot], mass[is_hot] = m["hot_few"][place[is_hot]], m["hot_mass"][place[is_hot]]
+        whole, weight = (np.repeat(x, length) for x in weights(total, few, mass, m["d"]))
+        share = np.where(counts > 0, kept(m["d"], counts) / whole, weight * self.share[short])
+        self.place, self.number, self.count, self.share, self.whole = inverse, number, counts, share, whole
 
     def scores(self) -> pa.Table:
         c, m = self.word_counts, self.model[1]
@@ -330,7 +342,7 @@ class Block:
         per = lambda x: np.add.reduceat(x, self.starts)
         return pa.table({
             "doc_id": pa.array(self.docs, mask=self.null.astype(bool)), "held_out": pa.array(self.held.astype(bool)), "n_tokens": pa.array(self.n), "n_known": pa.array(per((c > 0).astype(np.int64)[self.seq])),
-            "train_tokens": pa.array(np.full(len(self.n), m["tokens"], dtype=np.int64)), "base_score": pa.array(per(base[self.seq])), "score": pa.array(per(np.log10(self.share))),
+            "train_tokens": pa.array(np.full(len(self.n), m["tokens"], dtype=np.int64)), "base_score": pa.array(per(base[self.seq])), "score": pa.array(per(np.log10(self.share)[self.place])),
         })
 
 
@@ -349,36 +361,41 @@ def _score(group: pa.Table, model) -> pa.Table:
     return Block(group, model.value).scores()
 
 
-def _count(group: pa.Table, below: np.ndarray) -> pa.Table:
+def _count(group: pa.Table, below: np.ndarray, parts: int, last: bool) -> pa.Table:
     """Corpus counts of the grams of one part, their numbers, and per context how many followers
     were seen 1, 2, ... times and, where a block needs a weight, the share of its followers by the
     order below, whose discounts are given."""
     part, blocks = group.column("part")[0].as_py(), group.column("block").to_pylist()
     asked = [unpack(d) for d in group.column("data").to_pylist()]
     n, lower, whole, hot = (np.concatenate([a[j] for a in asked]) for j in (2, 3, 4, 5))
-    contexts, of = np.unique(np.concatenate([a[0].cumsum() for a in asked]), return_inverse=True)
-    _, word = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
-    keys, first, inverse = np.unique(of << 32 | word, return_index=True, return_inverse=True)
+    every = np.concatenate([a[0].cumsum() for a in asked])
+    start = runs(every)
+    contexts, _, of = distinct(every[start] - START)
+    contexts, of = contexts + START, np.repeat(of, np.diff(start, append=len(every)))
+    words, _, word = distinct(np.concatenate([a[1] for a in asked]))
+    keys, _, inverse = distinct(of * len(words) + word)
     total = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
-    context, seen = keys >> 32, total > 0
+    context, seen = keys // len(words), total > 0
+    # counts of the order below come from blocks that have the gram in training texts
+    told, below_count, below_whole = n > 0, np.zeros(len(keys), dtype=np.int64), np.ones(len(keys), dtype=np.int64)
+    below_count[inverse[told]], below_whole[inverse[told]] = lower[told], whole[told]
     few = np.stack([np.bincount(context[total == r], minlength=len(contexts)) for r in range(1, DISCOUNTED + 1)])
-    f = first[seen]
-    mass = np.bincount(context[seen], weights=kept(below, lower[f]) / whole[f], minlength=len(contexts))
-    numbers, ends, data = _numbers_of(part, len(keys)), np.cumsum([0] + [len(a[0]) for a in asked]), []
+    mass = np.bincount(context[seen], weights=kept(below, below_count[seen]) / below_whole[seen], minlength=len(contexts))
+    numbers, ends, data = np.arange(len(keys), dtype=np.int64) * parts + part, np.cumsum([0] + [len(a[0]) for a in asked]), []
     for a, b in zip(ends, ends[1:]):
         i = inverse[a:b]
         start = runs(of[a:b])
         c = of[a:b][start]
         need = np.maximum.reduceat((total[i] == 0).astype(np.uint8), start)
-        data.append(pack(total[i].astype(np.int32), gaps(numbers[i]), np.diff(start, append=b - a).astype(np.int32), few[:, c].astype(np.int32).reshape(-1), need, mass[c[need > 0]]))
+        data.append(pack(total[i], np.zeros(0, dtype=np.int64) if last else gaps(numbers[i]), np.diff(start, append=b - a), few[:, c].reshape(-1), need, mass[c[need > 0]]))
     h = np.unique(of[hot > 0])
     data += [pack(_often(total)), pack(contexts[h], few[:, h].reshape(-1), mass[h])]
     return pa.Table.from_batches([_rows(_ANSWER, ["reply"] * len(blocks) + ["stats", "hot"], [*blocks, -1, -1], [part] * (len(blocks) + 2), data)])
 
 
-def _with(f, given):
+def _with(f, *given):
     """f of a group and what is given, as a function of the group alone."""
-    return lambda group: f(group, given)
+    return lambda group: f(group, *given)
 
 
 def _hot_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +441,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], _SCORES)
     parts = max(shuffle_partitions(spark), -(-n // PART_BLOCKS))
     requests = blocks.where("kind = 1").select("block", "data").mapInArrow(partial(_cut_words, parts=parts), _REQUEST)
-    words = written(requests.groupBy("part").applyInArrow(_count_words, _ANSWER), ["what"])
+    words = written(requests.groupBy("part").applyInArrow(_with(_count_words, parts), _ANSWER), ["what"])
     (tokens, distinct), often = _stats(words)
     d = good_turing(often)
     left = float(taken(d, often[:DISCOUNTED]))
@@ -437,7 +454,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     for k in range(2, ORDER + 1):
         shared, below = spark.sparkContext.broadcast(dict(model)), d
         asked = known.groupBy("block").applyInArrow(_with(_request, shared), _REQUEST)
-        answers = written(asked.groupBy("part").applyInArrow(_with(_count, below), _ANSWER), ["what"])
+        answers = written(asked.groupBy("part").applyInArrow(_with(_count, below, parts, k == ORDER), _ANSWER), ["what"])
         d = good_turing(_stats(answers)[0])
         model[k] = {"d": d, **_hot_sums(answers)}
         known = known.unionByName(reply(answers, k))
