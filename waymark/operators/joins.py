@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small.
 SMALL_ROWS = 100_000
+#: Rows of one key from which it is dealt to parts.
+HOT_ROWS = 2_000
 
 
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
@@ -15,3 +17,19 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:
     """Broadcast hash join if small has few rows, else a shuffled join that AQE can split."""
     return big.join(F.broadcast(small) if is_small(small, rows) else small, on, how)
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join with small, which has one row for each key and in n how many rows big has of it.
+
+    Rows of a key with very many are dealt to parts, and the key's row goes to each part. The
+    table of such keys is sent to all tasks: there is at most one for each hot_rows rows of big.
+    """
+    parts = F.ceil(F.col(n) / F.lit(float(hot_rows))).cast("int")
+    hot = small.where(F.col(n) > hot_rows).select(*keys, parts.alias("_parts"))
+    if hot.isEmpty():
+        return big.join(small, keys)
+    dealt = join_small(big, hot, keys, "left")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(copies, [*keys, "_part"]).drop("_part")

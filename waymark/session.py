@@ -26,7 +26,7 @@ def scratch(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
     """df as a table written to the shared folder and read back: lineage ends here, and the
     loss of an executor costs only the reading task. The shuffle files behind it are not wanted
     any more and are dropped."""
@@ -34,7 +34,7 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path := scratch(spark), partitionBy=partition_by)
+        df.write.parquet(path := path or scratch(spark), partitionBy=partition_by)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,11 +46,16 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, once no result that reads it is wanted."""
+    files, where, _ = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def discard(spark: SparkSession) -> None:
     """Deletes the intermediate tables made so far, once no result that reads them is wanted."""
     while _made:
-        files, where, _ = _file_system(spark, _made.pop())
-        files.delete(where, True)
+        remove(spark, _made.pop())
 
 
 def stage(spark: SparkSession, path: str, build) -> DataFrame:
