@@ -1,9 +1,8 @@
 """Language-model scores by Katz backoff with Good-Turing discounts, over n-grams of words.
 
-The model is of order three. A trigram that training has seen has its discounted share of its
-context's count; one that it has not seen has the context's backoff weight times the share of
-the bigram, which is found the same way, and that of a word in turn. A word never seen is the
-unknown word, which has what the discounts of all words leave. Each context's shares sum to one:
+The order is a parameter. A gram that training has seen has its discounted share of its context's
+count; one that it has not seen has the context's backoff weight times the share of the gram one
+word shorter, which is found the same way, down to a word. A word never seen is the unknown word, which has what the discounts of all words leave. Each context's shares sum to one:
 a weight is the discounted mass over what the followers leave of the order below.
 
 Counts are exact. Words are told apart by 64-bit hashes and then carry numbers; a longer gram is
@@ -35,10 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, expr_crc_fold, shuffle_partitions, written
+from waymark.llm.common import batches, expr_crc_fold, scratch, shuffle_partitions, written
+from waymark.session import remove
 
-#: Words of the longest gram.
-ORDER = 3
+#: Words of the longest gram in the query; see the README for figures of order three.
+ORDER = 2
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 BLOCK_TOKENS = 1 << 20
@@ -279,9 +279,7 @@ class Block:
         self.share = np.where(self.count > 0, kept(first["d"], self.count) / first["whole"], first["unknown"])
         self.whole = np.full(len(self.count), first["whole"])
         self.texts = self.word_counts[end[0]]
-        for k in range(2, ORDER + 1):
-            if str(k) not in self.answers:
-                break
+        for k in range(2, len(self.answers) + 2):
             self.take(k)
 
     def grams(self) -> tuple[np.ndarray, ...]:
@@ -431,17 +429,19 @@ def held_out(key):
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def katz_scores(docs: DataFrame) -> DataFrame:
+def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    blocks = written(rows.mapInArrow(partial(_blocks, tokens_each=BLOCK_TOKENS), _BLOCK), ["kind"])
+    path = scratch(spark)
+    blocks = written(rows.mapInArrow(partial(_blocks, tokens_each=BLOCK_TOKENS), _BLOCK), ["kind"], path)
     n = blocks.where("kind = 0").count()
     if not n:
         return spark.createDataFrame([], _SCORES)
     parts = max(shuffle_partitions(spark), -(-n // PART_BLOCKS))
     requests = blocks.where("kind = 1").select("block", "data").mapInArrow(partial(_cut_words, parts=parts), _REQUEST)
     words = written(requests.groupBy("part").applyInArrow(_with(_count_words, parts), _ANSWER), ["what"])
+    remove(spark, f"{path}/kind=1")
     (tokens, distinct), often = _stats(words)
     d = good_turing(often)
     left = float(taken(d, often[:DISCOUNTED]))
@@ -451,10 +451,10 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     known = blocks.where("kind = 0").select(F.lit("block").alias("what"), "block", F.lit(-1).alias("part"), "data")
     reply = lambda t, k: t.where("what = 'reply'").select(F.lit(str(k)).alias("what"), "block", "part", "data")
     known = known.unionByName(reply(words, 1))
-    for k in range(2, ORDER + 1):
+    for k in range(2, order + 1):
         shared, below = spark.sparkContext.broadcast(dict(model)), d
         asked = known.groupBy("block").applyInArrow(_with(_request, shared), _REQUEST)
-        answers = written(asked.groupBy("part").applyInArrow(_with(_count, below, parts, k == ORDER), _ANSWER), ["what"])
+        answers = written(asked.groupBy("part").applyInArrow(_with(_count, below, parts, k == order), _ANSWER), ["what"])
         d = good_turing(_stats(answers)[0])
         model[k] = {"d": d, **_hot_sums(answers)}
         known = known.unionByName(reply(answers, k))
