@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waymark.session import scratch, written
 
-__all__ = ["batches", "documents", "expr_crc_fold", "scratch", "shuffle_partitions", "table", "written"]
+__all__ = ["batches", "documents", "expr_crc_fold", "scratch", "shuffle_partitions", "table", "unused", "written"]
 
 #: Bytes of text that a Python task works on at a time; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -31,6 +31,14 @@ def expr_crc_fold(key: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def unused(columns: Iterable[str], stem: str) -> str:
+    """A name that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import shuffle_partitions
 from waymark.operators.joins import join_small
 
 #: A larger mean is drawn as a sum of Poisson numbers with means of at most this.
@@ -48,7 +49,7 @@ def poisson_inverse(mean: Column, u: Column) -> Column:
 
 def temperature_weights(docs: DataFrame, source: str = "source", exponent: float = TEMPERATURE) -> DataFrame:
     """(source, weight) with weights as a power of the sources' numbers of documents."""
-    return docs.groupBy(source).agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(exponent)).alias("weight"))
+    return docs.select(F.col(f"`{source}`").alias(source)).groupBy(source).agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(exponent)).alias("weight"))
 
 
 def repetition_rates(docs: DataFrame, weights: DataFrame, source: str = "source", total: float = 1.0) -> DataFrame:
@@ -63,20 +64,37 @@ def repetition_rates(docs: DataFrame, weights: DataFrame, source: str = "source"
     return rated.select(F.col(source).alias("_s"), (F.col("weight") / F.col("_sw") * F.col("_sn") * F.lit(total) / F.col("_n")).alias("rate"))
 
 
+def _mixed(docs: DataFrame, weights: DataFrame | None, seed: str, total: float, key: str, source: str) -> DataFrame:
+    """(_in, rate, copy, mix_key): each copy's row as it is, in order of mix_key."""
+    rates = repetition_rates(docs, weights if weights is not None else temperature_weights(docs, source), source, total)
+    rows = docs.select(F.struct("*").alias("_in"))
+    rated = join_small(rows, rates, F.col(f"_in.`{source}`").eqNullSafe(F.col("_s"))).drop("_s")
+    times = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_LIMIT).cast("int"))
+    name = F.col(f"_in.`{key}`")
+    draws = F.transform(F.sequence(F.lit(1), times), lambda i: poisson_inverse(F.col("rate") / times, hashed_fraction(seed, name, i)))
+    out = rated.withColumn("_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).where(F.col("_copies") > 0)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed + ":order"), F.coalesce(name.cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")))
+    # keys are uniform, so ranges of their first digits are equal parts and nothing need be sampled
+    n = shuffle_partitions(docs.sparkSession)
+    place = F.shiftright(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * n, 32).cast("int")
+    return out.repartitionById(n, place).sortWithinPartitions("mix_key")
+
+
 def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", total: float = 1.0, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Docs repeated to the weights, with rate, copy (from 0) and mix_key, in order of mix_key.
 
     Rates meet documents by a broadcast join if the sources are few, else by one that AQE can
-    split. The last step is a range shuffle on a hash, which no hot source can unbalance.
+    split. The last step deals rows by the leading digits of a hash, which no hot source can
+    unbalance. Columns of docs that are called like the three are replaced by them.
     """
-    rates = repetition_rates(docs, weights if weights is not None else temperature_weights(docs, source), source, total)
-    rated = join_small(docs, rates, docs[source].eqNullSafe(rates["_s"])).drop("_s")
-    times = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_LIMIT).cast("int"))
-    draws = F.transform(F.sequence(F.lit(1), times), lambda i: poisson_inverse(F.col("rate") / times, hashed_fraction(seed, F.col(key), i)))
-    copies = F.aggregate(draws, F.lit(0), lambda a, x: a + x)
-    out = rated.withColumn("_copies", copies).where(F.col("_copies") > 0)
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    return out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed + ":order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))).orderBy("mix_key")
+    kept = [c for c in docs.columns if c.lower() not in ("rate", "copy", "mix_key")]
+    return _mixed(docs, weights, seed, total, key, source).select(*[F.col(f"_in.`{c}`") for c in kept], "rate", "copy", "mix_key")
+
+
+def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", total: float = 1.0, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """Docs repeated and shuffled as by ``poisson_mix``, in their own columns whatever their names."""
+    return _mixed(docs, weights, seed, total, key, source).select("_in.*")
 
 
 ORACLE = """
