@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import batches, expr_crc_fold, written
+from waymark.llm.common import batches, expr_crc_fold, unused, written
 
 HELD_FOLD, THRESHOLD_FOLD = 0, 4
 #: Labelled documents of each class that training reads at most.
 SAMPLE_ROWS = 2500
+#: Longest text that training reads; with the number of rows this bounds what comes to the driver.
+SAMPLE_CHARS = 20_000
+#: Bytes of text whose windows a task holds at a time.
+SCORE_BYTES = 1 << 20
 TABLES, ROW_BITS, ROW_SIZE = 3, 16, 4
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, RATE, BATCH = 8, 0.02, 32
@@ -164,7 +168,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of at most rows labelled documents of each class, chosen by hash.
+    """(doc_id, text, toxic) of at most rows labelled documents of each class, chosen by hash, with
+    texts of at most SAMPLE_CHARS; of a repeated doc_id one row.
 
     The chosen ids are bounded, so they are sent to the documents, not these to them.
     """
@@ -172,7 +177,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     usable = labels.where(~fold.isin(HELD_FOLD, THRESHOLD_FOLD) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     pick = lambda k: usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("_id"), "toxic")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    found = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
@@ -187,20 +193,25 @@ def score(docs: DataFrame, model: Model | None, columns: list[str], name: str =
     if model is None:
         return docs.select(*columns, F.lit(0.0).alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # a text that is among the columns is not sent twice
+    text = "text" if "text" in columns else unused(columns, "text")
+    sent = list(columns) if text in columns else [*columns, text]
+    at = sent.index(text)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches(it, "_text"):
-            s = m.score(Texts.of(b.column(b.num_columns - 1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*columns, name])
+        for b in batches(it, text, SCORE_BYTES):
+            s = m.score(Texts.of(b.column(at).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(s, pa.float64())], names=[*columns, name])
 
     kept = docs.select(*columns).schema
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, T.StructType([*kept.fields, T.StructField(name, T.DoubleType())]))
+    return docs.select(*[F.col(f"`{c}`") if c in docs.columns else F.col("text").alias(c) for c in sent]).mapInArrow(run, T.StructType([*kept.fields, T.StructField(name, T.DoubleType())]))
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, language: str = "lang") -> dict[str | None, float]:
     """Per language the threshold with the best F1 on the threshold fold, nearest to 0.5 on ties."""
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), "toxic")
+    scored = scored.select("doc_id", language, "score")
     fold = scored.where(expr_crc_fold(F.col("doc_id")) == THRESHOLD_FOLD).join(known, F.col("doc_id") == F.col("_id"))
     table = fold.groupBy(language, F.least(F.lit(BINS - 1), F.floor(F.col("score") * BINS)).alias("bin")).agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
     bad: dict = defaultdict(lambda: np.zeros(BINS))
@@ -238,4 +249,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> D
     for k, v in found.items():
         limit = F.when(F.col("lang").eqNullSafe(F.lit(k)), F.lit(v)).otherwise(limit)
     columns = list(docs.columns)
-    return score(docs, model, columns, "_score").where(F.col("_score") < limit).select(*columns)
+    mark = unused(columns, "_score")
+    return score(docs, model, columns, mark).where(F.col(mark) < limit).select(*[F.col(f"`{c}`") for c in columns])
