@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.common import batches, shuffle_partitions, written
-from waymark.operators.joins import join_small
+from waymark.operators.joins import join_hot, join_small
 
 SEED = 42
 BITS, SEGMENTS = 4, 5
@@ -337,13 +337,13 @@ def similar(texts: DataFrame, similarity: float = 0.8, words_each: int = 5, leas
     narrow = written(sets.select("md5", "root", "n", F.posexplode("h").alias("k", "h")))
     where = ["root", "k", "h"]
     shared = narrow.groupBy(*where).agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    meets = narrow.join(shared, where).select("md5", "n", *where)
+    meets = join_hot(narrow, written(shared), where, "met").select("md5", "n", *where)
     sketch = sets.select("md5", "root", F.explode("q").alias("q"))
-    fame = sketch.join(sketch.groupBy("root", "q").agg(F.count(F.lit(1)).alias("has")), ["root", "q"]).groupBy("md5").agg(F.sum("has").alias("fame"))
+    fame = join_hot(sketch, written(sketch.groupBy("root", "q").agg(F.count(F.lit(1)).alias("has")).where("has > 1")), ["root", "q"], "has").groupBy("md5").agg(F.sum("has").alias("fame"))
     known = written(meets.join(fame, "md5", "left").withColumn("fame", F.coalesce("fame", F.lit(0))))
     head = F.struct("md5", "n")
-    heads = known.groupBy(*where).agg(F.min_by(head, F.struct(-F.col("fame"), "md5")).alias("first"), F.min_by(head, F.struct(F.xxhash64("md5", "k"), "md5")).alias("other"))
-    met = known.join(heads, where).select(F.col("md5").alias("a"), F.col("n").alias("n_a"), F.explode(F.array("first", "other")).alias("head"))
+    heads = known.groupBy(*where).agg(F.min_by(head, F.struct(-F.col("fame"), "md5")).alias("first"), F.min_by(head, F.struct(F.xxhash64("md5", "k"), "md5")).alias("other"), F.count(F.lit(1)).alias("met"))
+    met = join_hot(known, written(heads), where, "met").select(F.col("md5").alias("a"), F.col("n").alias("n_a"), F.explode(F.array("first", "other")).alias("head"))
     fit = (F.col("a") != F.col("head.md5")) & (F.least("n_a", "head.n") >= F.lit(similarity) * F.greatest("n_a", "head.n"))
     pairs = met.where(fit).select(F.greatest("a", "head.md5").alias("a"), F.least("a", "head.md5").alias("b")).distinct()
     side = lambda x: sets.select(F.col("md5").alias(x), F.col("s").alias(f"s_{x}"))
@@ -368,13 +368,14 @@ def apart(sets: DataFrame, similarity: float) -> DataFrame:
     each = left.select("i", "root", "n", F.xxhash64("team").alias("t"), F.explode("s").alias("x"))
     shared = each.groupBy("root", "x").agg(F.count(F.lit(1)).alias("f"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("root", "x", "f")
     least = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-6)).cast("int")
-    ranked = each.join(shared, ["root", "x"]).groupBy("i", "root", "n").agg(F.collect_list(F.struct("f", "x")).alias("k")).where(F.size("k") >= least)
+    ranked = join_hot(each, written(shared), ["root", "x"], "f").groupBy("i", "root", "n").agg(F.collect_list(F.struct("f", "x")).alias("k")).where(F.size("k") >= least)
     keys = written(ranked.select("i", "root", F.explode(F.slice(F.array_sort("k"), F.lit(1), F.size("k") - least + 1)).alias("k")).select("i", "root", "k.x"))
-    met = keys.groupBy("root", "x").agg(F.min("i").alias("m"))
-    near = written(components(keys.join(met, ["root", "x"]).select(F.col("i").alias("a"), F.col("m").alias("b"))).withColumnsRenamed({"node": "i", "root": "near"}))
+    met = written(keys.groupBy("root", "x").agg(F.min("i").alias("m"), F.count(F.lit(1)).alias("has")).where("has > 1"))
+    near = written(components(join_hot(keys, met, ["root", "x"], "has").select(F.col("i").alias("a"), F.col("m").alias("b"))).withColumnsRenamed({"node": "i", "root": "near"}))
     rows = left.select("i", "md5", "team", "n", "s").join(near, "i")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts")
-    rows = rows.join(rows.groupBy("near").agg(parts), "near").withColumn("home", F.pmod(F.xxhash64("md5", F.lit(SEED)), F.col("parts")).cast("int"))
+    sizes = written(left.select("i", "n").join(near, "i").groupBy("near").agg(parts, F.count(F.lit(1)).alias("has")))
+    rows = join_hot(rows, sizes, ["near"], "has").drop("has").withColumn("home", F.pmod(F.xxhash64("md5", F.lit(SEED)), F.col("parts")).cast("int"))
     dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("near", F.least("home", "with").alias("u"), F.greatest("home", "with").alias("v"), "home", "team", "s")
     dealt = dealt.repartition(shuffle_partitions(sets.sparkSession), "near", "u", "v").sortWithinPartitions("near", "u", "v")
     return dealt.mapInArrow(partial(_compare, similarity=similarity), "a string, b string").distinct()
@@ -438,31 +439,33 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_each: int =
     rows = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("md5"), "text")
     rid = F.struct("doc_id", "md5")
     prints = written(fingerprints(rows.select(rid.alias("rid"), "text"), 1, "rid", True).select("rid.*", "fp").distinct())
-    first = prints.groupBy("md5").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))).alias("m"), F.first("fp").alias("fp")).select("md5", F.col("m.i").alias("doc_id"), "fp")
+    first = prints.groupBy("md5").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))).alias("m"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("has")).select("md5", F.col("m.i").alias("doc_id"), "fp", "has")
     first = written(first)
-    equal = prints.join(first.select("md5", F.col("doc_id").alias("_kept")), "md5").where(~F.col("doc_id").eqNullSafe(F.col("_kept"))).select("doc_id", "md5")
+    kept = first.where("has > 1").select("md5", F.col("doc_id").alias("_kept"), "has")
+    equal = join_hot(prints.select("doc_id", "md5"), kept, ["md5"], "has").where(~F.col("doc_id").eqNullSafe(F.col("_kept"))).select("doc_id", "md5")
     nodes = first.select("fp").distinct()
     roots = components(edges(nodes, bits, segments))
     grouped = first.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "md5", F.coalesce("root", "fp").alias("root"))
-    many = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    asked = written(grouped.join(many, "root")).withColumnRenamed("doc_id", "_id")
+    many = written(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("has")).where("has > 1"))
+    asked = written(join_hot(grouped, many, ["root"], "has").drop("has")).withColumnRenamed("doc_id", "_id")
     texts = join_small(rows, asked.withColumnRenamed("md5", "_md5"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("md5") == F.col("_md5")))
     groups = components(similar(texts.select("md5", "root", "text").dropDuplicates(["md5"]), similarity, words_each))
     of = asked.select("md5", F.col("_id").alias("doc_id")).join(groups, F.col("md5") == F.col("node")).select("doc_id", "md5", F.col("root").alias("team"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "md5")
-    stays = of.groupBy("team").agg(F.min_by("md5", order).alias("stays"))
-    return equal.unionByName(of.join(stays, "team").where("md5 <> stays").select("doc_id", "md5"))
+    stays = written(of.groupBy("team").agg(F.min_by("md5", order).alias("stays"), F.count(F.lit(1)).alias("has")))
+    return equal.unionByName(join_hot(of, stays, ["team"], "has").where("md5 <> stays").select("doc_id", "md5"))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """Docs without their near copies; of rows that are repeated as a whole one stays."""
+    """Docs, in their own columns, without their near copies; of rows that are repeated as a whole
+    one stays."""
     drop = written(near_duplicates(docs, **options)).withColumnsRenamed({"doc_id": "_id", "md5": "_drop"})
-    marked = docs.withColumn("_md5", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    kept = join_small(marked, drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_drop")), "left_anti")
+    marked = docs.select(F.struct("*").alias("_in"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_md5")).withColumn("_doc", F.col("_in.doc_id"))
+    kept = join_small(marked, drop, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_drop")), "left_anti")
     narrow = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    if narrow.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
-        return kept.drop("_md5")
-    return kept.dropDuplicates(["doc_id", "_md5"]).drop("_md5")
+    if not narrow.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_doc", "_md5"])
+    return kept.select("_in.*")
 
 
 def hex_fingerprint(fp):
@@ -472,9 +475,9 @@ def hex_fingerprint(fp):
 def near_components(docs: DataFrame, words_each: int = 4, bits: int = BITS, segments: int = SEGMENTS, key: str = "doc_id") -> DataFrame:
     """Each row's key, fingerprint (hex) and component_id, the smallest key that links reach."""
     prints = written(fingerprints(docs, words_each, key))
-    nodes = written(prints.groupBy("fp").agg(F.min(key).alias("least")))
+    nodes = written(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("has")))
     roots = components(edges(nodes, bits, segments))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(key, hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    named = written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "has", F.coalesce("root", "fp").alias("root")))
+    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    of = written(join_hot(named, ids, ["root"], "members").select("fp", "component_id", "has"))
+    return join_hot(prints, of, ["fp"], "has").select(key, hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
