@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import shuffle_partitions
 
-SAMPLES = 24
+SAMPLES = 40
 #: Least doc_id, in whose place a null stands when rows are put in order.
 _FIRST = -(2**63)
 _WORDS = r"[ \t-\r]+"
