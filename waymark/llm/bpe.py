@@ -26,6 +26,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +36,26 @@ from waymark.llm.common import batches
 
 #: Fixed value: the pieces that the vocabulary was made for.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same where NEW stands for signs that are neither letters nor numbers.
+PIECES_BESIDE = r"'s|'t|'re|'ve|'m|'ll|'d|(?:(?!NEW)\p{L})+|(?!NEW)\p{N}|(?:NEW|[^\s\p{L}\p{N}])+"
+#: Letters and numbers that Unicode 16.0 added, which the vocabulary's pieces know though
+#: this Python's table may not; what was added later is neither. And its capitals beyond that table:
+#: first and last, and the small letter of the first.
+ADDED = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10EC4), (0x11380, 0x113D3), (0x116D0, 0x116E3),
+    (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FA),
+)
+CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
 END = "</w>"
 #: Letters read beyond the lookahead before tokens are emitted.
 CHUNK = 256
 #: Pieces whose ids a worker keeps, and the longest that it keeps.
-CACHE_PIECES, CACHE_CHARS = 400_000, 40
+CACHE_PIECES, CACHE_CHARS = 100_000, 40
+#: Pieces whose ids are handed on together.
+PIECES_EACH = 4096
 
 
 def byte_letters() -> list[str]:
@@ -49,6 +65,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def unassigned() -> frozenset[str]:
+    """What the pattern library counts as letters and numbers though the vocabulary's character
+    table does not know it."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    new = (c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+    return frozenset(c for c in new if not any(a <= ord(c) <= b for a, b in ADDED))
+
+
 def lookahead(merges: list[tuple[str, str]]) -> int:
     """Letters by which text to the right of a place can still change tokens before it."""
     reach: dict[str, int] = {}
@@ -79,7 +105,12 @@ class Vocabulary:
         self.ids = ids
         self.ranks = {m: i for i, m in enumerate(merges)}
         self.lookahead = lookahead(merges)
-        self.split = regex.compile(PIECES).findall
+        self.new = unassigned()
+        new = "[" + "".join(map(regex.escape, sorted(self.new))) + "]" if self.new else "(?!)"
+        self.pieces = regex.compile(PIECES).finditer
+        self.small = {a + i: small + i for a, b, small in CAPITALS for i in range(b - a + 1)}
+        self.rare = self.new | set(map(chr, self.small))
+        self.odd_pieces = regex.compile(PIECES_BESIDE.replace("NEW", new)).finditer
         # without a decoder in the file, tokens are joined by blanks, letter by letter
         self.text = {i: t.encode() for t, i in ids.items()}
         self.special = [(t["content"], t["id"]) for t in model.get("added_tokens") or []]
@@ -140,24 +171,33 @@ class Vocabulary:
         # each letter by itself: a final sigma is not told apart
         return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Packed ids of a text, some pieces at a time."""
         if self.special_split and "<|" in text:
-            parts = self.special_split(text)
-            return b"".join(struct.pack("<I", self.special_ids[p]) if i % 2 else self._encode(p) for i, p in enumerate(parts))
-        return self._encode(text)
-
-    def _encode(self, text: str) -> bytes:
+            for i, p in enumerate(self.special_split(text)):
+                if i % 2:
+                    yield struct.pack("<I", self.special_ids[p])
+                else:
+                    yield from self._encode(p)
+        else:
+            yield from self._encode(text)
+
+    def _encode(self, text: str) -> Iterator[bytes]:
         packed = self.packed
-        out = []
-        for p in self.split(self.normal(text)):
-            if (ids := packed.get(p)) is None:
-                ids = self.pack(p)
-                if len(p) <= CACHE_CHARS:
-                    if len(packed) >= CACHE_PIECES:
-                        packed.clear()
-                    packed[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        text = self.normal(text)
+        odd = not text.isascii() and not self.rare.isdisjoint(text)
+        found = self.odd_pieces(text.translate(self.small)) if odd else self.pieces(text)
+        while chunk := [m.group() for m in islice(found, PIECES_EACH)]:
+            out = []
+            for p in chunk:
+                if (ids := packed.get(p)) is None:
+                    ids = self.pack(p)
+                    if len(p) <= CACHE_CHARS:
+                        if len(packed) >= CACHE_PIECES:
+                            packed.clear()
+                        packed[p] = ids
+                out.append(ids)
+            yield b"".join(out)
 
 
 class Decoder:
@@ -182,11 +222,11 @@ class Decoder:
         return self.bytes.decode(b"", True)
 
 
-def decode(vocabulary: Vocabulary, packed: bytes, step: int = 1 << 16) -> Iterator[str]:
-    """Text of packed ids, piece by piece."""
+def decode(vocabulary: Vocabulary, packed: Iterable[bytes]) -> Iterator[str]:
+    """Text of packed ids, chunk by chunk."""
     d = Decoder(vocabulary)
-    for i in range(0, len(packed), step * 4):
-        yield d.feed(memoryview(packed[i : i + step * 4]).cast("I"))
+    for p in packed:
+        yield d.feed(memoryview(p).cast("I"))
     yield d.end()
 
 
@@ -204,15 +244,19 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
         for b in batches(it):
             n, sha, back, lists = [], [], [], []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
-                packed = v.encode(text) if text else b""
-                n.append(len(packed) // 4)
-                sha.append(hashlib.sha256(packed).hexdigest())
-                h = hashlib.sha256()
-                for part in decode(v, packed):
-                    h.update(part.encode())
-                back.append(h.hexdigest())
-                if ids:
-                    lists.append(memoryview(packed).cast("I").tolist())
+                # a chunk is hashed, decoded and let go before the next is made
+                size, of_ids, of_text, own, d = 0, hashlib.sha256(), hashlib.sha256(), [], Decoder(v)
+                for packed in v.encode(text or ""):
+                    size += len(packed) // 4
+                    of_ids.update(packed)
+                    of_text.update(d.feed(memoryview(packed).cast("I")).encode())
+                    if ids:
+                        own += memoryview(packed).cast("I").tolist()
+                of_text.update(d.end().encode())
+                n.append(size)
+                sha.append(of_ids.hexdigest())
+                back.append(of_text.hexdigest())
+                lists.append(own)
             cols = [b.column(b.schema.get_field_index(f.name)) for f in kept]
             made = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())] + [pa.array(lists, pa.list_(pa.int64()))] * ids
             yield pa.RecordBatch.from_arrays(cols + made, schema=pa.schema([b.schema.field(b.schema.get_field_index(f.name)) for f in kept] + extra))
