@@ -53,6 +53,32 @@ def test_bpe(data):
     assert as_counter(encode(docs, path).collect(), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
 
 
+def test_bpe_of_every_code_point():
+    """Each code point between letters, also those that newer tables call letters; and long pieces,
+    whose ids come in several chunks and with the least lookahead."""
+    import random
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waymark.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, v = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    ids = lambda x: list(memoryview(b"".join(v.encode(x))).cast("I"))
+    assert len(v.new) > 0
+    points = sorted(v.rare)[::7] + sorted(v.rare)[:300] + [chr(c) for c in range(0x80, 0x110000, 97) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c)) == 0]
+    wrong = [c for c in points if ids(f"ab{c}cd") != t.encode(f"ab{c}cd", add_special_tokens=False).ids]
+    assert not wrong, wrong[:20]
+    rng = random.Random(2)
+    for n in (1, 177, 178, 500, 5000):
+        piece = "".join(rng.choice("etaoinshr") for _ in range(n))
+        assert ids(piece) == t.encode(piece, add_special_tokens=False).ids
+    long = "one two three. " * 6000
+    assert ids(long) == t.encode(long, add_special_tokens=False).ids and len(list(v.encode(long))) > 1
+
+
 def test_quality_counts(data):
     from waymark.llm.quality import counts
 
@@ -102,6 +128,48 @@ def test_quality_rejects_junk_of_every_language(spark):
     assert quality.most_rejected(need, quality.RISK / 5, quality.DELTA / 20) == 0 and quality.most_rejected(need - 1, quality.RISK / 5, quality.DELTA / 20) == -1
 
 
+def test_exact_binomial_bound():
+    """The bound against sums of exact binomial terms."""
+    from fractions import Fraction
+
+    from waymark.llm.quality import most_rejected, upper_bound
+
+    def below(k, n, p):
+        return float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+
+    for n in (1, 2, 10, 60, 300):
+        for k in sorted({0, 1, n // 10, n // 2} - {n}):
+            for delta in (0.05, 0.001):
+                p = upper_bound(k, n, delta)
+                assert below(k, n, Fraction(p - 1e-7)) >= delta >= below(k, n, Fraction(min(1, p + 1e-7)))
+    assert upper_bound(5, 5, 0.1) == upper_bound(0, 0, 0.1) == 1.0
+    for n in (100, 1000, 3000):
+        k = most_rejected(n, 0.02, 0.01)
+        assert k < 0 and upper_bound(0, n, 0.01) > 0.02 or upper_bound(k, n, 0.01) <= 0.02 < upper_bound(k + 1, n, 0.01)
+
+
+def test_fixed_sequence_keeps_the_risk():
+    """Over many draws of good values a rule's cutoff rejects more than its risk of the good ones
+    no oftener than the confidence allows."""
+    import numpy as np
+
+    from waymark.llm.quality import BINS, most_rejected
+
+    rng = np.random.default_rng(5)
+    share = 0.97 ** np.arange(BINS)
+    share /= share.sum()
+    over = 1 - share.cumsum()  # true share of good values above each bin
+    risk, delta, n, tries, bad, acted = 0.02, 0.05, 2000, 400, 0, 0
+    most = most_rejected(n, risk, delta)
+    for _ in range(tries):
+        h = rng.multinomial(n, share)
+        above = np.concatenate([h[::-1].cumsum()[::-1][1:], [0]])
+        cut = int(np.argmax(above <= most))
+        bad += over[cut] > risk
+        acted += cut < BINS - 1
+    assert acted == tries and bad <= tries * delta + 3 * math.sqrt(tries * delta * (1 - delta))
+
+
 def jump(key, n):
     key, b, j = key & (1 << 64) - 1, -1, 0
     while j < n:
@@ -242,13 +310,13 @@ def test_warc_members(tmp_path):
 class PlainKatz:
     """The model in plain Python: counts of word tuples and the recursion, order by order."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order):
         import numpy as np
 
         from waymark.llm import katz
 
         self.tables = []
-        for k in range(1, katz.ORDER + 1):
+        for k in range(1, order + 1):
             c = Counter()
             for w in texts:
                 padded = ["<s>"] * (k - 1) + w
@@ -280,8 +348,8 @@ class PlainKatz:
         return weight * (self.share(context[1:], word) if k > 1 else 1.0)
 
 
-@pytest.mark.parametrize("block, parts, hot", [(1 << 20, 4, 1 << 22), (300, 1, 20)])
-def test_katz(data, monkeypatch, block, parts, hot):
+@pytest.mark.parametrize("order, block, parts, hot", [(2, 1 << 20, 4, 1 << 22), (3, 1 << 20, 4, 1 << 22), (2, 300, 1, 20), (3, 300, 1, 20), (1, 300, 1, 20)])
+def test_katz(data, monkeypatch, order, block, parts, hot):
     """Scores equal the plain model's, also with many blocks and with contexts dealt by follower."""
     from waymark.llm import katz
 
@@ -292,12 +360,12 @@ def test_katz(data, monkeypatch, block, parts, hot):
     train = [w for _, w, out in texts if not out]
     c = Counter(x for w in train for x in w)
     total, distinct = sum(c.values()), len(c)
-    model = PlainKatz(train)
-    got = [tuple(r) for r in katz.katz_scores(docs).collect()]
+    model = PlainKatz(train, order)
+    got = [tuple(r) for r in katz.katz_scores(docs, order).collect()]
     want = []
     for i, w, out in texts:
-        padded = ["<s>"] * (katz.ORDER - 1) + w
-        score = sum(math.log10(model.share(tuple(padded[j : j + katz.ORDER - 1]), x)) for j, x in enumerate(w))
+        padded = ["<s>"] * (order - 1) + w
+        score = sum(math.log10(model.share(tuple(padded[j : j + order - 1]), x)) for j, x in enumerate(w))
         base = sum(math.log10((c[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w)
         want.append((i, out, len(w), sum(c[x] > 0 for x in w), total, base, score))
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
@@ -309,7 +377,7 @@ def test_katz_shares_sum_to_one(spark):
     """Over all words that training has, and the unknown one, in contexts of every kind."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     train = [words(r["text"] or "")[:60] + [b""] for r in docs][:60]
-    model = PlainKatz(train)
+    model = PlainKatz(train, 3)
     every = {w for t in train for w in t} | {b"never seen"}
     some = [(), ("<s>",), ("<s>", "<s>"), (b"never", b"seen"), (b"", train[0][0]), *[tuple(t[:2]) for t in train[:20]], *[(t[3],) for t in train[:20] if len(t) > 3]]
     for context in some:
@@ -354,14 +422,24 @@ def test_poisson_inverse_is_right_for_large_means(spark):
 
 
 def test_extra_columns(spark):
-    """Further columns, with names that the operators use inside, do no harm."""
+    """Further columns, with names that the operators use inside or give out, do no harm."""
     from pyspark.sql import functions as F
 
-    from waymark.llm import katz, mixing, quality, sharding, simhash
+    from waymark.llm import bpe, fingerprint, katz, mixing, quality, sharding, simhash, toxicity, warc
 
-    names = ["fp", "root", "part", "block", "data", "kind", "n", "key", "_n", "_part", "shard", "slot", "bin", "least", "a", "b"]
-    docs = spark.createDataFrame(ODD, SCHEMA).select("*", *[F.lit(1).alias(n) for n in names])
+    names = ["fp", "root", "part", "block", "data", "kind", "n", "key", "_n", "_part", "shard", "slot", "bin", "least", "a", "b", "_in", "_id", "_drop", "_md5", "_doc", "_s", "_w", "_copies", "rate", "copy", "mix_key", "_score", "_text", "score", "threshold", "toxic", "quality", "bucket", "rid", "ghost", "k", "has", "_kept"]
+    docs = spark.createDataFrame(ODD, SCHEMA).select("*", *[F.lit(f"v{n}").alias(n) for n in names])
+    nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert simhash.near_components(docs).count() == katz.katz_scores(docs).count() == sharding.shard_table(docs).count() == len(ODD)
-    assert quality.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == len(ODD)
-    assert mixing.poisson_mix(docs).where("source = 'a'").count() > 0
+    assert quality.quality_rules(docs, nothing).count() == fingerprint.fingerprint(docs).count() == toxicity.classify(docs, nothing).count() == len(ODD)
+    assert mixing.poisson_mix(docs).where("source = 'a' and rate > 0 and copy >= 0").count() > 0
+    for out in (mixing.replicate(docs), simhash.near_dedup(docs), toxicity.keep_clean(docs, nothing)):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[n] == f"v{n}" for r in rows for n in names)
+    import public_tokenizers
+
+    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(encoded) == len(ODD) and all(r[n] == f"v{n}" for r in encoded for n in names)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *names)
+    assert warc.round_trip(pages).count() == len(ODD)
     assert isinstance(docs.schema, T.StructType)
