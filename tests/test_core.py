@@ -250,3 +250,19 @@ def test_intermediate_tables_can_be_discarded(spark):
     session.discard(spark)
     with pytest.raises(Exception):
         spark.read.parquet(path)
+
+
+def test_states_of_long_ranges(spark):
+    """Ranges of any length, also below zero and beyond the longest run, against a plain scan."""
+    rng = random.Random(8)
+    pts = [(k, rng.uniform(-50, 300_000) if k % 3 else rng.uniform(-5, 60), rng.choice(["A", "B", "C", "D", "", None])) for k in range(300)]
+    segs = [(i, rng.uniform(-60, 60), rng.uniform(-60, 60) if i % 2 else rng.uniform(-60, 300_000)) for i in range(150)]
+    p = spark.createDataFrame(pts, "ord long, mile double, state string")
+    s = spark.createDataFrame(segs, "id long, start_mile double, end_mile double")
+    for r in snapping.states_for_range(s, p).collect():
+        _, a, b = segs[r["id"]]
+        first = {}
+        for o, m, t in pts:
+            if t and min(a, b) - 0.05 <= m <= max(a, b) + 0.05:
+                first.setdefault(t, o)
+        assert r["states"] == (" · ".join(sorted(first, key=first.get)) or None)

@@ -86,7 +86,9 @@ def covering(start, end):
 
     top = F.lit(LEVELS - 1)
     rest = lambda s: F.when(s["a"] < s["b"], F.transform(F.sequence(s["a"] * 2, s["b"] * 2 - 1), lambda n: F.struct(top.cast("int").alias("level"), n.cast("bigint").alias("run")))).otherwise(none)
-    return F.aggregate(F.sequence(F.lit(0), top), zero, up, lambda s: F.concat(s["out"], rest(s)))
+    # after as many levels as the length has digits in base two nothing is left
+    needed = F.ceil(F.log2(F.greatest(end - start, F.lit(1)).cast("double"))).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(0), F.least(top, needed)), zero, up, lambda s: F.concat(s["out"], rest(s)))
 
 
 def validate_requests(requests: DataFrame, require_distinct: bool = True, require_date: bool = False) -> DataFrame:
