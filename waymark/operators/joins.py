@@ -27,9 +27,10 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str = "n", ho
     """
     parts = F.ceil(F.col(n) / F.lit(float(hot_rows))).cast("int")
     hot = small.where(F.col(n) > hot_rows).select(*keys, parts.alias("_parts"))
-    if hot.isEmpty():
+    found = hot.limit(SMALL_ROWS + 1).count()
+    if not found:
         return big.join(small, keys)
-    dealt = join_small(big, hot, keys, "left")
+    dealt = big.join(F.broadcast(hot) if found <= SMALL_ROWS else hot, keys, "left")
     dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
     return dealt.join(copies, [*keys, "_part"]).drop("_part")
