@@ -382,17 +382,20 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = DEPTH
     return trees
 
 
-def training_table(spark: SparkSession, n: int, seed: int, forms: int = 0) -> list[tuple[int, str, bool, list[float]]]:
-    """(sentence, kind proposed, right, features) of the candidates in made-up sentences (bounded by n)."""
+def training_table(spark: SparkSession, n: int, seed: int, forms: int = 0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per kind the features of the candidates in made-up sentences and which are right (bounded by n)."""
     made = sentences(n, seed, forms)
     rows = spark.sql("select posexplode(from_json(:j, 'array<string>')) as (i, text)", args={"j": json.dumps([t for t, _ in made])})
     of = features(F.col("c"))
-    found = rows.select("i", F.explode(candidates(F.col("text"))).alias("c")).select("i", "c.gen", "c.start", "c.end", F.array(*[of[k] for k in FEATURES]).alias("f")).collect()
-    return [(r["i"], k, (r["start"], r["end"], k) in made[r["i"]][1], r["f"]) for r in found for k in PROPOSES[r["gen"]]]
-
-
-def _part(rows: list, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r[3] for r in rows if r[1] == kind]), np.array([float(r[2]) for r in rows if r[1] == kind])
+    found = rows.select("i", F.explode(candidates(F.col("text"))).alias("c")).select("i", "c.gen", "c.start", "c.end", *[of[k].alias(f"f_{k}") for k in FEATURES]).toArrow()
+    x = np.stack([found.column(f"f_{k}").to_numpy() for k in FEATURES], axis=1)
+    gen, where = np.array(found.column("gen").to_pylist()), list(zip(*[found.column(c).to_pylist() for c in ("i", "start", "end")]))
+    out = {}
+    for g, kinds in PROPOSES.items():
+        at = np.flatnonzero(gen == g)
+        for k in kinds:
+            out[k] = x[at], np.array([(where[j][1], where[j][2], k) in made[where[j][0]][1] for j in at], dtype=float)
+    return out
 
 
 def train(spark: SparkSession, n: int = 1600, seed: int = 11) -> dict[str, tuple[list, float]]:
@@ -400,9 +403,8 @@ def train(spark: SparkSession, n: int = 1600, seed: int = 11) -> dict[str, tuple
     fit, check = training_table(spark, n, seed), training_table(spark, n, seed + 1, 1)
     out = {}
     for kind in KINDS:
-        x, y = _part(fit, kind)
-        trees = boost(x, y)
-        vx, vy = _part(check, kind)
+        trees = boost(*fit[kind])
+        vx, vy = check[kind]
         s = sum(_value(t, vx) for t in trees)
         order = np.argsort(-s, kind="stable")
         good = vy[order].cumsum() / np.arange(1, len(order) + 1)
