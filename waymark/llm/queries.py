@@ -73,13 +73,31 @@ def op10_simhash(spark, d):
     return near_components(documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_pii, op4_bpe, op5_quality, op6_sharding, op7_katz, op8_warc, op9_mixing, op10_simhash)}
+def op11_url_filters(spark, d):
+    from waymark.llm.urls import judged_pages
+
+    return judged_pages(table(spark, d, "pages"), table(spark, d, "labels"))
+
+
+def op12_negatives(spark, d):
+    from waymark.llm.negatives import hard_negatives
+
+    return hard_negatives(table(spark, d, "embeddings"))
+
+
+def op13_codes(spark, d):
+    from waymark.llm.codes import code_table
+
+    return code_table(table(spark, d, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_pii, op4_bpe, op5_quality, op6_sharding, op7_katz, op8_warc, op9_mixing, op10_simhash, op11_url_filters, op12_negatives, op13_codes)}
 
 
 def _oracles() -> dict[str, str]:
-    from waymark.llm import mixing
+    from waymark.llm import codes, mixing, negatives
 
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op9_mixing": mixing.ORACLE, "op12_negatives": negatives.ORACLE, "op13_codes": codes.ORACLE}
 
 
 ORACLES = _oracles()
