@@ -1,12 +1,15 @@
 """Classifier, fingerprints, personal data and pipeline against brute force or planted cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -227,22 +230,56 @@ def model(spark):
 
 
 def test_stretches_of_a_run_are_told_apart(spark, model):
-    """Two cards in a row are two cards, with and without signs between their groups."""
+    """Numbers in a row are as many numbers, with and without signs between their groups."""
     from waymark.llm import pii
 
-    texts = ["pay 7536784127813050 4845168114407329 now", "call (555) 123-4567 (555) 987-6543 today", "card 4111 1111 1111 1111 5500 0000 0000 0004 ok", "order 1234567890123456 of 2024-01-15 10:30"]
-    got = {r["doc_id"]: r["spans"] for r in pii.summary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
-    assert got.pop(1).startswith("phone:5:19")
-    assert got == {0: "card:4:20,card:21:37", 2: "card:5:24,card:25:44", 3: ""}
+    texts = {
+        "pay 7536784127813050 4845168114407329 now": "card:4:20,card:21:37", "call (555) 123-4567 (555) 987-6543 today": "phone:5:19,phone:20:34",
+        "card 4111 1111 1111 1111 5500 0000 0000 0004 ok": "card:5:24,card:25:44", "order 1234567890123456 of 2024-01-15 10:30": "",
+        "cards 4111111111111111 5500005555555559 4012888888881881 378282246310005 done": "card:6:22,card:23:39,card:40:56,card:57:72",
+        "call (555) 123-4567/(555) 765-4321": "phone:5:19,phone:20:34", "card 4111 1111  1111 1111": "card:5:25", "0171 555 1234": "phone:0:13", "host 10[.]0[.]0[.]1 up": "ip:5:19",
+    }
+    got = {r["text"]: r["spans"] for r in pii.find(spark.createDataFrame([(t,) for t in texts], "text string"), model).select("text", pii.spelt(F.col("spans")).alias("spans")).collect()}
+    assert got == texts
+
+
+@pytest.mark.parametrize("n", [1, 5, 16, 17, 60, 400])
+def test_choice_has_the_greatest_sum(spark, n):
+    """Against the best of all choices for few candidates, else against a plain programme."""
+    from waymark.llm import pii
+
+    rng = random.Random(n)
+    rows = []
+    for _ in range(40):
+        ends = sorted(rng.sample(range(2, 6 * n + 20), n + 2))  # candidates begin and end at few places, as in a run of groups
+        made = {}
+        for j in range(1, len(ends)):
+            for i in range(max(0, j - pii.GROUPS), j):
+                if rng.random() < 0.35 and len(made) < n:
+                    made[rng.randrange(1, 4), ends[i], ends[j]] = float(rng.choice([1, 1, 2, 3, rng.random()]))
+        rows.append(([(*k, v) for k, v in made.items()],))
+    df = spark.createDataFrame(rows, "c array<struct<kind:int,start:int,end:int,score:double>>").withColumn("got", pii.chosen(F.col("c")))
+    for r in df.collect():
+        score = {(c["kind"], c["start"], c["end"]): c["score"] for c in r["c"]}
+        got = sorted((g["start"], g["end"], g["kind"]) for g in r["got"])
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+        best = [0.0] * (max((c["end"] for c in r["c"]), default=0) + 1)
+        for e in range(1, len(best)):
+            best[e] = max([best[e - 1], *(best[c["start"]] + c["score"] for c in r["c"] if c["end"] == e)])
+        assert sum(score[k, a, b] for a, b, k in got) == pytest.approx(best[-1])
+        if len(r["c"]) <= 8:
+            apart = lambda cs: all(a["end"] <= b["start"] or b["end"] <= a["start"] for a, b in combinations(cs, 2))
+            assert best[-1] == pytest.approx(max(sum(c["score"] for c in cs) for m in range(len(r["c"]) + 1) for cs in combinations(r["c"], m) if apart(cs)))
+        plain = sorted((c[0], c[1], c[3]) for c in pii.plain_choice([(c["start"], c["end"], c["score"], c["kind"]) for c in r["c"]]))
+        assert plain == got
 
 
 def test_trees_on_unseen_forms(spark, model):
-    """Precision and recall on sentences of forms, words and cues that the trees have not seen."""
+    """Precision and recall on sentences of forms, words and cues that neither trees nor thresholds have seen."""
     from waymark.llm import pii
 
     told = pii.measure(spark, model)
-    print(told)
-    assert set(model) == set(pii.KINDS) and all(p > 0.9 for p, _ in told.values()) and all(r > 0.05 for _, r in told.values())
+    assert set(model) == set(pii.KINDS) and all(p >= 0.98 for p, _ in told.values()) and all(r >= 0.8 for _, r in told.values()), told
 
 
 def test_candidates_are_scored_as_in_numpy(spark, model):

@@ -2,11 +2,12 @@
 
 Strict patterns find the base spans, which always stay. Loose generators of high recall propose
 further spans: addresses with spelt-out signs, and within each run of digits every stretch of up
-to GROUPS groups with a fitting number of digits, so that stretches overlap: of two card numbers in
+to GROUPS groups with a fitting number of digits (an ip: four groups of up to three), so that stretches overlap: of two card numbers in
 a row either one, both together and parts of both are proposed, each as a phone number, a card and
 an ip at once. Features of a candidate's form and surroundings go through boosted trees, one
 ensemble per kind, compiled to CASE expressions. A candidate is taken if it reaches its kind's
-threshold and overlaps neither a base span nor a better candidate.
+threshold, overlaps no base span and belongs to the choice of candidates that lie apart and have the
+greatest sum of scores, which a dynamic programme over their ends finds exactly.
 
 The trees are trained with numpy on sentences made up here, whose candidates and features come
 from the very expressions that run on documents. The threshold of a kind is the lowest with the
@@ -15,7 +16,7 @@ wanted precision on sentences of other forms and words than those of the trainin
 Patterns are possessive and begin where a run begins (or where the match before ended), so
 their time is linear in the text however long a run is. Offsets are code points: running sums
 of the lengths of matches and of the pieces between them. A candidate is held against base spans
-by halving, and against the candidates within reach, whose number has a bound; so all steps grow
+by halving, and against the few ends that lie within the longest candidate; so all steps grow
 about in proportion to the text.
 
 Defined cases: a null text is empty and has no spans; repeated rows are alike; overlapping base
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import json
 import random
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,22 +52,25 @@ _DOT = r"(?:\.|\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?)"
 #: Generators of candidates: addresses, and runs of digits.
 LOOSE = {
     "address": rf"(?<![{_LOCAL}])[{_LOCAL}]++{_SIGN}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
-    "digits": r"\+?+(?:[(]\x20?)?[0-9](?:[\x20().\[\]/-]{0,3}[0-9]){6,}+",
+    "digits": r"\+?+(?:[(]\x20?)?[0-9](?:[\x20().\[\]/-]{0,5}[0-9]){3,}+",
 }
 #: Candidate kinds of each generator.
 PROPOSES = {"address": ("email",), "digits": ("ip", "card", "phone")}
-#: Groups and digits of a stretch that is proposed; a stretch with more of either is none.
+#: Groups and digits of a stretch that is proposed; a stretch with more of either is none, so a number
+#: written in more groups, as digit by digit, is only found by the strict patterns.
 GROUPS, DIGITS = 6, (7, 19)
-#: Stretches that begin at one group, times kinds: how many candidates one can meet to either side.
-REACH = 2 * GROUPS * GROUPS * 3
+#: Groups of an address of bytes, which may have fewer digits than DIGITS.
+BYTES = 4
 #: Characters looked at on either side of a candidate.
-CONTEXT = 24
+CONTEXT = 40
 FEATURES = (
     "digits", "groups", "longest", "dots", "dashes", "blanks", "brackets", "plus", "luhn", "bytes_ok", "letter_before", "letter_after", "sign_before",
     "phone_word", "card_word", "ip_word", "mail_word", "date_like", "phone_groups", "card_groups", "more_before", "more_after", "pairs", "even", "decimal",
+    "zero_first", "first", "last", "shortest", "issuer", "bracket_first", "slashes", "dotted", "other_word",
+    "bracketed", "gap_before", "gap_after", "inner_gap", "balanced", "group_before", "group_after",
 )
-_CUES = {"phone_word": "phone|tel|call|mobile|fax|cell", "card_word": "card|visa|mastercard|credit|payment", "ip_word": r"\bip\b|server|host|address|login from", "mail_word": "mail|contact|write|reach"}
-ROUNDS, DEPTH, LEARNING, LEAVES_MIN = 24, 3, 0.4, 5
+_CUES = {"phone_word": "phone|tel|call|mobile|fax|cell", "card_word": "card|visa|mastercard|credit|payment", "ip_word": r"\bip\b|server|host|address|login from", "mail_word": "mail|contact|write|reach", "other_word": "order|invoice|total|sum|version|page|chapter|isbn|serial|part|key|grid|score|dated|password|ref|no[.]|[^a-z]id[^a-z]|[^a-z]on $|number of"}
+ROUNDS, DEPTH, LEARNING, LEAVES_MIN = 32, 4, 0.4, 5
 PRECISION = 0.99
 
 
@@ -199,7 +204,7 @@ def stretches(run: Column, free) -> Column:
         def spans(t: Column) -> Column:
             start = lambda i: run["start"] + F.get(t["ends"], i) - F.length(F.get(g, i)) - F.length(lead(i))
             here = lambda i, j: F.struct(i.alias("i"), j.alias("j"), start(i).alias("start"), (run["start"] + F.get(t["ends"], j)).alias("end"), (F.get(t["digits"], j) - F.coalesce(F.get(t["digits"], i - 1), F.lit(0))).alias("digits"))
-            every = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.filter(F.transform(F.sequence(i, F.least(i + GROUPS - 1, m - 1)), lambda j: here(i, j)), lambda w: w["digits"].between(*DIGITS) & free(w["start"], w["end"])))
+            every = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.filter(F.transform(F.sequence(i, F.least(i + GROUPS - 1, m - 1)), lambda j: here(i, j)), lambda w: (w["digits"].between(*DIGITS) | (w["j"] - w["i"] == BYTES - 1) & w["digits"].between(BYTES, 3 * BYTES)) & free(w["start"], w["end"])))
             return F.flatten(every)
 
         def told(w: Column) -> Column:
@@ -248,9 +253,62 @@ def features(c: Column) -> dict[str, Column]:
         "phone_groups": flag(F.trim(shape).rlike("^(?:d{1,3} )?ddd ddd dddd$")), "card_groups": flag(F.trim(shape).rlike("^dddd dddd dddd d{1,7}$|^dddd dddddd ddddd$")),
         "more_before": flag(c["more_before"]), "more_after": flag(c["more_after"]), "pairs": flag(F.trim(shape).rlike("^(?:d{1,3} )?d{1,2}(?: dd){4}$")),
         "even": flag(F.size(F.array_distinct(F.regexp_extract_all(m, F.lit("[0-9]([^0-9]+)(?=[0-9])"), F.lit(1)))) <= 1), "decimal": flag(before.rlike("[0-9][.,]$") | after.rlike("^[.,][0-9]")),
+        "bracketed": flag(m.rlike(r"^\([0-9]{3}\)\x20?[0-9]{3}[-. ]?[0-9]{4}$")), "balanced": flag(F.regexp_count(m, F.lit(r"\(")) == F.regexp_count(m, F.lit(r"\)"))),
+        "gap_before": F.length(F.regexp_extract(before, r"[^\p{L}0-9]*+$", 0)).cast("double"), "gap_after": F.length(F.regexp_extract(after, r"^[^\p{L}0-9]*+", 0)).cast("double"),
+        "group_before": F.length(F.regexp_extract(before, r"([0-9]++)[^\p{L}0-9]{0,5}$", 1)).cast("double"), "group_after": F.length(F.regexp_extract(after, r"^[^\p{L}0-9]{0,5}([0-9]++)", 1)).cast("double"),
+        "inner_gap": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(m, F.lit("[0-9]([^0-9]++)(?=[0-9])"), F.lit(1)), lambda g: F.length(g))), F.lit(0)).cast("double"),
+        "zero_first": flag(d.startswith("0")), "first": F.length(F.get(groups, 0)).cast("double"), "last": F.length(F.get(groups, F.size(groups) - 1)).cast("double"),
+        "shortest": F.coalesce(F.array_min(F.transform(groups, lambda g: F.length(g))), F.lit(0)).cast("double"), "issuer": flag(d.rlike("^(?:4|5[1-5]|3[47]|6(?:011|5)|2[2-7])")),
+        "bracket_first": flag(m.rlike(r"^[+0-9]*\x20?\(")), "slashes": count("/"), "dotted": flag(m.rlike(r"^[0-9]++(?:\x20?[\[(]?\x20?\.\x20?[\])]?\x20?[0-9]++){3}$")),
     }
 
 
+def scanned(items: Column, zero: Column, step) -> Column:
+    """The marks (true or false) that step(state, item) -> (s, mark) leaves along an array, from the
+    state zero. An array that grows is copied, so it is gone through in pieces of about its root."""
+    none = F.array().cast("array<boolean>")
+
+    def piece(p: Column, state: Column) -> Column:
+        return F.aggregate(p, F.struct(state.alias("s"), none.alias("o")), lambda a, x: bound(step(a["s"], x), lambda r: F.struct(r["s"].alias("s"), F.concat(a["o"], F.array(r["mark"])).alias("o"))))
+
+    each = F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), each - 1), lambda i: F.slice(items, i * each + 1, each))
+    start = F.struct(zero.alias("s"), F.array().cast("array<array<boolean>>").alias("o"))
+    every = F.aggregate(pieces, start, lambda a, p: bound(piece(p, a["s"]), lambda r: F.struct(r["s"].alias("s"), F.concat(a["o"], F.array(r["o"])).alias("o"))))
+    return F.when(F.size(items) <= 16, piece(items, zero)["o"]).otherwise(F.flatten(every["o"]))
+
+
+def chosen(found: Column) -> Column:
+    """Of an array of (kind, start, end, score) with positive scores those that lie apart and have the
+    greatest sum of scores; among equal sums that which ends first counts, then the least kind.
+
+    Going by ends, a candidate is marked if it and the best choice before its start beat the best
+    choice so far. Only the ends within its reach matter, and there are at most GROUPS of them.
+    Going back, a marked candidate is taken if it ends before what was taken last begins.
+    """
+    ordered = F.array_sort(F.transform(found, lambda c: F.struct(c["end"].alias("end"), (-c["start"]).alias("back"), c["kind"].alias("kind"), c["start"].alias("start"), c["score"].alias("score"))))
+    last = lambda a: F.get(a, F.size(a) - 1)
+
+    def forth(best: Column, c: Column) -> Column:
+        """best: (end, sum) of the last ends at which the best sum rose."""
+        here = F.coalesce(last(F.filter(best, lambda e: e["end"] <= c["start"]))["sum"], F.lit(0.0)) + c["score"]
+        up = here > F.coalesce(last(best)["sum"], F.lit(0.0))
+        other = F.filter(best, lambda e: e["end"] < c["end"])
+        grown = F.concat(F.slice(other, F.greatest(F.lit(1), F.size(other) - GROUPS), F.lit(GROUPS + 1)), F.array(F.struct(c["end"].alias("end"), here.alias("sum"))))
+        return F.struct(F.when(up, grown).otherwise(best).alias("s"), up.alias("mark"))
+
+    def back(limit: Column, c: Column) -> Column:
+        take = c["up"] & (c["end"] <= limit)
+        return F.struct(F.when(take, c["start"]).otherwise(limit).alias("s"), take.alias("mark"))
+
+    def pick(o: Column) -> Column:
+        marks = scanned(o, F.array().cast("array<struct<end:int,sum:double>>"), forth)
+        told = bound(marks, lambda m: F.reverse(F.transform(o, lambda c, i: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.get(m, i).alias("up")))))
+        return bound(told, lambda t: bound(scanned(t, F.lit(2**31 - 1), back), lambda m: F.filter(t, lambda c, i: F.get(m, i))))
+
+    return F.transform(F.when(F.size(found) > 0, bound(ordered, pick)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,up:boolean>>")), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+
+
 def tree_sql(node, f: str = "c.f") -> str:
     """A tree as a CASE expression over a struct of features."""
     if not isinstance(node, tuple):
@@ -291,39 +349,60 @@ def _luhn_number(rng: random.Random, n: int) -> str:
 
 
 #: Forms in made-up sentences; # is a digit, B a number of a byte, L a card number of 16 digits in
-#: groups, W a word. The trees learn from the first of each, thresholds are set on the second.
+#: groups, X one of 15 in groups of 4, 6 and 5, W a word. The trees learn from the first of each,
+#: thresholds are set on the second, and the third is for measuring alone.
 FORMS = (
     {
-        "phone": ["(###) ###-####", "###-###-####", "### ### ####", "###.###.####", "+## ### ### ####", "1-###-###-####", "0# ## ## ## ##", "0## ### ####"],
-        "card": ["L", "L/L/L/L", "L.L.L.L", "L  L  L  L", "L-L-L-L", "L L L L"],
-        "ip": ["B[.]B[.]B[.]B", "B(.)B(.)B(.)B", "B.B.B.B"],
+        "phone": ["(###) ###-####", "###-###-####", "### ### ####", "###.###.####", "+## ### ### ####", "1-###-###-####", "0# ## ## ## ##", "0## ### ####", "### ###-####", "###.### ####", "(0##) ### ####", "0#### ######", "0###/######", "0##-###-####", "+## (0)## ### ####", "# ### ### ####", "1 (###) ###-####", "0### ### ###", "(0####) ######", "0##/### ## ##", "0#-##-##-##-##", "0### ## ## ##", "### / ### / ####", "0### ### ####"],
+        "card": ["L", "L/L/L/L", "L.L.L.L", "L  L  L  L", "L-L-L-L", "L L L L", "L  L L L", "L L L  L", "L - L - L - L", "L.L L.L", "L/L/L L", "X X X", "X/X/X", "X  X X", "L L/L L", "L.L-L.L"],
+        "ip": ["B[.]B[.]B[.]B", "B(.)B(.)B(.)B", "B.B.B.B", "B [.] B[.]B[.]B", "B . B . B . B", "B[.]B.B.B", "B.B.B[.]B", "B ( . ) B ( . ) B ( . ) B", "B (.) B (.) B (.) B"],
         "email": ["W.W [at] W.com", "W[at]W.org", "W.W (at) W (dot) net", "W(at)W[dot]com", "W {at} W.de"],
-        None: ["#######", "##########", "################", "####################", "20##-0#-1# ##", "#.##.####.#####", "####-####-####-####", "###-#-#####-###-#", "###.######", "#########ac#e", "#.###.###.###", "## ## ## ## ##", "## ### ## ###", "W (at) ##.##", "999.###.300.###", "### ### ###", "###### ######", "#,###,###", "#### ####"],
+        None: ["#######", "##########", "################", "####################", "20##-0#-1# ##", "#.##.####.#####", "####-####-####-####", "###-#-#####-###-#", "###.######", "#########ac#e", "#.###.###.###", "## ## ## ## ##", "## ### ## ###", "W (at) ##.##", "999.###.300.###", "### ### ###", "###### ######", "#,###,###", "#### ####", "####.####.####", "##.##.20## ##:##", "## #######", "#### ## ##", "####/##/##", "### ####", "#### #### ####", "########.####", "#.#.#.#.#", "#.##.###.#####", "# # # #", "##/##/####", "#### - ####", "### / ###", "####-##-## ##.##", "####  ####  ####", "###-####", "##,##,##,##", "#.#.#-##", "B . B", "300.B.B.B", "B.B.B.###", "##c##########e##a", "#a##########b####f#", "##b###########e###c##"],
     },
     {
         "phone": ["(###)###-####", "###-### ####", "###/###/####", "+# (###) ###-####", "0###-######", "+##-##-####-####", "0#.##.##.##.##"],
         "card": ["L L  L L", "L/L-L/L", "L", "L.L.L.L"],
         "ip": ["B [.] B [.] B [.] B", "B.B.B.B", "B(.)B.B.B"],
         "email": ["W (at) W.info", "W.W[at]W[dot]fr", "W-W [AT] W [DOT] com", "W(@)W.net"],
-        None: ["########", "###########", "##############", "##.##.20## ##", "####.####.####", "##-#######", "### #### ###", "####/##/## ##:##", "#.###.###,##", "##.###.###", "####-####-####", "## ## ####", "W [at] ###", "256.#.####.#", "########-####"],
+        None: ["########", "###########", "##############", "##.##.20## ##", "####.####.####", "##-#######", "### #### ###", "20##/##/## ##:##", "#.###.###,##", "##.###.###", "####-####-####", "## ## ####", "W [at] ###", "256.#.####.#", "########-####"],
+    },
+    {
+        "phone": ["(0##) ###-####", "### - ### - ####", "0### / ######", "###.###-####", "0##-#######", "(###) ### ####", "0### ## ## ##"],
+        "card": ["L /L /L /L", "L-L.L-L", "L L  L  L", "X-X/X", "L"],
+        "ip": ["B (.) B[.]B (.) B", "B.B(.)B.B", "B[.]B(.)B[.]B"],
+        "email": ["W.W{at}W.org", "W [at] W (dot) de", "W-W(at)W.W.com"],
+        None: ["#########", "######", "#############", "##.##.20##", "20##-##-##", "####-###-####", "##:##:##", "#####-####", "###-######-#", "######.##", "##/##/20## ##", "#,###.##", "W (at) ##", "##.###", "256.B.999.#", "## ### ####"],
     },
 )
 CUES = (
     {"phone": ["call", "tel", "phone", "mobile", "fax:"], "card": ["card", "visa", "credit card", "payment"], "ip": ["ip", "server", "host", "login from"], "email": ["mail", "contact", "write to", "reach"], None: ["order", "id", "total", "=", "on", "version", "ref #", "password=", "isbn", "page"]},
     {"phone": ["telephone", "call me:", "cell"], "card": ["mastercard", "my card", "payment by"], "ip": ["host at", "address", "ip:"], "email": ["e-mail", "contact:", "reach me"], None: ["invoice", "no.", "key", "part", "serial", "dated", "grid", "score", "sum of", "chapter"]},
+    {"phone": ["tel.", "my mobile", "call us at", "phone number"], "card": ["visa card", "card no", "credit"], "ip": ["ip address", "server at"], "email": ["mail me at", "contact"], None: ["order no", "part number", "total of", "version", "room", "size", "index", "key="]},
 )
-_SYLLABLES = (("an", "tion", "re", "the", "ou", "er", "le", "es", "ment", "ung"), ("ka", "lor", "mi", "den", "sta", "vo", "ri", "qu", "nes", "bel"))
+_SYLLABLES = (("an", "tion", "re", "the", "ou", "er", "le", "es", "ment", "ung"), ("ka", "lor", "mi", "den", "sta", "vo", "ri", "qu", "nes", "bel"), ("pa", "zu", "fin", "gor", "hal", "wek", "dro", "sil", "ton", "jab"))
+
+
+#: What stands between things in a row.
+_BETWEEN = ((" ", " ", " ", ", ", "/", " / ", " or ", "; ", "  "), (" ", " ", " - ", " and ", "/", ". ", "/ "), (" ", ", ", " & ", "; ", " / "))
+
+
+def passes_luhn(digits: str) -> bool:
+    return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
 
 def sentences(n: int, seed: int, forms: int = 0) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Made-up sentences with the spans of personal data in them. Some hold several things in a row."""
+    """Made-up sentences with the spans of personal data in them. Some hold several things in a row.
+    What is no personal data never passes as a card number as a whole, which would make it one, and
+    begins with no zero, as counted things do."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(_SYLLABLES[forms]) for _ in range(rng.randint(1, 4)))
 
     def make(form: str) -> str:
         number = _luhn_number(rng, 16)
         parts = iter([number] if form == "L" else [number[i : i + 4] for i in (0, 4, 8, 12)])
-        made = {"#": lambda: rng.choice("0123456789"), "B": lambda: str(rng.randint(0, 255)), "L": lambda: next(parts), "W": word}
+        short = _luhn_number(rng, 15)
+        fifteen = iter([short[:4], short[4:10], short[10:]])
+        made = {"#": lambda: rng.choice("0123456789"), "B": lambda: str(rng.randint(0, 255)), "L": lambda: next(parts), "X": lambda: next(fifteen), "W": word}
         return "".join(made.get(c, lambda c=c: c)() for c in form)
 
     out = []
@@ -332,9 +411,11 @@ def sentences(n: int, seed: int, forms: int = 0) -> list[tuple[str, list[tuple[i
         kind = rng.choice([*KINDS, None, None, None, None])
         cue = rng.choice(CUES[forms][kind]) if rng.random() < 0.5 else word()
         text += cue + ("" if cue.endswith("=") else " ")
-        for k in range(rng.choice([1, 1, 1, 2, 3])):
-            text += " " * (k > 0)
+        for k in range(rng.choice([1, 1, 2, 2, 3])):
+            text += rng.choice(_BETWEEN[forms]) if k else ""
             what = make(rng.choice(FORMS[forms][kind]))
+            while not kind and (what[0] == "0" or 13 <= len(d := "".join(c for c in what if c.isdigit())) <= 19 and passes_luhn(d)):
+                what = make(rng.choice(FORMS[forms][kind]))
             if kind:
                 spans.append((len(text), len(text) + len(what), kind))
             text += what
@@ -382,40 +463,76 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = DEPTH
     return trees
 
 
-def training_table(spark: SparkSession, n: int, seed: int, forms: int = 0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per kind the features of the candidates in made-up sentences and which are right (bounded by n)."""
+def training_table(spark: SparkSession, n: int, seed: int, forms: int = 0) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per kind the candidates in made-up sentences that overlap no base span, as on documents:
+    features, which are right, and sentence, start and end of each (bounded by n)."""
     made = sentences(n, seed, forms)
     rows = spark.sql("select posexplode(from_json(:j, 'array<string>')) as (i, text)", args={"j": json.dumps([t for t, _ in made])})
+    rows = rows.withColumns({f"_{k}": strict_spans(F.col("text"), k) for k in KINDS})
     of = features(F.col("c"))
-    found = rows.select("i", F.explode(candidates(F.col("text"))).alias("c")).select("i", "c.gen", "c.start", "c.end", *[of[k].alias(f"f_{k}") for k in FEATURES]).toArrow()
+    found = rows.select("i", F.explode(candidates(F.col("text"), [F.col(f"_{k}") for k in KINDS])).alias("c")).select("i", "c.gen", "c.start", "c.end", *[of[k].alias(f"f_{k}") for k in FEATURES]).toArrow()
     x = np.stack([found.column(f"f_{k}").to_numpy() for k in FEATURES], axis=1)
-    gen, where = np.array(found.column("gen").to_pylist()), list(zip(*[found.column(c).to_pylist() for c in ("i", "start", "end")]))
+    gen, where = np.array(found.column("gen").to_pylist()), np.stack([found.column(c).to_numpy() for c in ("i", "start", "end")], axis=1).astype(int)
     out = {}
     for g, kinds in PROPOSES.items():
         at = np.flatnonzero(gen == g)
         for k in kinds:
-            out[k] = x[at], np.array([(where[j][1], where[j][2], k) in made[where[j][0]][1] for j in at], dtype=float)
+            out[k] = x[at], np.array([(*where[j, 1:].tolist(), k) in made[where[j, 0]][1] for j in at], dtype=float), where[at]
     return out
 
 
-def train(spark: SparkSession, n: int = 1600, seed: int = 11) -> dict[str, tuple[list, float]]:
-    """Per kind its trees and threshold. The sentences do not depend on the documents."""
-    fit, check = training_table(spark, n, seed), training_table(spark, n, seed + 1, 1)
-    out = {}
-    for kind in KINDS:
-        trees = boost(*fit[kind])
-        vx, vy = check[kind]
-        s = sum(_value(t, vx) for t in trees)
-        order = np.argsort(-s, kind="stable")
-        good = vy[order].cumsum() / np.arange(1, len(order) + 1)
-        ends = np.append(s[order][1:] != s[order][:-1], True)
-        ok = np.flatnonzero((good >= PRECISION) & ends)
-        if len(ok):
-            out[kind] = (trees, max(0.0, float(s[order][ok[-1]])))
+def plain_choice(found: list[tuple]) -> list[tuple]:
+    """What ``chosen`` makes of (start, end, score, ...), for thresholds."""
+    best, ends, up = [0.0], [-1], []
+    for c in (order := sorted(found, key=lambda c: (c[1], -c[0], *c[3:]))):
+        here = best[bisect_right(ends, c[0]) - 1] + c[2]
+        up.append(here > best[-1])
+        if up[-1]:
+            best.append(here)
+            ends.append(c[1])
+    out, limit = [], 1 << 31
+    for c, u in zip(reversed(order), reversed(up)):
+        if u and c[1] <= limit:
+            out.append(c)
+            limit = c[0]
     return out
 
 
-def measure(spark: SparkSession, model: dict, n: int = 1600, seed: int = 97, forms: int = 1) -> dict[str, tuple[float, float]]:
+def thresholds(tables: dict, scores: dict[str, np.ndarray]) -> dict[str, float]:
+    """Per kind the lowest score at or above zero from which on the candidates that are chosen have
+    the wanted precision. What is chosen depends on all thresholds, so they are raised in turns
+    until each holds; a kind for which none does is left out."""
+    cuts, spans = dict.fromkeys(scores, 0.0), tuple(k for k in KINDS if k in PROPOSES["digits"])
+    while True:
+        by_text: dict = {}
+        for k in cuts:
+            for j in np.flatnonzero(scores[k] >= cuts[k]):
+                i, start, end = tables[k][2][j].tolist()
+                by_text.setdefault((i, k not in spans), []).append((start, end, float(scores[k][j]), KINDS.index(k), tables[k][1][j]))
+        taken = [c for found in by_text.values() for c in plain_choice(found)]
+        raised = {}
+        for k in cuts:
+            own = sorted((c for c in taken if c[3] == KINDS.index(k)), key=lambda c: -c[2])
+            s, good = np.array([c[2] for c in own]), np.array([c[4] for c in own])
+            ends = np.append(s[1:] != s[:-1], True)[: len(s)]
+            ok = np.flatnonzero((good.cumsum() / np.arange(1, len(s) + 1) >= PRECISION) & ends)
+            if len(ok):
+                raised[k] = float(s[ok[-1]]) if ok[-1] < len(s) - 1 else cuts[k]
+        if raised == cuts:
+            return cuts
+        cuts = raised
+
+
+def train(spark: SparkSession, n: int = 4000, seed: int = 11) -> dict[str, tuple[list, float]]:
+    """Per kind its trees and threshold. The sentences do not depend on the documents."""
+    fit = training_table(spark, n, seed)
+    trees = {k: boost(x, y) for k, (x, y, _) in fit.items() if y.any()}
+    check = training_table(spark, n, seed + 1, 1)
+    cuts = thresholds(check, {k: sum(_value(t, check[k][0]) for t in trees[k]) for k in trees})
+    return {k: (trees[k], c) for k, c in cuts.items()}
+
+
+def measure(spark: SparkSession, model: dict, n: int = 1600, seed: int = 97, forms: int = 2) -> dict[str, tuple[float, float]]:
     """Per kind, precision of the spans that the trees add in made-up sentences, and the share that
     they find of what the strict patterns miss."""
     made = sentences(n, seed, forms)
@@ -449,13 +566,9 @@ def _spans(docs: DataFrame, model: dict | None) -> DataFrame:
     out = out.withColumn("_featured", F.when(F.size("_found") > 0, featured(F.col("_found"))))
     out = out.withColumn("_more", F.array_sort(F.transform(F.coalesce(scored("_featured", model), F.array().cast(_SCORED)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["score"].alias("score")))))
     email = KINDS.index("email")
-    # addresses lie apart and come first; stretches of digits overlap those nearby only
+    # addresses lie apart and come first
     out = out.withColumn("_mail", F.filter("_more", lambda c: c["kind"] == email)).withColumn("_rest", F.filter("_more", lambda c: (c["kind"] != email) & ~meets(F.col("_mail"), c["start"], c["end"])))
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    better = lambda a, b: (a["score"] > b["score"]) | (a["score"] == b["score"]) & (F.struct(a["kind"], a["start"], a["end"]) < F.struct(b["kind"], b["start"], b["end"]))
-    near = lambda i: F.slice("_rest", F.greatest(F.lit(1), i + 1 - REACH), F.lit(2 * REACH + 1))
-    marked = F.transform("_rest", lambda c, i: F.struct(_span(c["kind"], c).alias("s"), F.exists(near(i), lambda o: overlap(o, c) & better(o, c)).alias("beaten")))
-    taken = F.transform(F.filter(marked, lambda m: ~m["beaten"]), lambda m: m["s"])
+    taken = chosen(F.col("_rest"))
     base = F.concat(*[F.transform(F.col(f"_{k}"), lambda s: _span(F.lit(i), s)) for i, k in enumerate(KINDS)])  # noqa: B023
     every = F.array_sort(F.concat("_base", F.transform("_mail", lambda c: _span(c["kind"], c)), taken)).cast(_SPAN)
     done = out.withColumn("_base", base).select("_in", F.struct("_base", every.alias("_spans")).alias("_r"))
