@@ -1,9 +1,11 @@
 """Toxicity by a convolutional text classifier trained in numpy.
 
-A word is three rows of hashed embedding tables side by side, so two words are alike only if
-all three hashes meet. Filters of several widths slide over the whole text, each keeps its
-greatest value, and a logistic layer makes the score. Labels are learnt from a bounded sample;
-thresholds come per language from all labelled documents of a fold that training leaves out.
+A word is four rows of hashed embedding tables side by side: two of the whole word, so that two
+words are alike only if both hashes meet, one of its beginning and one of its ending, so that a word
+never seen shares something with its family. Filters of several widths slide over the whole text,
+each keeps its greatest value, and a logistic layer makes the score. Labels are learnt from a bounded
+sample inside one task, so its texts never come to the driver; thresholds come per language from all
+labelled documents of a fold that training leaves out.
 
 Folds are crc32 of doc_id modulo 5: 0 is held out from everything, 4 sets the thresholds, the
 others train. The score sees nothing but the text.
@@ -15,6 +17,7 @@ more than once count each time.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,11 +36,14 @@ from waymark.llm.common import batches, expr_crc_fold, unused, written
 HELD_FOLD, THRESHOLD_FOLD = 0, 4
 #: Labelled documents of each class that training reads at most.
 SAMPLE_ROWS = 2500
-#: Longest text that training reads; with the number of rows this bounds what comes to the driver.
-SAMPLE_CHARS = 20_000
+#: Characters of a class's sample: rows are taken by hash up to the one that reaches it, whatever its
+#: length, so long texts are as likely to be learnt from as others.
+SAMPLE_CHARS = 16_000_000
 #: Bytes of text whose windows a task holds at a time.
 SCORE_BYTES = 1 << 20
-TABLES, ROW_BITS, ROW_SIZE = 3, 16, 4
+#: Embedding tables of the whole word, and lengths of its beginning and ending that have one each.
+WHOLE, BEGINNING, ENDING = 2, 4, 3
+TABLES, ROW_BITS, ROW_SIZE = WHOLE + 2, 16, 4
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, RATE, BATCH = 8, 0.02, 32
 #: Bins of a score when thresholds are set, and the part of them that a threshold may take.
@@ -50,8 +56,10 @@ _DIM = TABLES * ROW_SIZE
 
 def word_rows(words: list[str]) -> np.ndarray:
     """Rows of each word in the embedding tables."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    return np.stack([(h >> np.uint64(ROW_BITS * i)) & np.uint64((1 << ROW_BITS) - 1) for i in range(TABLES)], axis=1).astype(np.int64)
+    hashes = lambda texts: np.array([xxhash.xxh64_intdigest(t) for t in texts], dtype=np.uint64)
+    whole = hashes(words)
+    rows = [whole >> np.uint64(ROW_BITS * i) for i in range(WHOLE)] + [hashes("^" + w[:BEGINNING] for w in words), hashes("$" + w[-ENDING:] for w in words)]
+    return (np.stack(rows, axis=1) & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)
 
 
 @dataclass
@@ -167,25 +175,34 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of at most rows labelled documents of each class, chosen by hash, with
-    texts of at most SAMPLE_CHARS; of a repeated doc_id one row.
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, toxic) of at most rows labelled documents of each class, chosen by hash, up to
+    the one with which their texts reach chars; of a repeated doc_id one row.
 
     The chosen ids are bounded, so they are sent to the documents, not these to them.
     """
-    fold = expr_crc_fold(F.col("doc_id"))
+    fold, found = expr_crc_fold(F.col("doc_id")), docs.select("doc_id", "text")
     usable = labels.where(~fold.isin(HELD_FOLD, THRESHOLD_FOLD) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     pick = lambda k: usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("_id"), "toxic")
-    found = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    of = lambda ids: found.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic")
+    sizes = of(chosen).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    kept = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < chars)
+    return of(kept.select(F.col("doc_id").alias("_id"), "toxic")).agg(F.min("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from the sample, or None if it lacks either class."""
-    sample = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in training_rows(docs, labels, rows).toLocalIterator()), key=str)
+def _fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = sorted(((i, t or "", y) for b in it for i, y, t in zip(*(c.to_pylist() for c in b.columns))), key=str)
     y = np.array([t for *_, t in sample])
-    return train([t for _, t, _ in sample], y) if len(set(y.tolist())) == 2 else None
+    if len(set(y.tolist())) == 2:
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train([t for _, t, _ in sample], y))]})
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
+    """A model from the sample, trained in one task, or None if the sample lacks either class."""
+    made = training_rows(docs, labels, rows).select("doc_id", "toxic", "text").repartition(1).mapInArrow(_fit, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 def score(docs: DataFrame, model: Model | None, columns: list[str], name: str = "score") -> DataFrame:
