@@ -128,6 +128,47 @@ def test_quality_rejects_junk_of_every_language(spark):
     assert quality.most_rejected(need, quality.RISK / 5, quality.DELTA / 20) == 0 and quality.most_rejected(need - 1, quality.RISK / 5, quality.DELTA / 20) == -1
 
 
+def test_quality_counts_each_text_once(spark):
+    """Repeated labels and documents give the cutoffs of one each; a bad label of one copy counts for all."""
+    from pyspark.sql import functions as F
+
+    from waymark.llm import quality
+
+    def cuts(docs, labels):
+        return quality.cutoffs(quality.rule_bins(quality.counts(docs)), labels)
+
+    docs = spark.range(60).selectExpr("id as doc_id", "'fr' as lang", "repeat(concat('mot', id, ' et un autre '), 15 + id) as text")
+    docs = docs.withColumn("text", F.expr("concat_ws(' ', transform(sequence(1, 60), i -> concat('w', doc_id, 'x', i)))"))
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    many = labels.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(128)))).drop("k")
+    copies = docs.withColumn("doc_id", F.explode(F.sequence(F.col("doc_id") * 1000, F.col("doc_id") * 1000 + 127)))
+    assert cuts(docs, labels) == cuts(docs, many) == cuts(copies, copies.selectExpr("doc_id", "1 as quality")) == {}
+    enough = spark.range(1300).selectExpr("id as doc_id", "'fr' as lang").withColumn("text", F.expr("concat_ws(' ', transform(sequence(1, 60), i -> concat('w', doc_id, 'x', i)))"))
+    good = enough.selectExpr("doc_id", "1 as quality")
+    once = cuts(enough, good)
+    assert set(once) == {"fr"} and once == cuts(enough.unionByName(enough.where("doc_id < 5")), good.unionByName(good))
+    binned = quality.rule_bins(quality.counts(enough.unionByName(enough.withColumn("doc_id", F.col("doc_id") + 5000))))
+    assert quality.trials(binned, good).count() == 1300
+    mixed = good.unionByName(spark.createDataFrame([(5000, 0), (1, 0), (2, None), (None, 1)], "doc_id long, quality int"))
+    assert quality.trials(binned, mixed).count() == 1298
+
+
+def test_risk_holds_with_repeats(spark):
+    """The same draws with each text many times: cutoffs are those of the distinct texts."""
+    import random
+
+    from waymark.llm import quality
+
+    rng = random.Random(6)
+    rows = [(i, "en", " ".join(f"w{rng.randrange(10**6)}" + "#" * (rng.random() < 0.02) for _ in range(60))) for i in range(1400)]
+    again = [(10_000 * k + i, lang, t) for i, lang, t in rows for k in range(1, 1 + (40 if i % 7 == 0 else 1))]
+    cut = []
+    for r in (rows, again):
+        docs = spark.createDataFrame(r, "doc_id long, lang string, text string")
+        cut.append(quality.cutoffs(quality.rule_bins(quality.counts(docs)), docs.selectExpr("doc_id", "1 as quality")))
+    assert cut[0] == cut[1] and cut[0]
+
+
 def test_exact_binomial_bound():
     """The bound against sums of exact binomial terms."""
     from fractions import Fraction

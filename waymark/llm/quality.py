@@ -9,10 +9,14 @@ among the rules is used, so the rules together reject at most ``risk`` of the go
 stratum, with the stated confidence. A stratum with fewer labels than ``labels_needed`` gets no
 cutoff; ``report`` tells which.
 
+The bound counts independent trials, so a text is one trial of its stratum, however many
+documents have exactly it and however often they are labelled; it counts as good if no label of
+any of them says otherwise.
+
 Base rules are fixed: under 50 words, or over half of the words in repeated three-word windows.
 
 Defined cases: null text counts as empty and fails the base rules; a null language is a stratum;
-a document that is labelled more than once counts each time; labels that are null are left out.
+repeated documents and labels change no cutoff; labels that are null are left out.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +45,8 @@ BINS = 100
 RULES = ("symbols", "dup_lines", "repeats", "short_words", "long_words")
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_ROW = T.StructType([T.StructField(c, T.LongType()) for c in (*_COUNTS, "n_lines")])
+_DIGEST = "_text_digest"
+_ROW = T.StructType([*[T.StructField(c, T.LongType()) for c in (*_COUNTS, "n_lines")], T.StructField(_DIGEST, T.BinaryType())])
 
 
 def text_counts(text: str) -> tuple[int, int, int, int, int, int]:
@@ -76,13 +82,13 @@ def text_counts(text: str) -> tuple[int, int, int, int, int, int]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """Docs without their text, with its counts; read where the texts lie, without a shuffle."""
+    """Docs without their text, with its counts and digest; read where the texts lie, without a shuffle."""
     kept = [f.name for f in docs.schema.fields if f.name != "text"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            rows = [text_counts(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            made = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            made = [pa.array(c, pa.int64()) for c in zip(*map(text_counts, texts))] + [pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())]
             cols = [b.column(b.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays(cols + made, names=kept + [f.name for f in _ROW])
 
@@ -154,16 +160,23 @@ def labels_needed(strata: int, risk: float = RISK, delta: float = DELTA) -> int:
     return math.ceil(math.log(delta / max(1, strata) / len(RULES)) / math.log1p(-risk / len(RULES)))
 
 
+def trials(binned: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """(s, bin_<rule>): one row for each good text of a stratum that passes the base rules."""
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good"))
+    held = binned.where(~base_failed()).join(known, F.col("doc_id") == F.col("_id"))
+    texts = held.groupBy(F.col(stratum).alias("s"), _DIGEST).agg(F.min("_good").alias("_good"), *[F.min(f"bin_{r}").alias(f"bin_{r}") for r in RULES])
+    return texts.where("_good = 1").drop(_DIGEST, "_good")
+
+
 def cutoffs(binned: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> dict[str | None, dict[str, int]]:
     """Per stratum the highest bin that each rule lets pass, from all labelled documents.
 
-    Good documents are counted by stratum, rule and bin on the cluster; what comes to the
+    Good texts are counted by stratum, rule and bin on the cluster; what comes to the
     driver has strata x rules x bins rows.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id"))
-    held = binned.where(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))
+    held = trials(binned, labels, stratum)
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bin_{r}").alias("bin")) for r in RULES])).alias("x")
-    table = held.select(F.col(stratum).alias("s"), rules).groupBy("s", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+    table = held.select("s", rules).groupBy("s", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n"))
     hist: dict = {}
     for r in table.collect():
         hist.setdefault(r["s"], {}).setdefault(r["rule"], np.zeros(BINS, dtype=np.int64))[r["bin"]] += r["n"]
@@ -191,12 +204,11 @@ def apply_cutoffs(binned: DataFrame, cuts: dict, stratum: str = "lang") -> DataF
 
 
 def report(binned: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Per stratum its documents, good labels past the base rules, the labels needed for a cutoff,
+    """Per stratum its documents, good labelled texts past the base rules, the labels needed for a cutoff,
     and how many documents past the base rules each rule rejects (rejected_<rule>)."""
     cuts = cutoffs(binned, labels, stratum, risk, delta)
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id"))
     rest = binned.where(~base_failed())
-    n = rest.join(good, F.col("doc_id") == F.col("_id")).groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("labels"))
+    n = trials(binned, labels, stratum).groupBy(F.col("s").alias("_s")).agg(F.count(F.lit(1)).alias("labels"))
     needed = labels_needed(n.count(), risk, delta)
     over = {r: F.lit(False) for r in RULES}
     for s, by in cuts.items():
