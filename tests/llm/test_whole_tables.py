@@ -451,6 +451,18 @@ def test_mixing(data):
     assert keys == sorted(keys)
 
 
+def test_mixing_deals_rows_without_ids(spark):
+    """All rows with one null doc_id: no task has much more than its share."""
+    from pyspark.sql import functions as F
+
+    from waymark.llm.mixing import poisson_mix
+
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text", "'a' as source", "'x' as _digest")
+    out = poisson_mix(docs)
+    each = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == 4000 and len(each) == 8 and max(each) < 2 * 4000 / 8
+
+
 def test_poisson_inverse_is_right_for_large_means(spark):
     from pyspark.sql import functions as F
 

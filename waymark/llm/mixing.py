@@ -5,6 +5,10 @@ input. A document's number of copies is the inverse of the Poisson distribution
 a number hashed from seed and document, so it depends on neither order nor partitions. The
 copies are shuffled by a hash of their own.
 
+Copies come in order of a key made from seed, document, copy and text, so rows that share a doc_id,
+or have none, are as evenly dealt as others; only copies of equal rows share a key, and no order
+tells these apart.
+
 Defined cases: a null source is a source like any other; a source without a weight, or with
 one that is null or not positive, is left out of the mix; repeated rows get the same number
 of copies each; an empty table gives an empty one.
@@ -64,7 +68,7 @@ def repetition_rates(docs: DataFrame, weights: DataFrame, source: str = "source"
     return rated.select(F.col(source).alias("_s"), (F.col("weight") / F.col("_sw") * F.col("_sn") * F.lit(total) / F.col("_n")).alias("rate"))
 
 
-def _mixed(docs: DataFrame, weights: DataFrame | None, seed: str, total: float, key: str, source: str) -> DataFrame:
+def _mixed(docs: DataFrame, weights: DataFrame | None, seed: str, total: float, key: str, source: str, text: str = "text") -> DataFrame:
     """(_in, rate, copy, mix_key): each copy's row as it is, in order of mix_key."""
     rates = repetition_rates(docs, weights if weights is not None else temperature_weights(docs, source), source, total)
     rows = docs.select(F.struct("*").alias("_in"))
@@ -73,12 +77,14 @@ def _mixed(docs: DataFrame, weights: DataFrame | None, seed: str, total: float,
     name = F.col(f"_in.`{key}`")
     draws = F.transform(F.sequence(F.lit(1), times), lambda i: poisson_inverse(F.col("rate") / times, hashed_fraction(seed, name, i)))
     out = rated.withColumn("_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).where(F.col("_copies") > 0)
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed + ":order"), F.coalesce(name.cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")))
+    # once for each document, before its copies are made
+    digest = F.md5(F.coalesce(F.col(f"_in.`{text}`"), F.lit("")).cast("binary")) if text in docs.columns else F.lit("")
+    out = out.withColumn("_digest", digest).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed + ":order"), F.coalesce(name.cast("string"), F.lit("")), F.col("copy").cast("string"), "_digest").cast("binary")))
     # keys are uniform, so ranges of their first digits are equal parts and nothing need be sampled
     n = shuffle_partitions(docs.sparkSession)
     place = F.shiftright(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * n, 32).cast("int")
-    return out.repartitionById(n, place).sortWithinPartitions("mix_key")
+    return out.drop("_digest").repartitionById(n, place).sortWithinPartitions("mix_key")
 
 
 def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", total: float = 1.0, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -105,5 +111,5 @@ d as (select documents.*, rate, cast(('0x' || substr(md5('mix|' || doc_id || '|1
 c as (select *, list_reduce(list_prepend({'p': exp(-rate), 'cdf': exp(-rate), 'k': 0, 'i': 0}, [{'p': cast(0 as double), 'cdf': cast(0 as double), 'k': 0, 'i': cast(i as int)} for i in range(1, 141)]),
   lambda s, x: case when u < s.cdf then s else {'p': s.p * rate / x.i, 'cdf': s.cdf + s.p * rate / x.i, 'k': x.i, 'i': x.i} end).k as copies from d),
 e as (select *, unnest(range(copies)) as copy from c)
-select doc_id, text, lang, source, n_chars, round(rate, 6) as rate, cast(copy as int) as copy, md5('mix:order|' || doc_id || '|' || copy) as mix_key from e
+select doc_id, text, lang, source, n_chars, round(rate, 6) as rate, cast(copy as int) as copy, md5('mix:order|' || doc_id || '|' || copy || '|' || md5(coalesce(text, ''))) as mix_key from e
 """
