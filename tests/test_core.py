@@ -139,6 +139,13 @@ def test_elevation(spark):
     assert tuple(enrich.cache_counts(out).first()) == (2, 1) and enrich.pending(out).count() == 1
 
 
+def test_entry(spark):
+    import __spark_entry__
+
+    out = __spark_entry__.entry(spark)
+    assert out.count() > 0 and "trail_id" in out.columns
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sql, name):
     """Each core query equals its SQL on the smallest tables."""
