@@ -46,6 +46,11 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where, _ = _file_system(spark, path)
+    return files.exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, once no result that reads it is wanted."""
     files, where, _ = _file_system(spark, path)
