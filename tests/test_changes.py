@@ -174,6 +174,19 @@ def test_a_failed_batch_is_taken_in_once(spark, tmp_path):
     assert held and rows_of(ledger.totals(ledger.follow(stream(), path, 8))) == held
 
 
+def test_totals_of_a_stream_stay_when_nothing_is_new(spark, tmp_path):
+    from waymark.streaming import progress_stream as stream
+
+    path = f"file://{tmp_path}"
+    put = lambda n: spark.range(n).selectExpr("id", "id % 3 as k").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    totals = lambda: rows_of(stream.run_once(stream.read_stream(spark, f"{path}/in", spark.range(1).selectExpr("id", "id % 3 as k").schema).groupBy("k").count(), f"{path}/out"))
+    spark.range(0).selectExpr("id", "id % 3 as k").write.parquet(f"{path}/in")
+    put(9)
+    assert totals() == [(0, 3), (1, 3), (2, 3)] == totals()
+    put(3)
+    assert totals() == [(0, 4), (1, 4), (2, 4)] == totals()
+
+
 # ---- resumed stages
 
 def test_a_stopped_stage_makes_the_rest_alone(spark, tmp_path):

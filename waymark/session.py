@@ -51,6 +51,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    files, where, _ = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, once no result that reads it is wanted."""
     files, where, _ = _file_system(spark, path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions.geo import segment_miles
+from waymark.session import names
 
 
 def running_totals(segments: DataFrame) -> DataFrame:
@@ -25,14 +26,15 @@ def run_once(df: DataFrame, path: str) -> DataFrame:
     """Processes what is there and ends; the checkpoint under path carries state to the next call.
 
     Each batch writes the totals as they then are to a table of its own, so a batch that is run
-    again writes the same; the result is the last one's. Without any batch there are no rows.
+    again writes the same; the result is the newest table, also if nothing was new, or no rows if
+    there never was a batch. It suits few groups; ``ledger`` keeps many, and takes deletions.
     """
-    spark, last = df.sparkSession, []
+    spark = df.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        last.append(number)
 
     run = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/batch={last[-1]}") if last else spark.createDataFrame([], df.schema)
+    numbers = [int(n.split("=")[1]) for n in names(spark, path) if n.startswith("batch=")]
+    return spark.read.schema(df.schema).parquet(f"{path}/batch={max(numbers)}") if numbers else spark.createDataFrame([], df.schema)
