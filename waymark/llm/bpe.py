@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from waymark.llm.common import batches
+from waymark.llm.common import batches, tidy
 
 #: Fixed value: the pieces that the vocabulary was made for.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -239,6 +239,7 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     kept = [f for f in docs.schema.fields if ids or f.name != "text"]
     extra = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())] + [pa.field("ids", pa.list_(pa.int64()))] * ids
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.load(path)
         for b in batches(it):

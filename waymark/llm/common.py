@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from waymark.session import scratch, written
 
-__all__ = ["batches", "documents", "expr_crc_fold", "scratch", "shuffle_partitions", "table", "unused", "written"]
+__all__ = ["batches", "documents", "expr_crc_fold", "give_back", "scratch", "shuffle_partitions", "table", "tidy", "unused", "written"]
 
 #: Bytes of text that a Python task works on at a time; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -43,6 +46,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Hands memory that is free back to the machine. Python workers serve one task after another,
+    and what a task let go would else stay with the worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that hands back its memory when its task ends."""
+
+    @wraps(run)
+    def tidied(*args, **kwargs) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(*args, **kwargs)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def batches(it: Iterable[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most limit bytes of text each, or one row."""
     for b in it:

@@ -34,6 +34,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.common import give_back
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"A-Za-z0-9._%+-"
 #: Strict patterns; each finds the same leftmost matches as the plain form in its comment.
@@ -529,6 +531,8 @@ def train(spark: SparkSession, n: int = 4000, seed: int = 11) -> dict[str, tuple
     trees = {k: boost(x, y) for k, (x, y, _) in fit.items() if y.any()}
     check = training_table(spark, n, seed + 1, 1)
     cuts = thresholds(check, {k: sum(_value(t, check[k][0]) for t in trees[k]) for k in trees})
+    del fit, check
+    give_back()
     return {k: (trees[k], c) for k, c in cuts.items()}
 
 

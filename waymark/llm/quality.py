@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import batches, written
+from waymark.llm.common import batches, tidy, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -85,6 +85,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """Docs without their text, with its counts and digest; read where the texts lie, without a shuffle."""
     kept = [f.name for f in docs.schema.fields if f.name != "text"]
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import batches, shuffle_partitions, written
+from waymark.llm.common import batches, shuffle_partitions, tidy, written
 from waymark.operators.joins import join_hot, join_small
 
 SEED = 42
@@ -90,6 +90,7 @@ def fingerprints(docs: DataFrame, words_each: int = 4, key: str = "doc_id", dist
     """(key, fp): the fingerprint as a signed 64-bit number, made where the text is read. With
     distinct it is that of the words, each counted once however often it occurs."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes().distinct if distinct else partial(shingle_hashes, words_each=words_each)
         for b in batches(it):
@@ -116,6 +117,7 @@ def _masks(start: int, segments: int) -> list[np.uint64]:
     return out
 
 
+@tidy
 def _keys(it: Iterator[pa.RecordBatch], bits: int, segments: int, probes: bool = True) -> Iterator[pa.RecordBatch]:
     """Rows (key, start, probe, fp): each fingerprint under the first two segments of each chain,
     and as a probe under each key that one flip in the second segment makes."""
@@ -214,6 +216,7 @@ def small_edges(fp: np.ndarray, at: np.ndarray, end: np.ndarray, start: int, bit
     return forest.edges
 
 
+@tidy
 def _meet(it: Iterator[pa.RecordBatch], bits: int, segments: int) -> Iterator[pa.RecordBatch]:
     """Edges of rows that come sorted by part, start, key and probe; runs may span batches."""
     cols = ("part", "start", "key", "probe", "fp")
@@ -307,6 +310,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+@tidy
 def _shingled(it: Iterator[pa.RecordBatch], words_each: int, least: int) -> Iterator[pa.RecordBatch]:
     """Rows (md5, root, text) to (md5, root, n, s, h, q): the set of shingles, its size, its least
     value under each of several hashes, and its SKETCH least values under the first."""
@@ -381,6 +385,7 @@ def apart(sets: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(partial(_compare, similarity=similarity), "a string, b string").distinct()
 
 
+@tidy
 def _compare(it: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links of teams in rows (near, u, v, home, team, s) that come sorted by near and pair of
     blocks (u, v); what lies under one pair may span batches."""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import batches, expr_crc_fold, unused, written
+from waymark.llm.common import batches, expr_crc_fold, tidy, unused, written
 
 HELD_FOLD, THRESHOLD_FOLD = 0, 4
 #: Labelled documents of each class that training reads at most.
@@ -78,7 +78,7 @@ class Texts:
         parts, starts, ends, at = [], [], [], 0
         for t in texts:
             ids = [number[w] for w in _WORD.findall((t or "").lower())] or [number[""]]
-            parts.append(np.array(ids + [-1] * pad))
+            parts.append(np.array(ids + [-1] * pad, dtype=np.int32))
             starts.append(at)
             ends.append(at + len(ids))
             at += len(ids) + pad
@@ -192,6 +192,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, c
     return of(kept.select(F.col("doc_id").alias("_id"), "toxic")).agg(F.min("text").alias("text"))
 
 
+@tidy
 def _fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sample = sorted(((i, t or "", y) for b in it for i, y, t in zip(*(c.to_pylist() for c in b.columns))), key=str)
     y = np.array([t for *_, t in sample])
@@ -215,6 +216,7 @@ def score(docs: DataFrame, model: Model | None, columns: list[str], name: str =
     sent = list(columns) if text in columns else [*columns, text]
     at = sent.index(text)
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches(it, text, SCORE_BYTES):
