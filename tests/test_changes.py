@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import buckets, resume
+from waymark.operators import lookup, resume
 from waymark.operators.buckets import Overtaken, Owned, Store
 from waymark.operators.store import Refused
 from waymark.sources import paged
@@ -264,3 +264,71 @@ def test_comparisons_reach_the_pages(spark, tmp_path):
     reader = paged.ComparingReader({"path": str(tmp_path / "p"), "rows": "10"})
     kept = list(reader.pushFilters([paged.GreaterThan(("object_id",), 20), paged.EqualTo(("length_mi",), 1.0)]))
     assert [type(f) for f in kept] == [paged.EqualTo] and [r[2] for p in reader.partitions() for r in reader.read(p)] == [21, 22, 23]
+
+
+# ---- lookups from outside, and what a run tells of itself
+
+def test_each_row_is_looked_up_once_and_in_order(spark, tmp_path):
+    """Slow answers come back out of order; rows with a value are not asked for."""
+    log = tmp_path / "log"
+
+    def look(x):
+        import os
+        import time as t
+
+        t.sleep(0.003 * (x % 5))
+        with open(log, "a") as f:
+            os.write(f.fileno(), f"{x}\n".encode())
+        return x * 10
+
+    df = spark.range(600, numPartitions=3).selectExpr("id", "cast(if(id % 4 = 0, -1, null) as int) as e", "'k' as e_")
+    out = lookup.looked_up(df, look, ["id"], "e", pool=7)
+    assert out.columns == df.columns
+    rows = out.toLocalIterator()
+    assert [(r["id"], r["e"], r["e_"]) for r in rows] == [(i, -1 if i % 4 == 0 else i * 10, "k") for i in range(600)]
+    assert sorted(map(int, log.read_text().split())) == [i for i in range(600) if i % 4]
+    assert lookup.looked_up(df.limit(0), look, ["id"], "e").count() == 0
+
+
+def test_a_lookup_waits_longer_each_time_and_gives_up():
+    waits, calls = [], []
+
+    def look(x):
+        calls.append(x)
+        if len(calls) <= fails:
+            raise OSError("busy")
+        return None if x < 0 else x
+
+    for fails in (0, 3, 5):
+        waits.clear()
+        calls.clear()
+        assert lookup.tried(look, (7,), 5, 2.0, waits.append) == 7 and waits == [2.0 * k for k in range(1, fails + 1)]
+    fails = 6
+    calls.clear()
+    with pytest.raises(lookup.LookupFailed):
+        lookup.tried(look, (7,), 5, 2.0, waits.append)
+    assert len(calls) == 6
+    fails = 0
+    with pytest.raises(lookup.LookupFailed):  # no value is a failure
+        lookup.tried(look, (-1,), 2, 1.0, waits.append)
+
+
+def test_a_row_that_always_fails_ends_the_run_and_parts_stay(spark, tmp_path):
+    bad = {"on": True}
+
+    def look(x, broken):
+        if broken and x == 77:
+            raise OSError("gone")
+        return x
+
+    df, path = spark.range(100).withColumn("e", F.lit(None).cast("long")), f"file://{tmp_path}/r"
+    build = lambda rows: lookup.looked_up(rows.withColumn("b", F.lit(bad["on"])), look, ["id", "b"], "e", retries=1, wait=0.0).drop("b")
+    with pytest.raises(Exception, match="failed after 1 retries"):
+        resume.resumed(df, "id", path, build, parts=10, at_once=1)
+    kept = resume.finished(df, "id", path, 10).count()
+    assert kept < 10
+    bad["on"], told = False, []
+    out = resume.resumed(df, "id", path, build, parts=10, at_once=1, tell=told.append)
+    assert rows_of(out) == sorted(((i, i) for i in range(100)), key=str) and len(told) == 10 - kept
+    assert [t.done for t in told] == sorted(t.done for t in told) and told[-1].done == told[-1].total == told[-1].made and told[-1].left == 0
+    assert all(t.rate > 0 and t.left == pytest.approx((t.total - t.done) / t.rate) for t in told)

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, labels
-from waymark.operators import enrich, paths, polygons, progress, snapping, stitch, store
+from waymark.operators import enrich, nearest, paths, polygons, progress, snapping, stitch, store
 from waymark.queries import ORACLES, QUERIES
 from waymark.sources import readers, writers
 from waymark.sources.fixtures import view
@@ -51,14 +52,68 @@ def test_snap_miles(spark):
     assert got == {1: (3, None), 2: (0, 1.0), 3: (1, 2.0), 4: (2, 3.0), 5: (2, 3.0), 6: (None, None), 7: (None, None)}
 
 
-@pytest.mark.parametrize("degrees", [None, 1 / 64, 360.0])
-def test_snap_coordinates(spark, degrees):
+def test_snap_coordinates(spark):
     q = spark.createDataFrame([(1, 41.29, -72.1), (2, -80.0, 179.9), (3, None, 1.0)], "qid long, qlat double, qlng double")
-    got = {r["qid"]: r["ord"] for r in snapping.snap_coordinates(q, points(spark), degrees).collect()}
+    got = {r["qid"]: r["ord"] for r in snapping.snap_coordinates(q, points(spark)).collect()}
     assert got[1] == 3 and got[2] is not None and got[3] is None
     assert snapping.snap_coordinates(q, points(spark).limit(0)).where("mile is null").count() == 3
 
 
+def brute_nearest(asked, points):
+    """(ord, dist) by comparing with all points."""
+    p = np.radians([(b, c) for _, b, c in points])
+    out = []
+    for y, x in np.radians(asked):
+        h = np.sin((p[:, 0] - y) / 2) ** 2 + np.cos(y) * np.cos(p[:, 0]) * np.sin((p[:, 1] - x) / 2) ** 2
+        out.append(2 * geo.EARTH_MILES * np.arcsin(np.sqrt(np.minimum(h, 1.0))))
+    return out
+
+
+SPOTS = {
+    "trail": lambda r: (35 + (t := r.random()) * 10, -84 + t * 12 + r.random() * 0.01), "world": lambda r: (r.uniform(-90, 90), r.uniform(-180, 180)), "poles": lambda r: (r.choice([-1, 1]) * r.uniform(89.9, 90), r.uniform(-180, 180)),
+    "date line": lambda r: (r.uniform(-1, 1), r.choice([-1, 1]) * r.uniform(179.99, 180)), "spot": lambda r: (34.5 + r.random() * 1e-5, -84 + r.random() * 1e-5), "point": lambda r: (10.0, 20.0),
+}
+
+
+@pytest.mark.parametrize("spots", SPOTS)
+def test_nearest_by_brute_force(spark, spots):
+    """Near and far queries of points of every kind; a qid that is asked for several places."""
+    rng = random.Random(spots)
+    points_ = [(k, *SPOTS[spots](rng)) for k in range(1500)]
+    asked = [SPOTS[spots](rng) for _ in range(60)] + [SPOTS["world"](rng) for _ in range(30)] + [(34.105, -84.0), (10.0, 20.0), (90.0, 0.0), (-90.0, 77.0), (0.0, 180.0), (0.0, -180.0)]
+    df = spark.createDataFrame([(*p, "v") for p in points_], "ord long, lat double, lon double, value string")
+    q = spark.createDataFrame([(k % 5, *a) for k, a in enumerate(asked)], "qid long, qlat double, qlng double")
+    got = {(r["qid"], r["qlat"], r["qlng"]): (r["ord"], r["dist"]) for r in nearest.nearest(q, df).collect()}
+    assert len(got) == len(set((k % 5, *a) for k, a in enumerate(asked)))
+    for k, (a, d) in enumerate(zip(asked, brute_nearest(asked, points_))):
+        place, dist = got[k % 5, *a]
+        assert dist == pytest.approx(d.min(), abs=1e-6) and d[place] == pytest.approx(d.min(), abs=1e-6)
+
+
+def test_nearest_of_its_key(spark):
+    """Null keys are equal, a key without points has no row, the least ord wins ties."""
+    p = spark.createDataFrame([(5, 1.0, 1.0, "a", 0), (3, 1.0, 1.0, "a", 0), (1, 50.0, 50.0, "b", 0), (2, 1.0, 1.0, None, 0)], "ord long, lat double, lon double, k string, value int")
+    q = spark.createDataFrame([(1, 1.5, 1.0, "a"), (1, 1.5, 1.0, "b"), (1, 1.5, 1.0, None), (1, 1.5, 1.0, "c"), (1, 1.5, 1.0, "a")], "qid long, qlat double, qlng double, k string")
+    assert {(r["k"], r["ord"]) for r in nearest.nearest(q, p, ["k"]).collect()} == {("a", 3), ("b", 1), (None, 2)} and nearest.nearest(q, p, ["k"]).count() == 3
+    assert nearest.nearest(q, p.limit(0), ["k"]).count() == 0 and nearest.nearest(q.limit(0), p, ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_many_nearest_in_one_spot(spark, monkeypatch, small):
+    """20,000 queries on 60,000 points within a small part of what was one cell; also by shuffled joins."""
+    if not small:
+        monkeypatch.setattr(nearest, "SMALL_ROWS", 0)
+    n = 1 if small else 10
+    p = spark.range(60_000 // n).selectExpr("id as ord", "34.5 + pmod(xxhash64(id), 1000003) * 1e-9 as lat", "-84 + pmod(xxhash64(id, 1), 1000003) * 1e-9 as lon", "1 as value")
+    q = spark.range(20_000 // n).selectExpr("id as qid", "34.5 + pmod(xxhash64(id, 2), 1000003) * 1e-9 as qlat", "-84 + pmod(xxhash64(id, 3), 1000003) * 1e-9 as qlng")
+    start = time.monotonic()
+    got = {r["qid"]: r for r in nearest.nearest(q, p).collect()}
+    assert len(got) == 20_000 // n and time.monotonic() - start < 60
+    some, rows = [got[k] for k in range(0, 20_000 // n, 997 // n)], p.select("ord", "lat", "lon").collect()
+    for r, d in zip(some, brute_nearest([(r["qlat"], r["qlng"]) for r in some], rows)):
+        assert r["dist"] == pytest.approx(d.min(), abs=1e-7)
+
+
 def test_states_for_range(spark):
     s = spark.createDataFrame([(1, 3.0, 1.0), (2, 1.96, 1.97), (3, 1.2, 1.3), (4, None, 2.0)], "id long, start_mile double, end_mile double")
     assert {r["id"]: r["states"] for r in snapping.states_for_range(s, points(spark)).collect()} == {1: "CT · MA", 2: "CT", 3: None, 4: None}

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.labels import SEPARATOR
-from waymark.operators.blocks import asof
+from waymark.operators.blocks import asof, join_same
 from waymark.operators.nearest import nearest
 
 #: Miles by which a range reaches beyond its ends when states are looked up.
@@ -13,16 +13,16 @@ TOLERANCE = 0.05
 BLOCK_MILES = 1.0
 
 
-def snap_coordinates(queries: DataFrame, points: DataFrame, degrees: float | None = None) -> DataFrame:
+def snap_coordinates(queries: DataFrame, points: DataFrame) -> DataFrame:
     """Nearest point for each (qid, qlat, qlng); the lowest ordinal wins ties.
 
     Queries pass through with null mile and state if there are no points or a coordinate is
-    null. degrees is the size of the first cells that are searched, else chosen by the points.
+    null. A qid may be there more than once.
     """
     points = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("ord", "lat", "lon", F.struct("lat", "lon", "mile", "state").alias("value"))
     asked = queries.select("qid", "qlat", "qlng").where(F.col("qlat").isNotNull() & F.col("qlng").isNotNull())
-    found = nearest(asked, points, degrees=degrees).select("qid", "value", "ord", "dist")
-    return queries.join(found, "qid", "left").select("qid", F.coalesce("value.lat", "qlat").alias("lat"), F.coalesce("value.lon", "qlng").alias("lng"), "value.mile", "value.state", "ord", "dist")
+    found = nearest(asked, points)
+    return join_same(queries, found, ["qid", "qlat", "qlng"], "left").select("qid", F.coalesce("value.lat", "qlat").alias("lat"), F.coalesce("value.lon", "qlng").alias("lng"), "value.mile", "value.state", "ord", "dist")
 
 
 def snap_miles(queries: DataFrame, points: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Queries over stores that change: buckets, ledger, resumed stages, pages."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.operators.buckets import Owned, Store
+from waymark.operators.lookup import looked_up
 from waymark.operators.resume import resumed
 from waymark.operators.store import profiles_of
 from waymark.queries.registry import D, hav, query, table
@@ -83,13 +85,36 @@ def resumed_parts(spark, d):
     return resumed(lines, "l_orderkey", path, paid)
 
 
+@query(ctes("fx_points") + "select ord, coalesce(elev_ft, cast(floor(lat * 10 + lon + cast(0.5 as double)) as int)) as elev_ft from fx_points")
+def live_elevations(spark, d):
+    """Missing elevations from a lookup that fails at first, in parts that a restart would keep."""
+    tries: dict = {}
+
+    def look(lat, lon):
+        import math
+
+        tries[lat, lon] = tries.get((lat, lon), 0) + 1
+        if tries[lat, lon] <= int(lat * 200) % 3:
+            raise OSError("busy")
+        return math.floor(lat * 10 + lon + 0.5)
+
+    points = view(spark, d, "fx_points").select("ord", "lat", "lon", "elev_ft")
+    return resumed(points, "ord", scratch(spark), lambda rows: looked_up(rows, look, ["lat", "lon"], "elev_ft", wait=0.001).select("ord", "elev_ft"), parts=4, at_once=2)
+
+
+@query("select count(*) as rows, count(*) as made, count(*) as told from lineitem")
+def told_progress(spark, d):
+    """What a stage in parts tells of itself as it runs, beside the rows of its result."""
+    lines, told = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), []
+    out = resumed(lines, "l_orderkey", scratch(spark), lambda rows: rows, tell=told.append)
+    return out.agg(F.count(F.lit(1)).alias("rows")).withColumns({"made": F.lit(told[-1].made).cast("long"), "told": F.lit(told[-1].done).cast("long")})
+
+
 @query("select s_suppkey as object_id, case when s_suppkey % 5 <> 0 then s_acctbal end as length_mi, cast(s_suppkey as double) as x from supplier")
 def paged_features(spark, d):
     """Survey lines in pages of forty, written by Spark and read back page by page."""
     from waymark.sources.paged import read_pages
 
-    from pyspark.sql import Window
-
     k = F.col("s_suppkey").cast("double")
     props = F.struct(F.col("s_suppkey").alias("OBJECTID"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal")).alias("LENGTH_MI"))
     shape = F.struct(F.lit("LineString").alias("type"), F.array(F.array(k, k), F.array(k + 1, k)).alias("coordinates"))

@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """df with the place, from 0, that each row has in the order in which df gives them."""
+    placed = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
+    return df.sparkSession.createDataFrame(placed, T.StructType([*df.schema.fields, T.StructField("place", T.LongType())]))
+
+
 def hav(a: str, b: str, c: str, d: str) -> str:
     """SQL of the great-circle miles from (a, b) to (c, d)."""
     h = f"pow(sin(radians({c}-{a})/2.0),2)+cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-{b})/2.0),2)"

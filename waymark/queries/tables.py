@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from waymark.operators import store
-from waymark.queries.registry import D, hav, query, table
+from waymark.queries.registry import D, hav, in_order, query, table
 from waymark.session import scratch, stage
+from waymark.sources import readers
 from waymark.sources.fixtures import ctes, view
 
 
@@ -51,14 +52,30 @@ def constraint_violations(spark, d):
 _PROFILES = ctes("fx_users") + ", p as (select id, nullif(trim(json_extract_string(raw_user_meta_data,'$.username')),'') as username from fx_users)"
 
 
-@query(ctes("fx_segments") + "select id, date_begun from fx_segments where user_id = 7 order by date_begun desc nulls first, id limit 5")
+@query(ctes("fx_segments") + "select id, date_begun, row_number() over (order by date_begun desc nulls first, id) - 1 as place from fx_segments where user_id = 7")
 def newest_segments(spark, d):
-    return store.newest_first(store.Secured(view(spark, d, "fx_segments"), "segments", 7).select("id", "date_begun")).limit(5)
+    return in_order(store.newest_first(store.Secured(view(spark, d, "fx_segments"), "segments", 7).select("id", "date_begun")))
 
 
-@query(ctes("fx_segments") + "select id from fx_segments where user_id = 7 limit 100000")
+@query(ctes("fx_segments") + "select least(count(*), 5) as n, least(count(*), 5) as own, count(*) > 5 as cut from fx_segments where user_id = 7")
 def capped_segments(spark, d):
-    return store.Secured(view(spark, d, "fx_segments"), "segments", 7).select("id", row_cap=100_000)
+    """Which rows a cap leaves is not defined, only how many and whose."""
+    mine = store.Secured(view(spark, d, "fx_segments"), "segments", 7)
+    capped = mine.select("id", "user_id", row_cap=5).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("user_id") == 7).alias("own"))
+    return capped.join(F.broadcast(mine.select("id").agg((F.count(F.lit(1)) > 5).alias("cut"))))
+
+
+@query("select 'at least' as guard, count(*) as rows, true as raised from orders union all select 'at most', count(*), true from orders union all select 'between', count(*), false from orders")
+def guarded_rows(spark, d):
+    """A table that is too short or too long for its guard is refused, another passes."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    n, out = orders.count(), []
+    for guard, bounds in (("at least", {"at_least": n + 1}), ("at most", {"at_most": n - 1}), ("between", {"at_least": n, "at_most": n})):
+        try:
+            out.append((guard, readers.require_rows(orders, **bounds).count(), False))
+        except ValueError:
+            out.append((guard, n, True))
+    return spark.createDataFrame(out, "guard string, rows long, raised boolean")
 
 
 @query(ctes("fx_segments") + "select id, start_mile from fx_segments order by id limit 50 offset 150")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators import enrich, paths, polygons, progress, snapping, stitch
-from waymark.queries.registry import ORACLES, D, fixed, hav, query, table
+from waymark.operators.nearest import nearest
+from waymark.queries.registry import ORACLES, D, fixed, hav, in_order, query, table
 from waymark.sources.fixtures import VIEWS, ctes, view
 
 _MILES = f"coalesce(abs(end_mile-start_mile), {hav('start_lat', 'start_lng', 'end_lat', 'end_lng')})"
@@ -64,8 +65,11 @@ def snap_coordinates(spark, d):
 
 @query(ORACLES["snap_coordinates"])
 def snap_coordinates_grid(spark, d):
-    out = snapping.snap_coordinates(view(spark, d, "fx_targets"), view(spark, d, "fx_points"), degrees=1 / 64)
-    return out.select("qid", "ord", "mile", "state", F.round("dist", D).alias("dist"))
+    """As by ``snap_coordinates``, with all points under one key and all of another's left alone."""
+    points = view(spark, d, "fx_points").withColumn("side", F.lit("here"))
+    points = points.unionByName(points.withColumns({"side": F.lit("there"), "lat": F.col("lat") + 0.01})).select("ord", "lat", "lon", "side", F.struct("mile", "state").alias("value"))
+    out = nearest(view(spark, d, "fx_targets").withColumn("side", F.lit("here")), points, ["side"])
+    return out.select("qid", "ord", "value.mile", "value.state", F.round("dist", D).alias("dist"))
 
 
 @query(ctes("fx_points", "fx_targets") + """
@@ -274,11 +278,9 @@ def reclassify_summary(spark, d):
     return polygons.reclassify_summary(polygons.reclassify(view(spark, d, "fx_points"), _holes(spark, d))).withColumn("examples", F.array_join("examples", ","))
 
 
-@query(ctes("fx_points") + "select state, n, first_ord, row_number() over (order by n desc, first_ord) as place from (select state, count(*) as n, min(ord) as first_ord from fx_points group by state)")
+@query(ctes("fx_points") + "select state, n, first_ord, row_number() over (order by n desc, first_ord) - 1 as place from (select state, count(*) as n, min(ord) as first_ord from fx_points group by state)")
 def most_points_first(spark, d):
-    ranked = progress.most_points_first(view(spark, d, "fx_points"))
-    # one row per state is left here
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "first_ord")).cast("long"))
+    return in_order(progress.most_points_first(view(spark, d, "fx_points")))
 
 
 @query(ctes("fx_points") + "select ord, mile from fx_points where elev_ft is null")
