@@ -12,7 +12,7 @@ from waymark.operators import lookup, resume
 from waymark.operators.buckets import Overtaken, Owned, Store
 from waymark.operators.store import Refused
 from waymark.sources import paged
-from waymark.streaming import ledger
+from waymark.streaming import ledger, sessions
 
 
 def rows_of(df):
@@ -332,3 +332,30 @@ def test_a_row_that_always_fails_ends_the_run_and_parts_stay(spark, tmp_path):
     assert rows_of(out) == sorted(((i, i) for i in range(100)), key=str) and len(told) == 10 - kept
     assert [t.done for t in told] == sorted(t.done for t in told) and told[-1].done == told[-1].total == told[-1].made and told[-1].left == 0
     assert all(t.rate > 0 and t.left == pytest.approx((t.total - t.done) / t.rate) for t in told)
+
+
+# ---- sessions of a stream
+
+EVENT = "event_id long, user string, ts timestamp, value double"
+
+
+def test_late_and_repeated_events(spark, tmp_path):
+    path, at = f"file://{tmp_path}", lambda m: datetime.datetime(2024, 5, 1, 12) + datetime.timedelta(minutes=m)
+    put = lambda *rows: spark.createDataFrame([(i, u, None if m is None else at(m), 1.0) for i, u, m in rows], EVENT).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    run = lambda: sessions.follow(sessions.sessions(spark.readStream.schema(spark.createDataFrame([], EVENT).schema).parquet(f"{path}/in"), ["user"], "10 minutes", "1 hour"), path)
+    minutes = lambda rows: sorted((r["user"], int((r["start"] - at(0)).total_seconds() // 60), int((r["end"] - at(0)).total_seconds() // 60), r["events"]) for r in rows.collect())
+    put()
+    assert run().rows.count() == 0
+    # two sessions of a, one event twice, one without a time; b is still open at the end
+    put((1, "a", 0), (2, "a", 5), (2, "a", 5), (3, "a", 30), (4, "b", 200), (5, "a", None), (6, None, 40))
+    got = run()
+    assert minutes(got.rows.where("user is not null")) == [("a", 0, 15, 2), ("a", 30, 40, 1)] and got.rows.count() == 3 and got.late == 0
+    # the watermark is at 140 minutes: two rows are late, one joins b, an old id comes again within the wait
+    put((7, "a", 10), (8, "c", 100), (9, "b", 195), (4, "b", 200), (10, "d", 150))
+    got = run()
+    assert got.late == 2 and minutes(got.rows.where("user is not null")) == [("a", 0, 15, 2), ("a", 30, 40, 1)]
+    put((11, "z", 1000))
+    got = run()
+    assert minutes(got.rows.where("user is not null")) == [("a", 0, 15, 2), ("a", 30, 40, 1), ("b", 195, 210, 2), ("d", 150, 160, 1)] and got.late == 0
+    again = run()
+    assert again.late == 0 and minutes(again.rows.where("user is not null")) == minutes(got.rows.where("user is not null"))

@@ -140,3 +140,27 @@ def _page_files(pages):
 
     pages.foreachPartition(put)
     return path
+
+
+@query("""
+with e as (select distinct event_id, user_id, ts, value from events), limits as (select max(ts) - interval 1 day as mark from e),
+marked as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hour then 0 else 1 end as fresh from e),
+numbered as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from marked)
+select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) + 21600000000 as end_us, count(*) as events, round(sum(value), 2) as total, 0 as late_rows
+from numbered group by user_id, k having max(ts) + interval 6 hour <= (select mark from limits)""")
+def stream_sessions(spark, d):
+    """Closed sessions of the event stream, whose file comes twice; a third file is behind the watermark."""
+    from waymark.streaming.progress_stream import read_stream
+    from waymark.streaming.sessions import follow, sessions
+
+    path, events = scratch(spark), table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    for _ in range(2):
+        events.write.mode("append").parquet(f"{path}/in")
+    stream = lambda: sessions(read_stream(spark, f"{path}/in", events.schema, files_per_trigger=1000), ["user_id"], "6 hours", "1 day")
+    first = follow(stream(), path)
+    old = events.withColumns({"ts": F.col("ts") - F.expr("interval 90 days"), "event_id": -F.col("event_id") - 1})
+    old.write.mode("append").parquet(f"{path}/in")
+    last = follow(stream(), path)
+    missed = last.late - old.count() + first.late  # each late row is dropped and counted
+    us = lambda c: F.unix_micros(F.col(c))
+    return last.rows.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "events", F.round("total", 2).alias("total"), F.lit(missed).cast("int").alias("late_rows"))
