@@ -154,6 +154,23 @@ def test_stitch():
     assert stitch.order_lines([c, b, d, a, e], (-84.19388, 34.62677)) == [[(-84.19, 34.63), (-84.18, 34.64), (-84.16, 34.66), (-84.15, 34.67)], [(-83.01, 35.49), (-83.0, 35.5)]]
 
 
+def test_points_are_built_from_lines(spark):
+    """Three lines out of order, four anchors, two of one mile, a square and its border."""
+    from waymark.plans.flows import build_points
+
+    lines = spark.createDataFrame([("t", 2, [[0.2, 0.0], [0.1, 0.0]]), ("t", 1, [[0.0, 0.0], [0.1, 0.0]]), ("t", 3, [[0.2, 0.0], [0.3, 0.0]])], "trail_id string, ord long, coords array<array<double>>")
+    anchors = spark.createDataFrame([("t", 0, 0.0, 0.0, 0.0, "GA"), ("t", 1, 0.5, 0.0, 0.1, "GA"), ("t", 2, 0.5, 0.0, 0.1, "GA"), ("t", 3, 1.0, 0.0, 0.3, "GA")], "path_id string, ord long, mile double, lat double, lon double, state string")
+    known = spark.createDataFrame([(k, 100 + k) for k in (0, 3, 7)], "mile_tenths int, elev_ft int")
+    edges = spark.createDataFrame(square(0.1, -1.0, 0.2, 1.0, 0), "feature_idx int, state string, poly_idx int, ring_idx int, xi double, yi double, xj double, yj double")
+    rows = sorted((r["mile"], r["is_anchor"], round(r["lon"], 6), r["state"], r["elev_ft"]) for r in build_points(lines, anchors, (0.0, 0.0), known, edges).collect())
+    want = []
+    for k in range(11):
+        lon = round(0.02 * k if k <= 5 else 0.1 + 0.04 * (k - 5), 6)
+        row = (k / 10, k in (0, 5, 10), lon, "S" if 0.1 <= lon < 0.2 else "GA", 100 + k if k in (0, 3, 7) else None)
+        want += [row] * (2 if k == 5 else 1)
+    assert rows == sorted(want, key=lambda r: r[:3])
+
+
 def test_store(spark):
     df = spark.createDataFrame([("1", "u", "t"), ("2", "v", "t")], "id string, user_id string, trail_id string")
     own = store.Secured(df, "segments", "u")

@@ -47,10 +47,15 @@ def containing_feature(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reclassify(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Points with the state of their first containing feature; others keep what they had."""
-    found = containing_feature(points, edges)
+    """Points with the state of their first containing feature; others keep what they had.
+
+    A place is looked up once, however many points stand on it, so points need no key of their own.
+    """
+    place = F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon"))
+    spots = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(place.alias("ord"), "lat", "lon").distinct()
+    found = containing_feature(spots, edges).withColumnRenamed("ord", "_place")
     new = merge_border_state(F.col("found"))
-    return points.join(found, "ord", "left").withColumns({
+    return points.withColumn("_place", place).join(found, "_place", "left").drop("_place").withColumns({
         "matched": F.col("found").isNotNull(),
         "changed": F.col("found").isNotNull() & ~new.eqNullSafe(F.col("state")),
         "state": F.coalesce(new, F.col("state")),

@@ -50,7 +50,4 @@ def build_points(lines: DataFrame, anchors: DataFrame, terminus: tuple[float, fl
     path = paths.global_index(runs).select("path_id", "idx", "run_idx", "lat", "lon")
     points = paths.sample_path(anchors, path).withColumn("elev_ft", F.lit(None).cast("int"))
     points = enrich.with_elevation(points, known)
-    if edges is None:
-        return points
-    keyed = points.withColumn("ord", F.struct("path_id", "mile", "is_anchor"))
-    return polygons.reclassify(keyed, edges).drop("ord")
+    return points if edges is None else polygons.reclassify(points, edges)

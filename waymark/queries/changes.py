@@ -164,3 +164,17 @@ def stream_sessions(spark, d):
     missed = last.late - old.count() + first.late  # each late row is dropped and counted
     us = lambda c: F.unix_micros(F.col(c))
     return last.rows.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "events", F.round("total", 2).alias("total"), F.lit(missed).cast("int").alias("late_rows"))
+
+
+@query()
+def built_points(spark, d):
+    """The whole chain: lines are stitched, sampled between anchors, given elevations and classified."""
+    from waymark.plans.flows import build_points
+
+    at = lambda k: F.array(F.lit(-84.0) + (F.col("s_suppkey") + k) * 0.01, F.lit(34.9) + (F.col("s_suppkey") + k) * 0.012)
+    trail = F.concat(F.lit("t"), F.floor(F.col("s_suppkey") / 50.0).cast("string"))
+    rows = table(spark, d, "supplier")
+    lines = rows.select(trail.alias("trail_id"), F.pmod(F.col("s_suppkey") * 37, F.lit(101)).alias("ord"), F.when(F.col("s_suppkey") % 3 == 0, F.array(at(1), at(0))).otherwise(F.array(at(0), at(1))).alias("coords"))
+    anchors = rows.select(trail.alias("path_id"), F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("double").alias("mile"), at(0)[1].alias("lat"), at(0)[0].alias("lon"), F.lit("GA").alias("state"))
+    known = rows.select((F.col("s_suppkey") * 10).alias("mile_tenths"), (F.col("s_suppkey") + 100).cast("int").alias("elev_ft"))
+    return build_points(lines, anchors, (-84.0, 34.9), known, view(spark, d, "fx_edges"))
