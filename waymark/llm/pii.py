@@ -5,7 +5,7 @@ further spans: addresses with spelt-out signs, and within each run of digits eve
 to GROUPS groups with a fitting number of digits (an ip: four groups of up to three), so that stretches overlap: of two card numbers in
 a row either one, both together and parts of both are proposed, each as a phone number, a card and
 an ip at once. Features of a candidate's form and surroundings go through boosted trees, one
-ensemble per kind, compiled to CASE expressions. A candidate is taken if it reaches its kind's
+ensemble per kind, walked down in constant arrays. A candidate is taken if it reaches its kind's
 threshold, overlaps no base span and belongs to the choice of candidates that lie apart and have the
 greatest sum of scores, which a dynamic programme over their ends finds exactly.
 
@@ -311,20 +311,50 @@ def chosen(found: Column) -> Column:
     return F.transform(F.when(F.size(found) > 0, bound(ordered, pick)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,up:boolean>>")), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
 
 
-def tree_sql(node, f: str = "c.f") -> str:
-    """A tree as a CASE expression over a struct of features."""
-    if not isinstance(node, tuple):
-        return f"{float(node)!r}D"
-    name, cut, low, high = node
-    return f"CASE WHEN {f}.{name} <= {float(cut)!r}D THEN {tree_sql(low, f)} ELSE {tree_sql(high, f)} END"
+def tree_table(trees: list, depth: int = DEPTH) -> tuple[list[int], list[float], list[float]]:
+    """Trees as full binary ones, one behind the other: the feature and the cut of each inner node, and
+    the value of each end. A branch that ends early has the same value at all ends under it."""
+    places, cuts, values = [], [], []
+
+    def fill(node, level: int, at: int, inner: list, ends: list) -> None:
+        name, cut, low, high = node if isinstance(node, tuple) else (FEATURES[0], 0.0, node, node)
+        if level == depth:
+            ends[at - (2**depth - 1)] = float(node)
+            return
+        inner[at] = (FEATURES.index(name), float(cut))
+        fill(low, level + 1, 2 * at + 1, inner, ends)
+        fill(high, level + 1, 2 * at + 2, inner, ends)
+
+    for t in trees:
+        inner, ends = [None] * (2**depth - 1), [None] * 2**depth
+        fill(t, 0, 0, inner, ends)
+        places += [f for f, _ in inner]
+        cuts += [c for _, c in inner]
+        values += ends
+    return places, cuts, values
+
+
+def trees_sql(trees: list, x: str = "c.x", depth: int = DEPTH) -> str:
+    """The sum of the trees' values for an array of features. The trees are constant arrays that are
+    walked down, so the plan holds their numbers and not an expression for each node."""
+    places, cuts, values = tree_table(trees, depth)
+    inner, ends = 2**depth - 1, 2**depth
+    listed = lambda v: "array(" + ", ".join(f"{n!r}D" if isinstance(n, float) else str(n) for n in v) + ")"
+    step = f"2 * i + 1 + int({x}[{listed(places)}[t * {inner} + i]] > {listed(cuts)}[t * {inner} + i])"
+    return f"aggregate(sequence(0, {len(trees) - 1}), 0D, (s, t) -> s + {listed(values)}[t * {ends} - {inner} + aggregate(sequence(1, {depth}), 0, (i, k) -> {step})])"
 
 
 _SCORED = "array<struct<kind:int,start:int,end:int,score:double>>"
 
 
 def featured(c: Column) -> Column:
-    """Candidates with a struct of their features."""
-    return F.transform(c, lambda x: F.struct(x["gen"].alias("gen"), x["start"].alias("start"), x["end"].alias("end"), F.struct(*[v.alias(k) for k, v in features(x).items()]).alias("f")))
+    """Candidates with an array of their features, in the order of FEATURES."""
+
+    def row(x: Column) -> Column:
+        of = features(x)
+        return F.struct(x["gen"].alias("gen"), x["start"].alias("start"), x["end"].alias("end"), F.array(*[of[k] for k in FEATURES]).alias("x"))
+
+    return F.transform(c, row)
 
 
 def scored(column: str, model: dict) -> Column:
@@ -335,7 +365,7 @@ def scored(column: str, model: dict) -> Column:
         for k in kinds:
             if k in model:
                 trees, cut = model[k]
-                total = " + ".join(tree_sql(t) for t in trees)
+                total = trees_sql(trees)
                 rated = f"transform(filter({column}, c -> c.gen = '{gen}'), c -> named_struct('kind', {KINDS.index(k)}, 'start', c.start, 'end', c.end, 'score', {total}))"
                 out.append(F.expr(f"filter({rated}, c -> c.score >= {float(cut)!r}D)"))
     return F.concat(*out)
