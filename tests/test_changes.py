@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import lookup, resume
+from waymark.operators import lookup, resume, sketches
 from waymark.operators.buckets import Overtaken, Owned, Store
 from waymark.operators.store import Refused
 from waymark.sources import paged
@@ -359,3 +359,30 @@ def test_late_and_repeated_events(spark, tmp_path):
     assert minutes(got.rows.where("user is not null")) == [("a", 0, 15, 2), ("a", 30, 40, 1), ("b", 195, 210, 2), ("d", 150, 160, 1)] and got.late == 0
     again = run()
     assert again.late == 0 and minutes(again.rows.where("user is not null")) == minutes(got.rows.where("user is not null"))
+
+
+# ---- sketches
+
+def test_sketches_are_within_their_bounds(spark, tmp_path):
+    """Refreshes, folded or not, against exact figures; nulls are not counted."""
+    rows = spark.range(40_000).selectExpr(
+        "id", "if(id % 50 = 0, null, pmod(xxhash64(id), 9000)) as user_id", "concat('t', id % 3) as trail_id", "date_add(date '2024-01-01', cast(id % 11 as int)) as date_begun",
+        "0D as start_mile", "if(id % 20 = 1, null, pmod(xxhash64(id, 1), 100000) / 1000D) as end_mile", "cast(null as double) as start_lat", "0D as start_lng", "0D as end_lat", "0D as end_lng",
+    )
+    empty = rows.limit(1).selectExpr("id", "cast(null as bigint) as user_id", "'none' as trail_id", "date_begun", "start_mile", "cast(null as double) as end_mile", "start_lat", "start_lng", "end_lat", "end_lng")
+    store = Store(spark, f"file://{tmp_path}/s")
+    for k in range(4):
+        sketches.refresh(store, rows.where(f"id % 4 = {k}"), buckets=4)
+    sketches.refresh(store, empty)
+    exact = {r[0]: r[1:] for r in rows.groupBy("trail_id").agg(F.count("*"), F.countDistinct("user_id"), F.collect_list("end_mile")).collect()}
+    before = store.read("sketches").count()
+    for _ in range(2):
+        told = {r["trail_id"]: r for r in sketches.figures(store.read("sketches"), "trail_id").collect()}
+        assert (told["none"]["sessions"], told["none"]["hikers"], told["none"]["median_miles"]) == (1, 0, None)
+        for t, (n, users, miles) in exact.items():
+            assert told[t]["sessions"] == n and abs(told[t]["hikers"] - users) <= 4 * 1.04 / 2 ** (sketches.LG_K / 2) * users
+            for q, c in ((0.5, "median_miles"), (0.9, "long_miles")):
+                assert abs(sum(m <= told[t][c] for m in miles) / len(miles) - q) < 0.03
+        assert sketches.fold(store) == (len(files(store, "sketches")) if _ == 0 else 0)
+    assert store.read("sketches").count() < before
+    assert sketches.figures(store.read("sketches")).first()["sessions"] == 40_001

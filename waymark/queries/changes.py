@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from waymark.functions.geo import segment_miles
 from waymark.operators.buckets import Owned, Store
 from waymark.operators.lookup import looked_up
 from waymark.operators.resume import resumed
@@ -178,3 +179,20 @@ def built_points(spark, d):
     anchors = rows.select(trail.alias("path_id"), F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("double").alias("mile"), at(0)[1].alias("lat"), at(0)[0].alias("lon"), F.lit("GA").alias("state"))
     known = rows.select((F.col("s_suppkey") * 10).alias("mile_tenths"), (F.col("s_suppkey") + 100).cast("int").alias("elev_ft"))
     return build_points(lines, anchors, (-84.0, 34.9), known, view(spark, d, "fx_edges"))
+
+
+@query(ctes("fx_segments") + "select trail_id, count(*) as sessions, count(distinct user_id) as hikers, true as hikers_near, true as median_near, true as long_near from fx_segments group by 1")
+def sketched_dashboard(spark, d):
+    """Figures from sketches of two refreshes, folded, beside the exact ones and their bounds."""
+    from waymark.operators import sketches
+
+    store, rows = Store(spark, scratch(spark)), view(spark, d, "fx_segments")
+    sketches.refresh(store, rows.where("start_lat < 38"))
+    sketches.refresh(store, rows.where("start_lat >= 38"))
+    sketches.fold(store)
+    told = sketches.figures(store.read("sketches"), "trail_id").withColumnRenamed("hikers", "about")
+    both = rows.withColumn("m", segment_miles()).join(F.broadcast(told.drop("sessions")), "trail_id")
+    near = lambda c, q: sketches.is_quantile(F.col("m"), F.col(c), q, 0.03)
+    n = F.count_distinct("user_id")
+    exact = both.groupBy("trail_id").agg(n.alias("hikers"), (F.abs(F.max("about") - n) <= 0.05 * n + 1).alias("hikers_near"), near("median_miles", 0.5).alias("median_near"), near("long_miles", 0.9).alias("long_near"))
+    return told.select("trail_id", "sessions").join(exact, "trail_id")
