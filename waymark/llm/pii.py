@@ -239,12 +239,10 @@ def candidates(text: Column, base: list[Column] = ()) -> Column:
 
 
 def features(c: Column) -> dict[str, Column]:
-    m, before, after = c["match"], c["before"], c["after"]
-    d = _digits(m)
+    """Features of a candidate with its digits, their form and its groups at hand."""
+    m, before, after, d, shape, groups = (c[k] for k in ("match", "before", "after", "digits", "shape", "groups"))
     count = lambda pattern: F.regexp_count(m, F.lit(pattern)).cast("double")
     flag = lambda x: F.when(x, F.lit(1.0)).otherwise(F.lit(0.0))
-    shape = F.regexp_replace(F.regexp_replace(m, "[^0-9]+", " "), "[0-9]", "d")
-    groups = F.split(F.trim(shape), " ")
     return {
         "digits": F.length(d).cast("double"), "groups": count("[0-9]+"), "longest": F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)).cast("double"),
         "dots": count(r"\."), "dashes": count("-"), "blanks": count(" "), "brackets": count(r"[()\[\]]"), "plus": flag(m.startswith("+")),
@@ -252,8 +250,8 @@ def features(c: Column) -> dict[str, Column]:
         "letter_before": flag(before.rlike(r"[\p{L}0-9_]$")), "letter_after": flag(after.rlike(r"^[\p{L}0-9_]")), "sign_before": flag(before.rlike(r"[=:#$€£/.,-]$")),
         **{k: flag(before.rlike(v)) for k, v in _CUES.items()},
         "date_like": flag(m.rlike(r"^(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}")),
-        "phone_groups": flag(F.trim(shape).rlike("^(?:d{1,3} )?ddd ddd dddd$")), "card_groups": flag(F.trim(shape).rlike("^dddd dddd dddd d{1,7}$|^dddd dddddd ddddd$")),
-        "more_before": flag(c["more_before"]), "more_after": flag(c["more_after"]), "pairs": flag(F.trim(shape).rlike("^(?:d{1,3} )?d{1,2}(?: dd){4}$")),
+        "phone_groups": flag(shape.rlike("^(?:d{1,3} )?ddd ddd dddd$")), "card_groups": flag(shape.rlike("^dddd dddd dddd d{1,7}$|^dddd dddddd ddddd$")),
+        "more_before": flag(c["more_before"]), "more_after": flag(c["more_after"]), "pairs": flag(shape.rlike("^(?:d{1,3} )?d{1,2}(?: dd){4}$")),
         "even": flag(F.size(F.array_distinct(F.regexp_extract_all(m, F.lit("[0-9]([^0-9]+)(?=[0-9])"), F.lit(1)))) <= 1), "decimal": flag(before.rlike("[0-9][.,]$") | after.rlike("^[.,][0-9]")),
         "bracketed": flag(m.rlike(r"^\([0-9]{3}\)\x20?[0-9]{3}[-. ]?[0-9]{4}$")), "balanced": flag(F.regexp_count(m, F.lit(r"\(")) == F.regexp_count(m, F.lit(r"\)"))),
         "gap_before": F.length(F.regexp_extract(before, r"[^\p{L}0-9]*+$", 0)).cast("double"), "gap_after": F.length(F.regexp_extract(after, r"^[^\p{L}0-9]*+", 0)).cast("double"),
@@ -350,11 +348,17 @@ _SCORED = "array<struct<kind:int,start:int,end:int,score:double>>"
 def featured(c: Column) -> Column:
     """Candidates with an array of their features, in the order of FEATURES."""
 
+    def formed(x: Column) -> Column:
+        """What many features are made of, worked out once."""
+        shape = F.trim(F.regexp_replace(F.regexp_replace(x["match"], "[^0-9]+", " "), "[0-9]", "d"))
+        plain = [x[k].alias(k) for k in ("gen", "start", "end", "match", "before", "after", "more_before", "more_after")]
+        return F.struct(*plain, _digits(x["match"]).alias("digits"), shape.alias("shape"), F.split(shape, " ").alias("groups"))
+
     def row(x: Column) -> Column:
         of = features(x)
         return F.struct(x["gen"].alias("gen"), x["start"].alias("start"), x["end"].alias("end"), F.array(*[of[k] for k in FEATURES]).alias("x"))
 
-    return F.transform(c, row)
+    return F.transform(F.transform(c, formed), row)
 
 
 def scored(column: str, model: dict) -> Column:
@@ -501,9 +505,8 @@ def training_table(spark: SparkSession, n: int, seed: int, forms: int = 0) -> di
     made = sentences(n, seed, forms)
     rows = spark.sql("select posexplode(from_json(:j, 'array<string>')) as (i, text)", args={"j": json.dumps([t for t, _ in made])})
     rows = rows.withColumns({f"_{k}": strict_spans(F.col("text"), k) for k in KINDS})
-    of = features(F.col("c"))
-    found = rows.select("i", F.explode(candidates(F.col("text"), [F.col(f"_{k}") for k in KINDS])).alias("c")).select("i", "c.gen", "c.start", "c.end", *[of[k].alias(f"f_{k}") for k in FEATURES]).toArrow()
-    x = np.stack([found.column(f"f_{k}").to_numpy() for k in FEATURES], axis=1)
+    found = rows.select("i", F.explode(featured(candidates(F.col("text"), [F.col(f"_{k}") for k in KINDS]))).alias("c")).select("i", "c.gen", "c.start", "c.end", "c.x").toArrow()
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     gen, where = np.array(found.column("gen").to_pylist()), np.stack([found.column(c).to_numpy() for c in ("i", "start", "end")], axis=1).astype(int)
     out = {}
     for g, kinds in PROPOSES.items():
