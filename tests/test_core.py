@@ -345,3 +345,11 @@ def test_states_of_long_ranges(spark):
             if t and min(a, b) - 0.05 <= m <= max(a, b) + 0.05:
                 first.setdefault(t, o)
         assert r["states"] == (" · ".join(sorted(first, key=first.get)) or None)
+
+
+@pytest.mark.parametrize("name", ["snap_miles"])
+def test_lookups_by_mile_send_no_table_to_all_tasks(spark, name):
+    """Only the list of blocks in which more than PART_ROWS ask is sent, to asked and known rows."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert len(sent) == 2 and all("LeftOuter" in line for line in sent), sent

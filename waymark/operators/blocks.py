@@ -42,6 +42,8 @@ def asof(asked: DataFrame, known: DataFrame, keys: list[str], at: str, width: fl
     known has the keys, at, tie and value (a struct); what is added is a struct of these three, or
     null. Among known rows at one place that with the least tie counts. A block is as wide as
     told; a block that many rows ask in is dealt to parts, each with all that is known there.
+    What a block needs from others comes as rows beside its own, so no table of blocks is joined:
+    where blocks hold few rows that table is as long as the input.
     """
     where = [*keys, "_block"]
     cut = lambda df: df.withColumn("_block", block_of(F.col(at), width))
@@ -49,24 +51,26 @@ def asof(asked: DataFrame, known: DataFrame, keys: list[str], at: str, width: fl
     place, back = F.struct(f"_p.{at}", "_p.tie"), F.struct(-F.col(f"_p.{at}"), F.col("_p.tie"))
     none = F.lit(None).cast(known.schema["_p"].dataType)
     ends = known.groupBy(*where).agg(F.min_by("_p", place).alias("_first"), F.min_by("_p", back).alias("_last"), F.lit(0).cast("long").alias("_n"))
-    calls = asked.groupBy(*where).agg(F.count(F.lit(1)).alias("_n")).select(*where, none.alias("_first"), none.alias("_last"), "_n")
-    table = ends.unionByName(calls).groupBy(*where).agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_n").alias("_n"))
+    calls = asked.groupBy(*where).agg(F.count(F.lit(1)).alias("_n"))
+    table = ends.unionByName(calls.select(*where, none.alias("_first"), none.alias("_last"), "_n")).groupBy(*where).agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_n").alias("_n"))
     carry = {"before": (F.col("_block").asc(), "_last"), "after": (F.col("_block").desc(), "_first")}
     for s in sides:
         w = Window.partitionBy(*keys).orderBy(carry[s][0]).rowsBetween(Window.unboundedPreceding, -1)
         table = table.withColumn(f"_c_{s}", F.last(carry[s][1], True).over(w))
-    table = table.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(part_rows)))).cast("int")).drop("_first", "_last", "_n")
+    # an end that lies outside of a block comes first in the order of its side
+    carried = table.where("_n > 0").select(*where, F.explode(F.array_compact(F.array(*[f"_c_{s}" for s in sides]))).alias("_p"))
+    # at most one row for each part_rows asked rows
+    hot = F.broadcast(calls.where(F.col("_n") > part_rows).withColumn("_parts", F.ceil(F.col("_n") / F.lit(float(part_rows))).cast("int")).drop("_n"))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
     own = asked.select(*where, F.struct(*[c for c in asked.columns if c != "_block"]).alias("_q"))
-    own = join_same(own, table, where)
-    own = own.withColumn("_part", F.pmod(F.xxhash64("_q"), F.col("_parts")).cast("int")).drop("_parts")
-    theirs = join_same(known, table.select(*where, "_parts"), where)
-    theirs = theirs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    own = join_same(own, hot, where, "left").withColumn("_part", F.pmod(F.xxhash64("_q"), parts).cast("int")).drop("_parts")
+    theirs = join_same(known.unionByName(carried), hot, where, "left")
+    theirs = theirs.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     rows = own.unionByName(theirs, allowMissingColumns=True).withColumn("_at", F.coalesce(f"_p.{at}", f"_q.{at}"))
     found = {}
     for s in sides:
         # at one place the asked rows come last, right behind the known row with the least tie
         order = [F.col("_at").asc() if s == "before" else F.col("_at").desc(), F.col("_q").isNotNull(), F.col("_p.tie").desc()]
         w = Window.partitionBy(*where, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        found[f"_f_{s}"] = F.last("_p", True).over(w)
-    rows = rows.withColumns(found).where(F.col("_q").isNotNull())
-    return rows.select("_q.*", *[F.coalesce(f"_f_{s}", f"_c_{s}").alias(s) for s in sides])
+        found[s] = F.last("_p", True).over(w)
+    return rows.withColumns(found).where(F.col("_q").isNotNull()).select("_q.*", *sides)
