@@ -347,7 +347,7 @@ def test_states_of_long_ranges(spark):
         assert r["states"] == (" · ".join(sorted(first, key=first.get)) or None)
 
 
-@pytest.mark.parametrize("name", ["snap_miles"])
+@pytest.mark.parametrize("name", ["snap_miles", "snap_miles_in_state"])
 def test_lookups_by_mile_send_no_table_to_all_tasks(spark, name):
     """Only the list of blocks in which more than PART_ROWS ask is sent, to asked and known rows."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
