@@ -353,3 +353,53 @@ def test_lookups_by_mile_send_no_table_to_all_tasks(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
     assert len(sent) == 2 and all("LeftOuter" in line for line in sent), sent
+
+
+def shuffled(spark, run):
+    """What run() gives, and how many records and bytes its stages write for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    each = lambda s: [s.apply(k) for k in range(s.size())]
+    last = max((s.stageId() for s in each(stages())), default=-1)
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    new = [s for s in each(stages()) if s.stageId() > last]
+    return out, sum(s.shuffleWriteRecords() for s in new), sum(s.shuffleWriteBytes() for s in new)
+
+
+def long_path(spark, n):
+    at = F.col("id").cast("double")
+    return spark.range(n).select(F.lit("p").alias("path_id"), F.col("id").alias("idx"), F.lit(0).alias("run_idx"), (F.lit(30.0) + at * 2e-4).alias("lat"), (F.lit(-80.0) + F.pmod(at, F.lit(250.0)) * 0.01).alias("lon"))
+
+
+def test_vertex_lookups_meet_few_stretches(spark):
+    """A tenth of a path on either side is 188 stretches; a question meets far fewer."""
+    at = F.col("id").cast("double")
+    q = spark.range(1000).select(F.col("id").alias("qid"), F.lit("p").alias("path_id"), (F.lit(30.0) + at * 0.012).alias("lat"), (F.lit(-80.0) + at * 0.001).alias("lng"), (at * 2.19).alias("mile"))
+    rows, sent, _ = shuffled(spark, lambda: paths.nearest_vertices(q, long_path(spark, 60_000)).collect())
+    assert len(rows) == 1000 and all(r["vertex"] is not None for r in rows) and sent < 188 * 1000
+
+
+@pytest.mark.parametrize("shape", [(8, 2, 3), (64, 16, 256)])
+def test_vertex_lookup_by_brute_force(spark, monkeypatch, shape):
+    """Trees of many levels and of one; unknown and repeated places, unknown paths, vertices without a place."""
+    monkeypatch.setattr(paths, "STRETCH", shape[0])
+    monkeypatch.setattr(paths, "FAN", shape[1], raising=False)
+    monkeypatch.setattr(paths, "BEGIN", shape[2], raising=False)
+    rng = random.Random(5)
+    v = [("a", k, 0, 35 + rng.gauss(0, 0.01) + (k % 400) * 0.005, -84 + rng.gauss(0, 0.01) + k * 0.002) for k in range(900)] + [("b", k * 2, k, 10.0, 20.0) for k in range(5)]
+    v = [(*r[:3], None if r[1] % 50 == 7 else r[3], r[4]) for r in v]
+    places = [(35 + rng.random() * 2, -84 + rng.random() * 2) for _ in range(40)] + [(None, -84.0), (10.0, 20.0)]
+    asked = [(k, rng.choice(["a", "a", "a", "b", "c"]), *rng.choice(places), rng.choice([None, 0.0, rng.uniform(-10, 2300)])) for k in range(300)]
+    got = {r["qid"]: r["vertex"] for r in paths.nearest_vertices(spark.createDataFrame(asked, "qid long, path_id string, lat double, lng double, mile double"), spark.createDataFrame(v, "path_id string, idx long, run_idx int, lat double, lon double")).collect()}
+    for qid, path, lat, lng, mile in asked:
+        p = [r[3:] for r in v if r[0] == path]
+        c, r = math.floor(min(1, max(0, (mile or 0) / 2190)) * (len(p) - 1) + 0.5), math.floor(0.1 * len(p) + 0.5)
+        window = range(max(0, c - r), min(len(p) - 1, c + r) + 1) if p else []
+        d = {i: miles((lat, lng), p[i]) if lat is not None and p[i][0] is not None else math.inf for i in window}
+        least = min(d.values(), default=None)
+        # last digits may differ between the two ways
+        assert got[qid] is None if not d else d[got[qid]] == least if least == math.inf else d[got[qid]] <= least + 1e-9
+        if d and (lat is None or path == "b"):
+            assert got[qid] == min(i for i in d if d[i] == least)
