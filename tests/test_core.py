@@ -403,3 +403,27 @@ def test_vertex_lookup_by_brute_force(spark, monkeypatch, shape):
         assert got[qid] is None if not d else d[got[qid]] == least if least == math.inf else d[got[qid]] <= least + 1e-9
         if d and (lat is None or path == "b"):
             assert got[qid] == min(i for i in d if d[i] == least)
+
+
+def test_slices_do_not_shuffle_their_vertices(spark):
+    """A million places leave the tasks that have the stretches."""
+    e = spark.range(200).select(F.col("id").alias("qid"), F.lit("p").alias("path_id"), (F.col("id") * 100).alias("a"), (F.col("id") * 100 + 4999).alias("b"), *[F.lit(0.0).alias(f"{x}_{c}") for x in ("start", "end") for c in ("lat", "lng")])
+    operator = getattr(paths, "sliced", paths.slice_paths)
+    n, _, sent = shuffled(spark, lambda: operator(e, long_path(spark, 60_000)).select(F.sum(F.size("line") if operator is paths.slice_paths else F.lit(1))).first()[0])
+    assert n == 1_000_000 and sent < 8_000_000
+
+
+def test_slices_of_all_kinds(spark, monkeypatch):
+    """Ends in either order, equal, unknown, before and beyond the path; as rows and as lines."""
+    monkeypatch.setattr(paths, "SLICE_ROWS", 4)
+    path = long_path(spark, 21)
+    at = [(r["lon"], r["lat"]) for r in path.orderBy("idx").collect()]
+    ends = [(1, "p", 3, 9), (2, "p", 9, 3), (3, "p", 5, 5), (4, "p", None, 2), (5, "p", 18, 40), (6, "p", -3, 2), (7, "p", 30, 40), (8, "x", 1, 2), (9, "p", 0, 20), (10, "p", -9, -2)]
+    e = spark.createDataFrame([(*r, 1.0, 2.0, 3.0, 4.0) for r in ends], "qid long, path_id string, a long, b long, start_lat double, start_lng double, end_lat double, end_lng double")
+    want = {1: at[3:10], 2: at[3:10], 5: at[18:], 6: at[:3], 9: at}
+    rows: dict = {}
+    for r in sorted(paths.sliced(e, path).collect()):
+        assert r["pos"] == len(rows.setdefault(r["qid"], []))
+        rows[r["qid"]].append((r["lon"], r["lat"]))
+    lines = {r["qid"]: [tuple(p) for p in r["line"]] for r in paths.slice_paths(e, path).collect()}
+    assert rows == lines == {k: want.get(k, [(2.0, 1.0), (4.0, 3.0)]) for k in range(1, 11)}
