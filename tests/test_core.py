@@ -427,3 +427,11 @@ def test_slices_of_all_kinds(spark, monkeypatch):
         rows[r["qid"]].append((r["lon"], r["lat"]))
     lines = {r["qid"]: [tuple(p) for p in r["line"]] for r in paths.slice_paths(e, path).collect()}
     assert rows == lines == {k: want.get(k, [(2.0, 1.0), (4.0, 3.0)]) for k in range(1, 11)}
+
+
+def test_a_capped_response_loses_no_rows(spark):
+    """Every own row is there, in responses of five."""
+    mine = sorted(r["id"] for r in view(spark, SF, "fx_segments").where("user_id = 7").select("id").collect())
+    got = sorted((r["response"], r["id"]) for r in QUERIES["capped_segments"](spark, SF).collect())
+    assert got == [(k // 5, x) for k, x in enumerate(mine)] and len(mine) > 5
+    assert store.Secured(view(spark, SF, "fx_segments"), "segments", 7).select("id", row_cap=5).count() == 5

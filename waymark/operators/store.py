@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.operators.blocks import BLOCK_ROWS, block_of, ranked
+
 #: Owner column and allowed verbs of each table.
 POLICIES = {
     "profiles": ("id", {"select", "update"}),
@@ -42,6 +44,12 @@ class Secured:
         own = own.select(*columns) if columns else own
         return own if row_cap is None else own.limit(row_cap)
 
+    def responses(self, order: str, row_cap: int, *columns: str) -> DataFrame:
+        """All own rows by a number without ties, and the number from 0 of the capped response that
+        brings each: a cap bounds a response, not what a principal gets."""
+        own = ranked(self.select(), [POLICIES[self.table][0]], [order], block_of(F.col(order), BLOCK_ROWS), "_place")
+        return own.select(*columns, F.floor(F.col("_place") / F.lit(float(row_cap))).alias("response"))
+
     def insert(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The table with the rows, and the rows as stored (defaults filled in)."""
         owner = self._may("insert")
