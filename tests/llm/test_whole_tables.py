@@ -496,3 +496,21 @@ def test_extra_columns(spark):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *names)
     assert warc.round_trip(pages).count() == len(ODD)
     assert isinstance(docs.schema, T.StructType)
+
+
+@pytest.mark.parametrize("links", [[(5, 1), (3, 1), (9, 2)], [], [(k + 1, k) for k in range(40)], [(1, 2), (2, 3), (3, 1), (7, 7), (9, 8)]])
+def test_components_end_with_stars_and_no_further_round(spark, monkeypatch, links):
+    """Stars take no round at all: one table is written, not two."""
+    from waymark.llm import simhash
+
+    made = []
+    monkeypatch.setattr(simhash, "written", lambda df, real=simhash.written: made.append(1) or real(df))
+    got = {(r["node"], r["root"]) for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    least: dict = {x: x for a, b in links if a != b for x in (a, b)}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == set(least.items())
+    if all(a > b for a, b in links) and not {a for a, _ in links} & {b for _, b in links}:
+        assert len(made) == 1
