@@ -7,10 +7,14 @@ read again as the next one's docs. All but the last return the columns of docume
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import bpe, mixing, pii, simhash, toxicity
 from waymark.llm.common import documents, table, written
+from waymark.session import let_go
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -42,7 +46,18 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(TOKENIZER)).drop("text")
 
 
-STAGES = [("toxicity", toxicity_stage), ("simhash_near_dedup", near_dedup_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
+def fresh(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, begun once the driver has let go of what the one before it left."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        let_go(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+STAGES = [(k, fresh(f)) for k, f in (("toxicity", toxicity_stage), ("simhash_near_dedup", near_dedup_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("bpe", bpe_stage))]
 
 #: SQL can express neither the classifier nor the tokenizer; the tests hold a brute-force version.
 ORACLE_SQL = None

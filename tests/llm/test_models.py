@@ -433,6 +433,32 @@ def test_near_dedup_of_many_copies_without_their_source(spark):
     simhash.TEXTS = kept
 
 
+def test_driver_keeps_little(spark):
+    """The driver trains the trees once, reads their numbers as a few texts that the planner makes
+    constants of, and can hand back free memory outside its heap."""
+    from waymark import session
+    from waymark.llm import pii
+
+    first = pii.train(spark, 300, 5)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("trained"))
+    spark.sparkContext.setJobGroup("trained", "no job is wanted")
+    try:
+        again = pii.train(spark, 300, 5)
+        assert jobs() == 0 and again == first and again is not first
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((64, len(pii.FEATURES))) * 6)
+    trees = pii.boost(x, (x[:, 0] + x[:, 3] > 6).astype(float), 8)
+    sql = pii.trees_sql(trees, "x")
+    assert sql.count(",") < 8 * 46 + 40 and "array(" not in sql
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i long, x array<double>").select("i", F.expr(sql).alias("s"))
+    assert "split(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    want = sum(pii._value(t, x) for t in trees)
+    assert [r["s"] for r in sorted(rows.collect())] == [float(v) for v in want]
+    assert session.trim_driver(spark)
+
+
 def test_pipeline(spark):
     """Stages hold their promises one by one on the small tables."""
     import corpus_pipeline as p

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.common import give_back
+from waymark.session import let_go
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"A-Za-z0-9._%+-"
@@ -334,10 +335,12 @@ def tree_table(trees: list, depth: int = DEPTH) -> tuple[list[int], list[float],
 
 def trees_sql(trees: list, x: str = "c.x", depth: int = DEPTH) -> str:
     """The sum of the trees' values for an array of features. The trees are constant arrays that are
-    walked down, so the plan holds their numbers and not an expression for each node."""
+    walked down, so the plan holds their numbers and not an expression for each node. An array is
+    one text of all its numbers, which the planner turns into a constant: the parser need not
+    make a tree of each."""
     places, cuts, values = tree_table(trees, depth)
     inner, ends = 2**depth - 1, 2**depth
-    listed = lambda v: "array(" + ", ".join(f"{n!r}D" if isinstance(n, float) else str(n) for n in v) + ")"
+    listed = lambda v: f"cast(split('{','.join(map(repr, v))}', ',') as array<{'double' if isinstance(v[0], float) else 'int'}>)"
     step = f"2 * i + 1 + int({x}[{listed(places)}[t * {inner} + i]] > {listed(cuts)}[t * {inner} + i])"
     return f"aggregate(sequence(0, {len(trees) - 1}), 0D, (s, t) -> s + {listed(values)}[t * {ends} - {inner} + aggregate(sequence(1, {depth}), 0, (i, k) -> {step})])"
 
@@ -558,14 +561,26 @@ def thresholds(tables: dict, scores: dict[str, np.ndarray]) -> dict[str, float]:
         cuts = raised
 
 
+#: What train has made, by its numbers.
+_trained: dict[tuple[int, int], dict[str, tuple[list, float]]] = {}
+
+
 def train(spark: SparkSession, n: int = 4000, seed: int = 11) -> dict[str, tuple[list, float]]:
-    """Per kind its trees and threshold. The sentences do not depend on the documents."""
+    """Per kind its trees and threshold. The sentences do not depend on the documents, nor does
+    anything else here, so a driver trains once."""
+    if (n, seed) not in _trained:
+        _trained[n, seed] = _train(spark, n, seed)
+    return dict(_trained[n, seed])
+
+
+def _train(spark: SparkSession, n: int, seed: int) -> dict[str, tuple[list, float]]:
     fit = training_table(spark, n, seed)
     trees = {k: boost(x, y) for k, (x, y, _) in fit.items() if y.any()}
     check = training_table(spark, n, seed + 1, 1)
     cuts = thresholds(check, {k: sum(_value(t, check[k][0]) for t in trees[k]) for k in trees})
     del fit, check
     give_back()
+    let_go(spark)
     return {k: (trees[k], c) for k, c in cuts.items()}
 
 

@@ -460,6 +460,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_each: int =
     many = written(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("has")).where("has > 1"))
     asked = written(join_hot(grouped, many, ["root"], "has").drop("has")).withColumnRenamed("doc_id", "_id")
     texts = join_small(rows, asked.withColumnRenamed("md5", "_md5"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("md5") == F.col("_md5")))
+    let_go(docs.sparkSession)
     groups = components(similar(texts.select("md5", "root", "text").dropDuplicates(["md5"]), similarity, words_each))
     of = asked.select("md5", F.col("_id").alias("doc_id")).join(groups, F.col("md5") == F.col("node")).select("doc_id", "md5", F.col("root").alias("team"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "md5")
@@ -471,6 +472,7 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """Docs, in their own columns, without their near copies; of rows that are repeated as a whole
     one stays."""
     drop = written(near_duplicates(docs, **options)).withColumnsRenamed({"doc_id": "_id", "md5": "_drop"})
+    let_go(docs.sparkSession)
     marked = docs.select(F.struct("*").alias("_in"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_md5")).withColumn("_doc", F.col("_in.doc_id"))
     kept = join_small(marked, drop, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_drop")), "left_anti")
     narrow = docs.select("doc_id", F.xxhash64("text").alias("h"))
