@@ -459,6 +459,23 @@ def test_driver_keeps_little(spark):
     assert session.trim_driver(spark)
 
 
+def test_ids_are_never_python_numbers():
+    """Lists of ids are made from packed ids in a few times their bytes."""
+    import tracemalloc
+
+    from waymark.llm import bpe
+
+    assert bpe.id_lists([2, 0, 1], bytearray(np.array([7, 2**31 + 1, 0], "<u4").tobytes())).to_pylist() == [[7, 2**31 + 1], [], [0]]
+    assert bpe.id_lists([], bytearray()).to_pylist() == []
+    packed = bytearray(np.arange(1 << 18, dtype="<u4").tobytes())
+    tracemalloc.start()
+    try:
+        assert len(bpe.id_lists([1 << 17, 1 << 17], packed).values) == 1 << 18
+        assert tracemalloc.get_traced_memory()[1] < 4 * len(packed)
+    finally:
+        tracemalloc.stop()
+
+
 def test_pipeline(spark):
     """Stages hold their promises one by one on the small tables."""
     import corpus_pipeline as p

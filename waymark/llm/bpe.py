@@ -28,6 +28,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -230,6 +231,12 @@ def decode(vocabulary: Vocabulary, packed: Iterable[bytes]) -> Iterator[str]:
     yield d.end()
 
 
+def id_lists(n: list[int], packed: bytearray) -> pa.ListArray:
+    """Lists of so many ids each from packed ids; numbers of Python would take ten times the room."""
+    values = np.frombuffer(packed, dtype="<u4").astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(values))
+
+
 def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256 and, unless ids is False, the ids themselves.
 
@@ -243,23 +250,22 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.load(path)
         for b in batches(it):
-            n, sha, back, lists = [], [], [], []
+            n, sha, back, lists = [], [], [], bytearray()
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
                 # a chunk is hashed, decoded and let go before the next is made
-                size, of_ids, of_text, own, d = 0, hashlib.sha256(), hashlib.sha256(), [], Decoder(v)
+                size, of_ids, of_text, d = 0, hashlib.sha256(), hashlib.sha256(), Decoder(v)
                 for packed in v.encode(text or ""):
                     size += len(packed) // 4
                     of_ids.update(packed)
                     of_text.update(d.feed(memoryview(packed).cast("I")).encode())
                     if ids:
-                        own += memoryview(packed).cast("I").tolist()
+                        lists += packed
                 of_text.update(d.end().encode())
                 n.append(size)
                 sha.append(of_ids.hexdigest())
                 back.append(of_text.hexdigest())
-                lists.append(own)
             cols = [b.column(b.schema.get_field_index(f.name)) for f in kept]
-            made = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())] + [pa.array(lists, pa.list_(pa.int64()))] * ids
+            made = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())] + ([id_lists(n, lists)] if ids else [])
             yield pa.RecordBatch.from_arrays(cols + made, schema=pa.schema([b.schema.field(b.schema.get_field_index(f.name)) for f in kept] + extra))
 
     made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] + [T.StructField("ids", T.ArrayType(T.LongType()))] * ids)
