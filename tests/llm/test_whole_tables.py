@@ -313,6 +313,24 @@ def test_simhash_planted(spark):
     simhash.BLOCK, simhash.HOT_ROWS = 2048, 8192
 
 
+def test_near_fingerprints_leave_as_stars(spark):
+    """A cloud of near fingerprints leaves few different links: under most keys its members meet the
+    same smallest one."""
+    import random
+
+    import numpy as np
+
+    from waymark.llm import simhash
+
+    rng = random.Random(5)
+    cloud = {1 << 62 | sum(1 << b for b in rng.sample(range(60), rng.randint(0, 4))) for _ in range(3000)}
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in sorted(cloud)], "fp long")
+    links = simhash.edges(df, 8, 9).distinct().collect()
+    assert all(r["b"] < r["a"] for r in links)
+    assert len(links) <= 6 * len(cloud)
+    assert {r["root"] for r in simhash.components(spark.createDataFrame(links)).collect()} == {min(int(np.uint64(f).view(np.int64)) for f in cloud)}
+
+
 def test_warc(spark):
     from waymark.llm.warc import round_trip
 

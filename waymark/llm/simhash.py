@@ -8,8 +8,9 @@ one flipped place in the second segment on one side. What meets is pruned by the
 longer chains, and only then compared in full.
 
 Equal fingerprints are one node from the start. Fingerprints that meet are compared in blocks
-inside a task, and only the edges of a spanning forest leave it: a group of n near copies gives
-at most n - 1 edges per key, not n * n. Components come from alternating star steps; each is
+inside a task, and only stars leave it, each fingerprint with the smallest that a batch of keys
+joins it to: a group of n near copies gives at most n - 1 edges per batch, not n * n, and as the
+same smallest one is met under most keys, most of these are the same. Components come from alternating star steps; each is
 one aggregation and one join that AQE can split at a hot node, and each result is written to
 the shared folder.
 
@@ -149,11 +150,10 @@ def linked(x: np.ndarray, y: np.ndarray, start: int, bits: int, segments: int) -
 
 
 class Forest:
-    """Spanning edges of linked fingerprints, in the order in which they first join two trees."""
+    """Trees of linked fingerprints (or names), each known by its smallest."""
 
     def __init__(self) -> None:
         self.root: dict[int, int] = {}
-        self.edges: list[tuple[int, int]] = []
 
     def find(self, a: int) -> int:
         root = self.root
@@ -173,14 +173,16 @@ class Forest:
                 p, q = find(x[one[b]]), find(y[b])
                 if p != q:
                     self.root[max(p, q)] = min(p, q)
-                    self.edges.append((x[one[b]], y[b]))
             apart = np.array([find(a) for a in x])[i] != np.array([find(a) for a in y])[j]
             i, j = i[apart], j[apart]
 
+    def stars(self) -> list[tuple[int, int]]:
+        """Each with the smallest of its tree, unless it is that itself."""
+        return [(a, root) for a in list(self.root) if (root := self.find(a)) != a]
 
-def block_edges(own: np.ndarray, probes: np.ndarray, start: int, bits: int, segments: int) -> list[tuple[int, int]]:
-    """Spanning edges of what is linked among own and between probes and own, under one key."""
-    forest = Forest()
+
+def join_block(forest: Forest, own: np.ndarray, probes: np.ndarray, start: int, bits: int, segments: int) -> None:
+    """Joins what is linked among own and between probes and own, under one key."""
     for i in range(0, len(own), BLOCK):
         x = own[i : i + BLOCK]
         for other in (own[i:], probes):
@@ -188,16 +190,14 @@ def block_edges(own: np.ndarray, probes: np.ndarray, start: int, bits: int, segm
                 y = other[j : j + BLOCK]
                 hit = linked(x, y, start, bits, segments)
                 forest.join(x.view(np.int64).tolist(), y.view(np.int64).tolist(), hit[:, 0], hit[:, 1])
-    return forest.edges
 
 
-def small_edges(fp: np.ndarray, at: np.ndarray, end: np.ndarray, start: int, bits: int, segments: int) -> list[tuple[int, int]]:
-    """Spanning edges under many keys at once: the fingerprint in each place of at is compared
+def join_small_keys(forest: Forest, fp: np.ndarray, at: np.ndarray, end: np.ndarray, start: int, bits: int, segments: int) -> None:
+    """Joins what is linked under many keys at once: the fingerprint in each place of at is compared
     with those behind it up to the place's end, which are at most BLOCK.
 
     What lies under one key is within the budget of the first two segments already.
     """
-    forest = Forest()
     n = end - at - 1
     total = np.cumsum(n)
     i = 0
@@ -214,7 +214,6 @@ def small_edges(fp: np.ndarray, at: np.ndarray, end: np.ndarray, start: int, bit
             names = nodes.view(np.int64).tolist()
             forest.join(names, names, place[: len(x)], place[len(x) :])
         i = k
-    return forest.edges
 
 
 @tidy
@@ -229,17 +228,17 @@ def _meet(it: Iterator[pa.RecordBatch], bits: int, segments: int) -> Iterator[pa
         a, b = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
         mid = a + np.add.reduceat(~probe, a)  # probes come last
         prints = fp.view(np.uint64)
-        found: list[tuple[int, int]] = []
+        forest = Forest()
         meets = (b - a > 1) & (mid > a)
         for s in np.unique(start[a[meets]]).tolist():
             here = meets & (start[a] == s)
             few = here & (b - a <= BLOCK)
             own = (mid - a)[few]
             at = np.repeat(a[few] - np.cumsum(own) + own, own) + np.arange(own.sum())
-            found += small_edges(prints, at, np.repeat(b[few], own), s, bits, segments)
+            join_small_keys(forest, prints, at, np.repeat(b[few], own), s, bits, segments)
             for i, m, j in zip(*[x[here & ~few].tolist() for x in (a, mid, b)]):
-                found += block_edges(prints[i:m], prints[m:j], s, bits, segments)
-        e = np.array(sorted(set((min(p), max(p)) for p in found)), dtype=np.int64).reshape(-1, 2)
+                join_block(forest, prints[i:m], prints[m:j], s, bits, segments)
+        e = np.array(forest.stars(), dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
     for batch in it:
@@ -414,7 +413,7 @@ def _compare(it: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.Rec
 
 
 def team_links(rows: list[pa.RecordBatch], similarity: float) -> pa.RecordBatch:
-    """Spanning links of the teams that a similar pair of texts of blocks u and v connects."""
+    """Links, as stars, of the teams that a similar pair of texts of blocks u and v connects."""
     table = pa.Table.from_batches(rows).combine_chunks()
     u, v = table.column("u")[0].as_py(), table.column("v")[0].as_py()
     home, team, sets = table.column("home").to_numpy(), table.column("team").to_pylist(), table.column("s").chunk(0)
@@ -435,7 +434,8 @@ def team_links(rows: list[pa.RecordBatch], similarity: float) -> pa.RecordBatch:
     alike = (both >= similarity * (n[x][:, None] + n[y][None, :] - both)) & (number[x][:, None] != number[y][None, :])
     forest = Forest()
     forest.join([team[k] for k in x], [team[k] for k in y], *np.nonzero(alike))
-    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in forest.edges], pa.string()) for k in (0, 1)], names=["a", "b"])
+    stars = forest.stars()
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in stars], pa.string()) for k in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, bits: int = 8, segments: int = 9) -> DataFrame:
