@@ -79,6 +79,32 @@ def test_bpe_of_every_code_point():
     assert ids(long) == t.encode(long, add_special_tokens=False).ids and len(list(v.encode(long))) > 1
 
 
+def test_bpe_of_words():
+    """Words with signs and blanks of all kinds around them, encoded more often than the cache holds
+    them; and a new word of letters takes no search for pieces, as it did for each text before."""
+    import random
+
+    import public_tokenizers
+    import regex
+    from tokenizers import Tokenizer
+
+    from waymark.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, v = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    ids = lambda x: list(memoryview(b"".join(v.encode(x))).cast("I"))
+    assert all(regex.match(r"\p{L}", c) for c in map(chr, range(0x110000)) if c.isalpha())
+    rng = random.Random(4)
+    signs = ["'s", "'", "''", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u0301", "\u0308", "Σ", "İ", "ß", "K", "1", "²", "!", "...", "?!", "<|", "<|endoftext|>", "日本", "😀", "é", "É", "a", "The", "x" * 45, "et" * 300, "\u1100", "\u1161", "'LL", "ſ", "\u1c89"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    for bpe.CACHE_PIECES in (100_000, 8):
+        assert [x for x in texts if ids(x) != t.encode(x, add_special_tokens=False).ids] == []
+    bpe.CACHE_PIECES = 100_000
+    searched = []
+    v.pieces = lambda x, real=v.pieces: searched.append(x) or real(x)
+    assert ids("Ändern, the\nnewest wordsmiths...") == t.encode("Ändern, the\nnewest wordsmiths...", add_special_tokens=False).ids and not searched
+
+
 def test_quality_counts(data):
     from waymark.llm.quality import counts
 

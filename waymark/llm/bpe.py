@@ -25,8 +25,8 @@ import hashlib
 import json
 import struct
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +53,12 @@ CAPITALS = (
 END = "</w>"
 #: Letters read beyond the lookahead before tokens are emitted.
 CHUNK = 256
-#: Pieces whose ids a worker keeps, and the longest that it keeps.
+#: Pieces whose ids a worker keeps, half of them those last used, and the longest that it keeps.
 CACHE_PIECES, CACHE_CHARS = 100_000, 40
-#: Pieces whose ids are handed on together.
-PIECES_EACH = 4096
+#: Signs that mostly follow a word.
+MARKS = ".,;:!?"
+#: Letters of a text, and pieces of a word, whose ids are handed on together.
+LETTERS_EACH, PIECES_EACH = 1 << 15, 4096
 
 
 def byte_letters() -> list[str]:
@@ -102,9 +104,13 @@ class Vocabulary:
             model = json.load(f)
         ids: dict[str, int] = model["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["model"]["merges"]]
-        self.letters = byte_letters()
-        self.ids = ids
-        self.ranks = {m: i for i, m in enumerate(merges)}
+        letters = byte_letters()
+        # by byte: the id of its letter, and of the letter with the mark
+        self.letters, self.marked = [ids[c] for c in letters], [ids[c + END] for c in letters]
+        self.shift = max(ids.values()).bit_length()
+        self.ranks = {ids[a] << self.shift | ids[b]: i for i, (a, b) in enumerate(merges)}
+        self.made = [ids[a + b] for a, b in merges]
+        self.sizes = {i: len(t.removesuffix(END)) for t, i in ids.items()}
         self.lookahead = lookahead(merges)
         self.new = unassigned()
         new = "[" + "".join(map(regex.escape, sorted(self.new))) + "]" if self.new else "(?!)"
@@ -113,11 +119,12 @@ class Vocabulary:
         self.rare = self.new | set(map(chr, self.small))
         self.odd_pieces = regex.compile(PIECES_BESIDE.replace("NEW", new)).finditer
         # without a decoder in the file, tokens are joined by blanks, letter by letter
-        self.text = {i: t.encode() for t, i in ids.items()}
         self.special = [(t["content"], t["id"]) for t in model.get("added_tokens") or []]
         self.special_split = regex.compile("(" + "|".join(regex.escape(t) for t, _ in self.special) + ")").split if self.special else None
         self.special_ids = dict(self.special)
+        self.text = {i: t.encode() for t, i in [*ids.items(), *self.special]}
         self.packed: dict[str, bytes] = {}
+        self.packed_before: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -125,46 +132,56 @@ class Vocabulary:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def merge(self, parts: list[str]) -> list[str]:
-        """Merges of a bounded window, lowest rank first and leftmost among equals."""
-        rank, none = self.ranks.get, 1 << 30
-        pairs = [rank(p, none) for p in zip(parts, parts[1:])]
+    def merge(self, parts: list[int]) -> list[int]:
+        """Merges of a bounded window of ids, lowest rank first and leftmost among equals."""
+        rank, made, shift, none = self.ranks.get, self.made, self.shift, 1 << 30
+        pairs = [rank(a << shift | b, none) for a, b in zip(parts, parts[1:])]
         while pairs and (best := min(pairs)) < none:
             i = pairs.index(best)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
+            new = parts[i] = made[best]
+            del parts[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = rank((parts[i - 1], parts[i]), none)
+                pairs[i - 1] = rank(parts[i - 1] << shift | new, none)
             if i < len(pairs):
-                pairs[i] = rank((parts[i], parts[i + 1]), none)
+                pairs[i] = rank(new << shift | parts[i + 1], none)
         return parts
 
-    def stream(self, letters: Iterable[str]) -> Iterator[str]:
-        """Tokens of one piece, each as soon as it is final."""
-        window: list[str] = []
-        it = iter(letters)
-        held = next(it, None)
-        while held is not None:
-            while held is not None and len(window) < self.lookahead + CHUNK:
-                after = next(it, None)
-                window.append(held + END if after is None else held)
-                held = after
-            tokens = self.merge(list(window))
-            if held is None:
-                yield from tokens
+    def stream(self, data: bytes) -> Iterator[list[int]]:
+        """Ids of the bytes of one piece, each as soon as it is final."""
+        letters, sizes, window, at = self.letters, self.sizes, [], 0
+        last = len(data) - 1
+        while True:
+            end = min(last, at + self.lookahead + CHUNK - len(window))
+            window += [letters[b] for b in data[at:end]]
+            at = end
+            if at == last:
+                yield self.merge([*window, self.marked[data[last]]])
                 return
-            used = 0
+            tokens, used, n = self.merge(list(window)), 0, 0
             for t in tokens:
-                if used + len(t) > len(window) - self.lookahead:
+                if used + sizes[t] > len(window) - self.lookahead:
                     break
-                used += len(t)
-                yield t
+                used += sizes[t]
+                n += 1
+            yield tokens[:n]
             del window[:used]
 
     def pack(self, piece: str) -> bytes:
-        """Ids of a piece as little-endian 32-bit numbers."""
-        letters, ids = self.letters, self.ids
-        return b"".join(struct.pack("<I", ids[t]) for t in self.stream(letters[b] for b in piece.encode()))
+        """Ids of a piece as little-endian 32-bit numbers; known if it came lately."""
+        if (packed := self.packed_before.get(piece)) is None:
+            data = piece.encode()
+            if len(data) <= CHUNK:
+                ids = [self.letters[b] for b in data]
+                ids[-1] = self.marked[data[-1]]
+                packed = array("I", self.merge(ids)).tobytes()
+            else:
+                packed = b"".join(array("I", ids).tobytes() for ids in self.stream(data))
+            if len(piece) > CACHE_CHARS:
+                return packed
+        if 2 * len(self.packed) >= CACHE_PIECES:
+            self.packed_before, self.packed = self.packed, {}
+        self.packed[piece] = packed
+        return packed
 
     def normal(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
@@ -184,38 +201,51 @@ class Vocabulary:
             yield from self._encode(text)
 
     def _encode(self, text: str) -> Iterator[bytes]:
-        packed = self.packed
-        text = self.normal(text)
-        odd = not text.isascii() and not self.rare.isdisjoint(text)
-        found = self.odd_pieces(text.translate(self.small)) if odd else self.pieces(text)
-        while chunk := [m.group() for m in islice(found, PIECES_EACH)]:
+        """No piece holds a blank and no normal form looks across one, so a text is cut at blanks,
+        and a word that is a piece is looked up as it stands."""
+        text, at = text.replace("\n", " "), 0
+        while at < len(text):
+            end = text.find(" ", at + LETTERS_EACH)
+            end = len(text) if end < 0 else end
             out = []
-            for p in chunk:
-                if (ids := packed.get(p)) is None:
-                    ids = self.pack(p)
-                    if len(p) <= CACHE_CHARS:
-                        if len(packed) >= CACHE_PIECES:
-                            packed.clear()
-                        packed[p] = ids
-                out.append(ids)
+            for w in self.normal(text[at:end]).split(" "):
+                if (ids := self.packed.get(w)) is not None:
+                    out.append(ids)
+                    continue
+                body = w.rstrip(MARKS)
+                if body.isalpha() and (body.isascii() or self.rare.isdisjoint(body)):
+                    # letters alone are a piece, and so are the marks behind them
+                    out.append(self.packed.get(body) or self.pack(body))
+                    if tail := w[len(body) :]:
+                        out.append(self.packed.get(tail) or self.pack(tail))
+                elif w:
+                    for p in self.cut(w):
+                        out.append(self.packed.get(p) or self.pack(p))
+                        if len(out) >= PIECES_EACH:
+                            yield b"".join(out)
+                            out.clear()
             yield b"".join(out)
+            at = end + 1
+
+    def cut(self, word: str) -> Iterator[str]:
+        """Pieces of a normal word."""
+        odd = not word.isascii() and not self.rare.isdisjoint(word)
+        return (m.group() for m in (self.odd_pieces(word.translate(self.small)) if odd else self.pieces(word)))
 
 
 class Decoder:
     """Incremental text of token ids."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.names = vocabulary.text
-        self.special = {i: t.encode() for t, i in vocabulary.special}
+        self.name = vocabulary.text.__getitem__
         self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
         self.first = True
 
     def feed(self, ids: Iterable[int]) -> str:
-        names, special = self.names, self.special
-        tokens = [special[i] if i in special else names[i] for i in ids]
+        tokens = b" ".join(map(self.name, ids))
         if not tokens:
             return ""
-        text = self.bytes.decode((b"" if self.first else b" ") + b" ".join(tokens))
+        text = self.bytes.decode(tokens if self.first else b" " + tokens)
         self.first = False
         return text
 
