@@ -458,6 +458,29 @@ def test_katz(data, monkeypatch, order, block, parts, hot):
         assert g[:5] == x[:5] and g[5:] == pytest.approx(x[5:], rel=1e-9, abs=1e-9)
 
 
+def test_katz_hands_back_memory(monkeypatch):
+    """Each task and each group of words, requests, counts and scores ends by handing back memory;
+    before, workers kept what their largest groups had taken."""
+    import inspect
+
+    import pyarrow as pa
+
+    from waymark.llm import common, katz
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    table = pa.table({"a": [1]})
+    assert common.tidy_group(lambda g, n: g.slice(0, n), 0)(table).num_rows == 0 and len(given) == 1
+    with pytest.raises(ValueError):
+        common.tidy_group(lambda g: int("x"))(table)
+    assert len(given) == 2
+    for f in (katz._cut_words, katz._hot_rows):
+        list(f(iter([])) if f is katz._hot_rows else f(iter([]), 1))
+    assert len(given) == 4
+    source = inspect.getsource(katz.katz_scores)
+    assert source.count("applyInArrow(tidy_group(") == source.count("applyInArrow(") == 4
+
+
 def test_katz_shares_sum_to_one(spark):
     """Over all words that training has, and the unknown one, in contexts of every kind."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from waymark.session import scratch, written
 
-__all__ = ["batches", "documents", "expr_crc_fold", "give_back", "scratch", "shuffle_partitions", "table", "tidy", "unused", "written"]
+__all__ = ["batches", "documents", "expr_crc_fold", "give_back", "scratch", "shuffle_partitions", "table", "tidy", "tidy_group", "unused", "written"]
 
 #: Bytes of text that a Python task works on at a time; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -68,6 +68,19 @@ def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator
     return tidied
 
 
+def tidy_group(run: Callable[..., pa.Table], *given) -> Callable[[pa.Table], pa.Table]:
+    """A function for applyInArrow, of a group and what is given, that hands back its memory after
+    each group."""
+
+    def tidied(group: pa.Table) -> pa.Table:
+        try:
+            return run(group, *given)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def batches(it: Iterable[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most limit bytes of text each, or one row."""
     for b in it:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, expr_crc_fold, scratch, shuffle_partitions, written
+from waymark.llm.common import batches, expr_crc_fold, scratch, shuffle_partitions, tidy, tidy_group, written
 from waymark.session import remove
 
 #: Words of the longest gram in the query; see the README for figures of order three.
@@ -173,6 +173,7 @@ def weights(total: np.ndarray, few: np.ndarray, mass: np.ndarray, d: np.ndarray)
 # ---- words ---------------------------------------------------------------------------------
 
 
+@tidy
 def _blocks(it: Iterator[pa.RecordBatch], tokens_each: int) -> Iterator[pa.RecordBatch]:
     """Blocks of the rows (doc_id, text, held_out): their documents and places of words (kind 0),
     and their words' hashes with training counts (1)."""
@@ -219,6 +220,7 @@ def _rows(names: str, *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
+@tidy
 def _cut_words(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """A block's words as requests, one for each part; parts are ranges of the hash."""
     for b in it:
@@ -265,6 +267,7 @@ class Block:
     def __init__(self, group: pa.Table, model: dict) -> None:
         rows = sorted(zip(group.column("what").to_pylist(), group.column("part").to_pylist(), group.column("data").to_pylist()), key=lambda r: r[:2])
         self.answers = {k: [unpack(d) for w, _, d in rows if w == k] for k in {r[0] for r in rows}}
+        del rows
         self.docs, self.null, self.held, n, self.seq, end = self.answers.pop("block")[0]
         self.n = n
         self.starts = self.n.cumsum() - self.n
@@ -274,6 +277,7 @@ class Block:
         words = self.answers.pop("1")
         self.word_counts = np.concatenate([c for c, _ in words])
         self.word_numbers = np.concatenate([x for _, x in words])
+        del words
         first = model[1]
         self.place, self.number, self.count = self.seq, self.word_numbers, self.word_counts
         self.share = np.where(self.count > 0, kept(first["d"], self.count) / first["whole"], first["unknown"])
@@ -324,6 +328,7 @@ class Block:
         length = np.concatenate([a[2] for a in of])
         few = np.concatenate([a[3].reshape(DISCOUNTED, -1) for a in of], axis=1).T.astype(float)
         mass = np.concatenate([_spread(a[4], a[5]) for a in of])
+        del of
         total = np.concatenate([[self.texts], self.count])[at[length.cumsum() - length]]
         if hot.any():
             context = np.concatenate([[START], self.number])[at[length.cumsum() - length]]
@@ -365,21 +370,24 @@ def _count(group: pa.Table, below: np.ndarray, parts: int, last: bool) -> pa.Tab
     order below, whose discounts are given."""
     part, blocks = group.column("part")[0].as_py(), group.column("block").to_pylist()
     asked = [unpack(d) for d in group.column("data").to_pylist()]
-    n, lower, whole, hot = (np.concatenate([a[j] for a in asked]) for j in (2, 3, 4, 5))
-    every = np.concatenate([a[0].cumsum() for a in asked])
+    ends = np.cumsum([0] + [len(a[0]) for a in asked])
+    every, each, n, lower, whole, hot = (np.concatenate([a.pop(0).cumsum() if j == 0 else a.pop(0) for a in asked]) for j in range(6))
     start = runs(every)
     contexts, _, of = distinct(every[start] - START)
     contexts, of = contexts + START, np.repeat(of, np.diff(start, append=len(every)))
-    words, _, word = distinct(np.concatenate([a[1] for a in asked]))
+    words, _, word = distinct(each)
+    del every, each
     keys, _, inverse = distinct(of * len(words) + word)
+    del word
     total = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
     context, seen = keys // len(words), total > 0
     # counts of the order below come from blocks that have the gram in training texts
     told, below_count, below_whole = n > 0, np.zeros(len(keys), dtype=np.int64), np.ones(len(keys), dtype=np.int64)
     below_count[inverse[told]], below_whole[inverse[told]] = lower[told], whole[told]
+    del n, lower, whole, told
     few = np.stack([np.bincount(context[total == r], minlength=len(contexts)) for r in range(1, DISCOUNTED + 1)])
     mass = np.bincount(context[seen], weights=kept(below, below_count[seen]) / below_whole[seen], minlength=len(contexts))
-    numbers, ends, data = np.arange(len(keys), dtype=np.int64) * parts + part, np.cumsum([0] + [len(a[0]) for a in asked]), []
+    numbers, data = np.arange(len(keys), dtype=np.int64) * parts + part, []
     for a, b in zip(ends, ends[1:]):
         i = inverse[a:b]
         start = runs(of[a:b])
@@ -391,11 +399,7 @@ def _count(group: pa.Table, below: np.ndarray, parts: int, last: bool) -> pa.Tab
     return pa.Table.from_batches([_rows(_ANSWER, ["reply"] * len(blocks) + ["stats", "hot"], [*blocks, -1, -1], [part] * (len(blocks) + 2), data)])
 
 
-def _with(f, *given):
-    """f of a group and what is given, as a function of the group alone."""
-    return lambda group: f(group, *given)
-
-
+@tidy
 def _hot_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for d in b.column(0).to_pylist():
@@ -440,7 +444,7 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return spark.createDataFrame([], _SCORES)
     parts = max(shuffle_partitions(spark), -(-n // PART_BLOCKS))
     requests = blocks.where("kind = 1").select("block", "data").mapInArrow(partial(_cut_words, parts=parts), _REQUEST)
-    words = written(requests.groupBy("part").applyInArrow(_with(_count_words, parts), _ANSWER), ["what"])
+    words = written(requests.groupBy("part").applyInArrow(tidy_group(_count_words, parts), _ANSWER), ["what"])
     remove(spark, f"{path}/kind=1")
     (tokens, distinct), often = _stats(words)
     d = good_turing(often)
@@ -453,10 +457,10 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     known = known.unionByName(reply(words, 1))
     for k in range(2, order + 1):
         shared, below = spark.sparkContext.broadcast(dict(model)), d
-        asked = known.groupBy("block").applyInArrow(_with(_request, shared), _REQUEST)
-        answers = written(asked.groupBy("part").applyInArrow(_with(_count, below, parts, k == order), _ANSWER), ["what"])
+        asked = known.groupBy("block").applyInArrow(tidy_group(_request, shared), _REQUEST)
+        answers = written(asked.groupBy("part").applyInArrow(tidy_group(_count, below, parts, k == order), _ANSWER), ["what"])
         d = good_turing(_stats(answers)[0])
         model[k] = {"d": d, **_hot_sums(answers)}
         known = known.unionByName(reply(answers, k))
     shared = spark.sparkContext.broadcast(model)
-    return known.groupBy("block").applyInArrow(_with(_score, shared), _SCORES)
+    return known.groupBy("block").applyInArrow(tidy_group(_score, shared), _SCORES)
