@@ -306,7 +306,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if settled(now):
             break
-        now = written(star(star(now, True), False))
+        # the small step reads the large one's links twice, which would make its join twice
+        now = written(star(written(star(now, True)), False))
         let_go(now.sparkSession)
     else:
         if not settled(now):
