@@ -429,6 +429,36 @@ def test_slices_of_all_kinds(spark, monkeypatch):
     assert rows == lines == {k: want.get(k, [(2.0, 1.0), (4.0, 3.0)]) for k in range(1, 11)}
 
 
+def test_slices_of_bands(spark, monkeypatch):
+    """Slices of many lengths on two paths, in bands, tiles and cuts of a few."""
+    for name, value in (("SLICE_ROWS", 16), ("TILE_ROWS", 4), ("CUTS", 3), ("TASK_ROWS", (64, 64))):
+        monkeypatch.setattr(paths, name, value, raising=False)
+    rng = random.Random(4)
+    n = {"p": 333, "r": 16}
+    path = long_path(spark, n["p"]).unionByName(long_path(spark, n["r"]).withColumn("path_id", F.lit("r")))
+    at: dict = {}
+    for r in path.orderBy("path_id", "idx").collect():
+        at.setdefault(r["path_id"], []).append((r["lon"], r["lat"]))
+    # many begin in one place, and some are far longer than others
+    ends = [(k, p := rng.choice("ppr"), a := rng.choice([0, 7, rng.randrange(n[p])]), rng.choice([a + 1 + rng.randrange(9), rng.randrange(n[p])])) for k in range(300)]
+    e = spark.createDataFrame([(*r, 1.0, 2.0, 3.0, 4.0) for r in ends], "qid long, path_id string, a long, b long, start_lat double, start_lng double, end_lat double, end_lng double")
+    want = {k: at[p][min(a, b):max(a, b) + 1] if a != b else [(2.0, 1.0), (4.0, 3.0)] for k, p, a, b in ends}
+    rows: dict = {}
+    for r in sorted(paths.sliced(e, path).collect()):
+        assert r["pos"] == len(rows.setdefault(r["qid"], []))
+        rows[r["qid"]].append((r["lon"], r["lat"]))
+    assert rows == want == {r["qid"]: [tuple(p) for p in r["line"]] for r in paths.slice_paths(e, path).collect()}
+
+
+def test_slices_take_little_disk_when_written(spark, tmp_path):
+    """Eight million places, written by Spark as they come, in columns that repeat close by."""
+    e = spark.range(1000).select(F.col("id").alias("qid"), F.lit("p").alias("path_id"), (F.col("id") * 2).alias("a"), (F.col("id") * 3 + 7499).alias("b"), *[F.lit(0.0).alias(f"{x}_{c}") for x in ("start", "end") for c in ("lat", "lng")])
+    _, _, sent = shuffled(spark, lambda: paths.sliced(e, long_path(spark, 16_384)).write.parquet(f"{tmp_path}/rows"))
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 7_999_500
+    size = sum(f.stat().st_size for f in tmp_path.glob("rows/*.parquet"))
+    assert size < 6_000_000 and sent < 3_000_000
+
+
 def test_a_capped_response_loses_no_rows(spark):
     """Every own row is there, in responses of five."""
     mine = sorted(r["id"] for r in view(spark, SF, "fx_segments").where("user_id = 7").select("id").collect())
